@@ -74,15 +74,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
+# Row bound under which a dimension side may be broadcast after the check.
+MAX_BROADCAST_ROWS = 200_000
+
+
+def is_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """True when ``df`` holds at most ``max_rows`` rows (reads at most one more)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
 
     The check reads at most ``max_rows + 1`` rows (a LIMIT stops the scan
     early), so it stays cheap even when the side turns out to be big; past the
     bound the join falls back to the shuffle join Catalyst / AQE choose.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if is_bounded(df, max_rows) else df
 
 
 def env_int(name: str, default: int) -> int:
