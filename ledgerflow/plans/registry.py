@@ -19,6 +19,16 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _compose(views: tuple[str, ...], body: str) -> str:
+    """Prefix the stand-in views; a body with its own WITH joins the same list."""
+    if not views:
+        return body
+    head = with_views(*views)
+    if body[:4].upper() == "WITH":
+        return head.rstrip() + ",\n" + body[4:].lstrip()
+    return head + body
+
+
 def register(name: str, oracle: str | None = None, views: tuple[str, ...] = ()):
     """Register a query; ``views`` are the stand-ins the oracle body uses."""
     def deco(fn: Callable[[Domain], DataFrame]) -> QueryFn:
@@ -32,6 +42,6 @@ def register(name: str, oracle: str | None = None, views: tuple[str, ...] = ()):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if oracle is not None:
-            ORACLES[name] = (with_views(*views) if views else "") + oracle.strip()
+            ORACLES[name] = _compose(views, oracle.strip())
         return run
     return deco
