@@ -45,6 +45,16 @@ def described(prefix: str, value: ColumnOrName) -> Column:
     return pg_concat(F.lit(prefix), value)
 
 
+# Fixed value: the whitespace the request validators trim (JS String.trim,
+# ASCII part).
+TRIM_PATTERN = r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$"
+
+
+def js_trim(text: ColumnOrName) -> Column:
+    """Strip leading / trailing whitespace of every kind (not only blanks)."""
+    return F.regexp_replace(c(text), TRIM_PATTERN, "")
+
+
 def topic_slug(text: ColumnOrName) -> Column:
     """Lower-case and turn every whitespace run into one ``-``."""
     return F.regexp_replace(F.lower(c(text)), r"\s+", "-")

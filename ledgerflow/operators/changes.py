@@ -406,16 +406,17 @@ def delete_returns(tables: dict[str, DataFrame], ids: DataFrame) -> tuple[dict,
     return out, blocked.select(S("__rid").alias("id"))
 
 
-def delete_documents(docs: DataFrame, requests: DataFrame, allowed: DataFrame) -> Applied:
-    """requests: id (document), user_id (actor); ``allowed``: (user_id,
-    document_id) delete rights.  Permitted rows go, the rest are rejected."""
-    ok = requests.join(allowed.select(S("user_id").alias("__u"), S("document_id").alias("__d")),
-                       (S("user_id") == S("__u")) & (S("id") == S("__d")), "left_semi")
-    rejects = requests.join(ok.select(S("id").alias("__okid"), S("user_id").alias("__oku")),
-                            (S("id") == S("__okid")) & (S("user_id") == S("__oku")), "left_anti")
-    state = docs.join(ok.select(S("id").alias("__del")).distinct(), S("id") == S("__del"),
-                      "left_anti")
-    return Applied(state, rejects.withColumn("reason", F.lit("access_denied")))
+def delete_documents(docs: DataFrame, requests: DataFrame, grants: DataFrame) -> Applied:
+    """requests: id (document), user_id (actor); ``grants``: delete grants as
+    built by ``access.visible_documents(..., action="delete")``.  Permitted
+    rows go, the other requests are rejected."""
+    from .access import check_access
+
+    checked = check_access(requests, grants, user_col="user_id", obj_col="id")
+    ok = checked.filter(S("allowed")).select(S("id").alias("__del")).distinct()
+    rejects = (checked.filter(~S("allowed")).drop("allowed")
+               .withColumn("reason", F.lit("access_denied")))
+    return Applied(docs.join(ok, S("id") == S("__del"), "left_anti"), rejects)
 
 
 def _anti(df: DataFrame, col: str, keys: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, changes, listings  # noqa: F401
+from . import access, analytics, changes, listings, quality  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

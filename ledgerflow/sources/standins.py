@@ -94,6 +94,30 @@ DEPS: dict[str, list[str]] = {
     "request_log": ["events"],
 }
 
+# Columns of each stand-in (as both engines produce them).
+STANDIN_COLUMNS: dict[str, list[str]] = {
+    "tax_returns": ["id", "customer_id", "accountant_id", "tax_year", "status", "situation_type",
+                    "total_income", "total_tax_due", "submission_deadline", "filed_date", "price",
+                    "payment_status", "created_at"],
+    "customers": ["id", "user_id", "country", "employment_status", "is_first_time_filer"],
+    "accountants": ["id", "user_id", "experience_years", "rating", "is_active", "hourly_rate"],
+    "users": ["id", "email", "first_name", "last_name", "role", "is_verified", "created_on",
+              "created_at"],
+    "income_sources": ["tax_return_id", "source_type", "gross_income", "tax_deducted",
+                       "created_at"],
+    "expenses": ["tax_return_id", "category", "amount", "expense_date", "is_approved"],
+    "documents_meta": ["id", "tax_return_id", "uploaded_by", "document_type", "mime_type",
+                       "file_size", "is_processed"],
+    "messages": ["id", "tax_return_id", "sender_id", "recipient_id", "message", "seq"],
+    "reviews": ["id", "customer_id", "tax_return_id", "rating", "is_approved"],
+    "contact_inquiries": ["id", "inquiry_type", "subject", "status", "assigned_to", "created_at",
+                          "responded_at"],
+    "request_log": ["id", "client", "ts", "status"],
+}
+
+# Practice table name -> stand-in view name (they differ for documents only).
+VIEW_OF = {"documents": "documents_meta"}
+
 # Fixed clocks of the test data: orders end 2001-08-01, events cover January
 # 2024.  The activity feed shifts inquiries back by the gap between the two.
 AS_OF_RETURNS = "2001-08-02 00:00:00"
@@ -183,3 +207,9 @@ class Domain:
     @cached_property
     def request_log(self) -> DataFrame:
         return self.view("request_log")
+
+    def practice_tables(self) -> dict[str, DataFrame]:
+        """The stand-ins under their practice-table names."""
+        names = ["tax_returns", "customers", "accountants", "users", "income_sources",
+                 "expenses", "documents", "messages", "reviews", "contact_inquiries"]
+        return {n: self.view(VIEW_OF.get(n, n)) for n in names}
