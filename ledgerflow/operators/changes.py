@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import deleted_email, ts_lit
-from ..session import is_bounded
+from ..session import cut_lineage, is_bounded
 from ..sources import schemas as SC
 from .util import present
 
@@ -442,14 +442,16 @@ def cascade_users(tables: dict[str, DataFrame], user_ids: DataFrame
     def ids(df, col="id"):
         return df.select(S(col).alias("k"))
 
-    users0 = user_ids.select(S(user_ids.columns[0]).alias("k")).distinct()
-    # what would go with each user
-    cust = tables["customers"].join(users0, S("user_id") == S("k"), "inner").select(
-        S("id").alias("cid"), S("user_id").alias("uid"))
-    acc = tables["accountants"].join(users0, S("user_id") == S("k"), "inner").select(
-        S("id").alias("aid"), S("user_id").alias("uid"))
-    rets = tables["tax_returns"].join(cust, S("customer_id") == S("cid"), "inner").select(
-        S("id").alias("rid"), "uid")
+    users0 = cut_lineage(user_ids.select(S(user_ids.columns[0]).alias("k")).distinct())
+    # What would go with each user.  These key sets are read by every later
+    # step, so they are checkpointed once (reliable storage: a lost executor
+    # re-reads them instead of re-running the joins).
+    cust = cut_lineage(tables["customers"].join(users0, S("user_id") == S("k"), "inner").select(
+        S("id").alias("cid"), S("user_id").alias("uid")))
+    acc = cut_lineage(tables["accountants"].join(users0, S("user_id") == S("k"), "inner").select(
+        S("id").alias("aid"), S("user_id").alias("uid")))
+    rets = cut_lineage(tables["tax_returns"].join(cust, S("customer_id") == S("cid"), "inner")
+                       .select(S("id").alias("rid"), "uid"))
 
     blockers = []
 
@@ -474,12 +476,12 @@ def cascade_users(tables: dict[str, DataFrame], user_ids: DataFrame
           "contact_inquiries.assigned_to")
     block("notifications", "user_id", user_owner, "ukey", "notifications.user_id")
     block("audit_logs", "user_id", user_owner, "ukey", "audit_logs.user_id")
-    blocked = reduce(lambda a, b: a.unionByName(b), blockers)
+    blocked = cut_lineage(reduce(lambda a, b: a.unionByName(b), blockers))
 
-    go_users = users0.join(blocked.select(S("uid").alias("k")), "k", "left_anti")
+    go_users = cut_lineage(users0.join(blocked.select(S("uid").alias("k")), "k", "left_anti"))
     go_cust = cust.join(go_users, S("uid") == S("k"), "left_semi").select("cid")
     go_acc = acc.join(go_users, S("uid") == S("k"), "left_semi").select("aid")
-    go_rets = rets.join(go_users, S("uid") == S("k"), "left_semi").select("rid")
+    go_rets = cut_lineage(rets.join(go_users, S("uid") == S("k"), "left_semi").select("rid"))
 
     out = dict(tables)
     out["users"] = _anti(tables["users"], "id", go_users)

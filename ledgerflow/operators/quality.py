@@ -193,21 +193,29 @@ def dq_foreign_key(tables: dict[str, DataFrame], fks=None, max_parent_rows: int
                    ) -> DataFrame:
     """Non-NULL references without a parent: (table, column, parent, value, n_rows).
 
-    The child side is reduced to distinct values with counts before the anti
-    join, so the join sees each value once however skewed the references are.
+    Each child column is first reduced to its distinct values with counts (a
+    partial aggregate, so however skewed the references are, the join sees
+    each value once).  All references to one parent are unioned and checked
+    with a single anti join, so each parent's keys are read once.
     """
-    frames = []
+    by_parent: dict[str, list[DataFrame]] = {}
     for child, col, parent, _cascade in (fks or SC.FOREIGN_KEYS):
         if child not in tables or parent not in tables or col not in tables[child].columns:
             continue
-        refs = (tables[child].filter(S(col).isNotNull()).groupBy(S(col).alias("__v"))
-                .agg(F.count(F.lit(1)).alias("n_rows")))
+        key_type = tables[parent].schema["id"].dataType
+        refs = (tables[child].filter(S(col).isNotNull())
+                .groupBy(S(col).cast(key_type).alias("__v"))
+                .agg(F.count(F.lit(1)).alias("n_rows"))
+                .select(F.lit(child).alias("table_name"), F.lit(col).alias("column_name"),
+                        "__v", "n_rows"))
+        by_parent.setdefault(parent, []).append(refs)
+    frames = []
+    for parent, refs in by_parent.items():
         ids = broadcast_if_bounded(tables[parent].select(S("id").alias("__p")).distinct(),
                                    max_parent_rows)
-        frames.append(refs.join(ids, S("__v") == S("__p"), "left_anti").select(
-            F.lit(child).alias("table_name"), F.lit(col).alias("column_name"),
-            F.lit(parent).alias("parent_table"), S("__v").cast("string").alias("value"),
-            "n_rows"))
+        frames.append(_union(refs).join(ids, S("__v") == S("__p"), "left_anti").select(
+            "table_name", "column_name", F.lit(parent).alias("parent_table"),
+            S("__v").cast("string").alias("value"), "n_rows"))
     return _union(frames)
 
 

@@ -16,9 +16,11 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    # Runtime (AQE) broadcast conversion uses measured shuffle sizes, so a
-    # join side only becomes a broadcast once its real size is known small.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # No broadcast from planner estimates (they come from compressed file
+    # sizes and can be far off); AQE converts a join to a broadcast only
+    # from the measured size of a finished shuffle stage, and the operators
+    # broadcast explicitly only after a row-count check (is_bounded).
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
