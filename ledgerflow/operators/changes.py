@@ -191,7 +191,8 @@ def insert_returns(current: DataFrame, new: DataFrame, as_of) -> DataFrame:
         given("price", F.lit(SC.DEFAULT_PRICE)).cast("decimal(10,2)").alias("price"),
         F.lit("pending").alias("status"), F.lit("pending").alias("payment_status"),
         ts_lit(as_of).alias("created_at"), ts_lit(as_of).alias("updated_at"))
-    rows = rows.select(*present(rows, current.columns + ["updated_at"]))
+    wanted = list(dict.fromkeys(current.columns + ["updated_at"]))
+    rows = rows.select(*present(rows, wanted))
     base = current if "updated_at" in current.columns else current.withColumn(
         "updated_at", F.lit(None).cast("timestamp_ntz"))
     return base.unionByName(rows, allowMissingColumns=True)
