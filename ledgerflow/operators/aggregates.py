@@ -255,3 +255,40 @@ def return_child_totals(tr: DataFrame, inc: DataFrame, ex: DataFrame, doc: DataF
         out = out.join(p, S("id") == S(f"__{name}"), "left").drop(f"__{name}")
         out = out.withColumn(f"{name}_count", F.coalesce(S(f"{name}_count"), F.lit(0)))
     return out
+
+
+# Child lists of the return detail and their order.
+BUNDLE_ORDER = {"income": ("created_at", "asc"), "expenses": ("expense_date", "desc"),
+                "documents": ("created_at", "desc"), "messages": ("created_at", "asc")}
+
+
+def return_bundle(tr: DataFrame, children: dict[str, DataFrame], ids,
+                  chunk_size: int = 500) -> dict[str, DataFrame]:
+    """The nested return detail for requested returns.
+
+    Returns ``{"return": rows, <kind>: (tax_return_id, chunk, items)}``: each
+    child list is ordered as the detail page orders it, numbered with
+    ``row_number`` and cut into arrays of at most ``chunk_size`` items, so no
+    output row holds an unbounded list.  Lists stay separate outputs (joining
+    them would multiply rows).  ``ids`` is anything ``filters.lookup`` takes.
+    """
+    from pyspark.sql import Window
+
+    from .filters import lookup
+
+    out = {"return": lookup(tr, "id", ids)}
+    keys = out["return"].select(S("id").alias("__rid"))
+    for kind, df in children.items():
+        col, direction = BUNDLE_ORDER.get(kind, ("id", "asc"))
+        col = col if col in df.columns else ("seq" if "seq" in df.columns else "id")
+        if col not in df.columns:
+            col = df.columns[0]
+        mine = df.join(keys, S("tax_return_id") == S("__rid"), "left_semi")
+        tie = [S("id").asc()] if "id" in df.columns and col != "id" else []
+        w = Window.partitionBy("tax_return_id").orderBy(pg_order(col, direction), *tie)
+        numbered = mine.withColumn("__pos", F.row_number().over(w))
+        item = F.struct(S("__pos"), *[S(x) for x in df.columns if x != "tax_return_id"])
+        out[kind] = (numbered.groupBy("tax_return_id",
+                                      F.floor((S("__pos") - 1) / chunk_size).alias("chunk"))
+                     .agg(F.sort_array(F.collect_list(item)).alias("items")))
+    return out

@@ -117,3 +117,19 @@ def test_satisfaction(spark):
                                   enumerate([(3, True), (4, True), (5, True), (1, False)])])
     r = A.satisfaction(rv).collect()[0]
     assert (r.total_reviews, r.positive_reviews, r.avg_rating) == (3, 2, 4.0)
+
+
+def test_return_bundle_chunks_and_order(spark):
+    tr = table(spark, "tax_returns", [dict(id="r1"), dict(id="r2")])
+    inc = table(spark, "income_sources", [
+        dict(id=f"i{i}", tax_return_id="r1", gross_income=Decimal(i),
+             created_at=dt.datetime(2024, 1, 1) + dt.timedelta(days=5 - i)) for i in range(5)])
+    ex = table(spark, "expenses", [dict(id="e1", tax_return_id="r2", amount=Decimal("1.00"),
+                                        expense_date=dt.date(2024, 1, 1))])
+    out = A.return_bundle(tr, {"income": inc, "expenses": ex}, ["r1"], chunk_size=2)
+    assert [r.id for r in out["return"].collect()] == ["r1"]
+    chunks = sorted(out["income"].collect(), key=lambda r: r.chunk)
+    assert [len(c.items) for c in chunks] == [2, 2, 1]
+    flat = [it.id for c in chunks for it in c.items]
+    assert flat == ["i4", "i3", "i2", "i1", "i0"]      # oldest first
+    assert out["expenses"].count() == 0                 # r2 not requested
