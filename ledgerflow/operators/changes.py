@@ -66,11 +66,27 @@ def apply_changes(current: DataFrame, changes: DataFrame, key: str,
     ``set_cols``: column -> new value expression (over ``chg_*`` and the
     current row's own column names).  ``rules``: see :data:`Rule`.
     ``cur_cols``: current columns the rules need (as ``cur_<name>``).
+
+    The batch is written once to the checkpoint folder (it is read three
+    times: size check, validation, application) and, when it is checked to
+    be small, broadcast to both joins, so the table itself is scanned but
+    never shuffled.  A big batch falls back to shuffle joins.
     """
-    batch = _chg(last_per_key(changes, key, seq), key)
+    batch = cut_lineage(_chg(last_per_key(changes, key, seq), key))
+    small = is_bounded(batch)
     need = sorted(set(cur_cols or []) - {key})
     target = current.select(S(key).alias("__cur_key"), *[S(x).alias("cur_" + x) for x in need])
-    checked = batch.join(target, S("__key") == S("__cur_key"), "left")
+    # every batch row, with the targeted row's columns when it exists
+    if small:
+        # an outer join cannot build on its preserved side, so: rows found by
+        # a broadcast inner join, plus the (small) rest by an anti join
+        found = target.join(F.broadcast(batch), S("__key") == S("__cur_key"), "inner")
+        missing = batch.join(F.broadcast(found.select(S("__key").alias("__fk"))),
+                             S("__key") == S("__fk"), "left_anti")
+        pad = [F.lit(None).cast(f.dataType).alias(f.name) for f in target.schema.fields]
+        checked = found.unionByName(missing.select("*", *pad))
+    else:
+        checked = target.join(batch, S("__key") == S("__cur_key"), "right")
     reason = F.when(S("__cur_key").isNull(), F.lit("not_found"))
     for name, ok in rules:
         reason = reason.when(~F.coalesce(ok, F.lit(False)), F.lit(name))
@@ -81,7 +97,7 @@ def apply_changes(current: DataFrame, changes: DataFrame, key: str,
                        *[S(x).alias(x[4:]) for x in chg_cols]))
     accepted = (checked.filter(S("reason").isNull())
                 .select("__key", *chg_cols).withColumn("__hit", F.lit(True)))
-    if is_bounded(changes):
+    if small:
         accepted = F.broadcast(accepted)
     j = current.join(accepted, S(key) == S("__key"), "left")
     hit = S("__hit").isNotNull()
