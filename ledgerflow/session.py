@@ -29,6 +29,27 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for the production scale (~100 TB input, ~1000 executors).  Start
+# with many shuffle partitions and let AQE coalesce them to ~256 MiB each;
+# split input files into 512 MiB read tasks; split skewed shuffle partitions
+# above 5x the median (and 512 MiB); allow the runtime broadcast of a
+# finished shuffle stage up to 64 MiB.
+CLUSTER_CONF = {
+    **DEFAULT_CONF,
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(64 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.sources.bucketing.enabled": "true",
+    "spark.sql.sources.v2.bucketing.enabled": "true",
+    "spark.task.maxFailures": "8",
+    "spark.stage.maxConsecutiveAttempts": "8",
+}
+
+
 def build_session(master: str | None = None, app: str = "ledgerflow",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:

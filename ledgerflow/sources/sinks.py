@@ -40,3 +40,26 @@ def write_snapshot(df: DataFrame, base: str, version: int, partition_cols=None)
         w = w.partitionBy(*partition_cols)
     w.parquet(path)
     return path
+
+
+# Join keys the practice tables are bucketed on: returns by their id, the
+# child tables by the return they belong to, so return/child joins (detail,
+# cascades, deletes, per-return aggregates) read co-located buckets and need
+# no shuffle.  Every table in a group must use the same bucket count.
+BUCKET_KEYS = {
+    "tax_returns": "id", "income_sources": "tax_return_id", "expenses": "tax_return_id",
+    "documents": "tax_return_id", "messages": "tax_return_id", "payments": "tax_return_id",
+}
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int,
+                   key: str | None = None, mode: str = "overwrite") -> str:
+    """Save ``df`` as an external table bucketed and sorted by its join key.
+
+    Returns the catalog table name.  Later joins between tables bucketed on
+    the same key with the same bucket count are planned without an exchange.
+    """
+    key = key or BUCKET_KEYS[table]
+    (df.repartition(buckets, key).write.mode(mode).bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(table))
+    return table

@@ -133,3 +133,17 @@ def test_register_views(spark):
     names = tables.register_views(spark, s, prefix="t_")
     row = spark.table(names["tax_return_summary"]).collect()[0]
     assert row.customer_name == "John Smith" and row.accountant_name == "Sarah Johnson"
+
+
+def test_bucketed_tables_join_without_exchange(spark):
+    d = tempfile.mkdtemp(prefix="ledgerflow-bucket-")
+    tr = spark.range(200).select(F.col("id"), (F.col("id") % 7).alias("v"))
+    inc = spark.range(1000).select((F.col("id") % 200).alias("tax_return_id"),
+                                   F.col("id").alias("amount"))
+    sinks.write_bucketed(tr, "lf_b_returns", f"{d}/r", 8, key="id")
+    sinks.write_bucketed(inc, "lf_b_income", f"{d}/i", 8, key="tax_return_id")
+    j = spark.table("lf_b_returns").join(spark.table("lf_b_income"),
+                                         F.col("id") == F.col("tax_return_id"))
+    plan = j._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert j.count() == 1000
