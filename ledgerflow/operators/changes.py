@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import deleted_email, ts_lit
-from ..session import cut_lineage, is_bounded
+from ..session import broadcast_if_bounded, cut_lineage, is_bounded
 from ..sources import schemas as SC
 from .util import present
 
@@ -412,9 +412,11 @@ def delete_returns(tables: dict[str, DataFrame], ids: DataFrame) -> tuple[dict,
     Every step is a semi / anti join on the return id.
     """
     req = ids.select(S(ids.columns[0]).alias("__rid")).distinct()
-    blocked = req.join(tables["reviews"].select(S("tax_return_id").alias("__rv")),
-                       S("__rid") == S("__rv"), "left_semi")
-    go = req.join(blocked, "__rid", "left_anti")
+    blocked = cut_lineage(req.join(tables["reviews"].select(S("tax_return_id").alias("__rv")),
+                                   S("__rid") == S("__rv"), "left_semi"))
+    # the delete set is read once per table: checkpoint it, and broadcast it
+    # when it is checked small so the big tables are filtered without a shuffle
+    go = broadcast_if_bounded(cut_lineage(req.join(blocked, "__rid", "left_anti")))
     out = dict(tables)
     for child in RETURN_CHILDREN:
         if child in tables:
@@ -436,14 +438,15 @@ def delete_documents(docs: DataFrame, requests: DataFrame, grants: DataFrame) ->
     return Applied(docs.join(ok, S("id") == S("__del"), "left_anti"), rejects)
 
 
-def _anti(df: DataFrame, col: str, keys: DataFrame) -> DataFrame:
-    return df.join(keys.select(S(keys.columns[0]).alias("__k")).distinct(),
-                   S(col) == S("__k"), "left_anti")
+def _keys(keys: DataFrame) -> DataFrame:
+    """A checkpointed key set as ``__k``, broadcast when checked small (the
+    check runs once; the result is reused by every join)."""
+    return broadcast_if_bounded(keys.select(S(keys.columns[0]).alias("__k")).distinct())
 
 
-def _semi(df: DataFrame, col: str, keys: DataFrame) -> DataFrame:
-    return df.join(keys.select(S(keys.columns[0]).alias("__k")).distinct(),
-                   S(col) == S("__k"), "left_semi")
+def _anti(df: DataFrame, col: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``col`` is not in the prepared key set."""
+    return df.join(keys, S(col) == S("__k"), "left_anti")
 
 
 def cascade_users(tables: dict[str, DataFrame], user_ids: DataFrame
@@ -459,7 +462,7 @@ def cascade_users(tables: dict[str, DataFrame], user_ids: DataFrame
     def ids(df, col="id"):
         return df.select(S(col).alias("k"))
 
-    users0 = cut_lineage(user_ids.select(S(user_ids.columns[0]).alias("k")).distinct())
+    users0 = user_ids.select(S(user_ids.columns[0]).alias("k")).distinct()
     # What would go with each user.  These key sets are read by every later
     # step, so they are checkpointed once (reliable storage: a lost executor
     # re-reads them instead of re-running the joins).
@@ -471,6 +474,9 @@ def cascade_users(tables: dict[str, DataFrame], user_ids: DataFrame
                        .select(S("id").alias("rid"), "uid"))
 
     blockers = []
+    # owner sets, each size-checked once and reused by the blocking joins
+    user_owner = broadcast_if_bounded(users0.select(S("k").alias("ukey"), S("k").alias("uid")))
+    cust_b, acc_b, rets_b = (broadcast_if_bounded(x) for x in (cust, acc, rets))
 
     def block(table, col, owners, okey, label):
         if table not in tables or col not in tables[table].columns:
@@ -480,15 +486,14 @@ def cascade_users(tables: dict[str, DataFrame], user_ids: DataFrame
                .select("uid").distinct().withColumn("blocked_by", F.lit(label)))
         blockers.append(hit)
 
-    user_owner = users0.select(S("k").alias("ukey"), S("k").alias("uid"))
-    block("tax_returns", "accountant_id", acc, "aid", "tax_returns.accountant_id")
+    block("tax_returns", "accountant_id", acc_b, "aid", "tax_returns.accountant_id")
     block("documents", "uploaded_by", user_owner, "ukey", "documents.uploaded_by")
     block("messages", "sender_id", user_owner, "ukey", "messages.sender_id")
     block("messages", "recipient_id", user_owner, "ukey", "messages.recipient_id")
-    block("payments", "customer_id", cust, "cid", "payments.customer_id")
-    block("reviews", "customer_id", cust, "cid", "reviews.customer_id")
-    block("reviews", "accountant_id", acc, "aid", "reviews.accountant_id")
-    block("reviews", "tax_return_id", rets, "rid", "reviews.tax_return_id")
+    block("payments", "customer_id", cust_b, "cid", "payments.customer_id")
+    block("reviews", "customer_id", cust_b, "cid", "reviews.customer_id")
+    block("reviews", "accountant_id", acc_b, "aid", "reviews.accountant_id")
+    block("reviews", "tax_return_id", rets_b, "rid", "reviews.tax_return_id")
     block("contact_inquiries", "assigned_to", user_owner, "ukey",
           "contact_inquiries.assigned_to")
     block("notifications", "user_id", user_owner, "ukey", "notifications.user_id")
@@ -501,13 +506,14 @@ def cascade_users(tables: dict[str, DataFrame], user_ids: DataFrame
     go_rets = cut_lineage(rets.join(go_users, S("uid") == S("k"), "left_semi").select("rid"))
 
     out = dict(tables)
-    out["users"] = _anti(tables["users"], "id", go_users)
-    out["customers"] = _anti(tables["customers"], "id", go_cust)
-    out["accountants"] = _anti(tables["accountants"], "id", go_acc)
-    out["tax_returns"] = _anti(tables["tax_returns"], "id", go_rets)
+    k_rets = _keys(go_rets)
+    out["users"] = _anti(tables["users"], "id", _keys(go_users))
+    out["customers"] = _anti(tables["customers"], "id", _keys(go_cust))
+    out["accountants"] = _anti(tables["accountants"], "id", _keys(go_acc))
+    out["tax_returns"] = _anti(tables["tax_returns"], "id", k_rets)
     for child in RETURN_CHILDREN:
         if child in tables:
-            out[child] = _anti(tables[child], "tax_return_id", go_rets)
+            out[child] = _anti(tables[child], "tax_return_id", k_rets)
     return out, blocked.select(S("uid").alias("user_id"), "blocked_by")
 
 

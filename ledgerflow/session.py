@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,7 +95,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Never ``localCheckpoint``: its blocks die with the executor.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persisted for the duration of the checkpoint only: the eager count and
+    # the write to the checkpoint folder then compute the data once
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
 
 
 # Row bound under which a dimension side may be broadcast after the check.
