@@ -251,9 +251,9 @@ WHERE tr.status = 'filed'
 ORDER BY tr.created_at DESC NULLS FIRST, tr.id LIMIT 20 OFFSET 40""")
 def page_returns(d: Domain):
     """Third page of filed returns with party names, newest first."""
-    listing = J.return_listing(d.tax_returns, d.customers, d.users, d.accountants,
-                               {"status": "filed"})
-    return P.page(listing, "created_at", "DESC", 3, 20, P.RETURN_SORTS)
+    return J.return_listing_page(d.tax_returns, d.customers, d.users, d.accountants,
+                                 {"status": "filed"}, "created_at", "DESC", 3, 20,
+                                 P.RETURN_SORTS)
 
 
 @register("page_inquiries", views=("contact_inquiries", "users"), oracle="""

@@ -90,3 +90,11 @@ def test_activity_feed_and_top10(spark):
     assert types == ["contact_inquiry", "tax_return_created", "user_registration"]
     top = SO.recent_activity(users(spark), returns(spark), inquiries(spark), AS_OF, 2).collect()
     assert top[0].description == "Ann Lee" and len(top) == 2
+
+
+def test_listing_page_equals_page_of_listing(spark):
+    args = (returns(spark), customers(spark), users(spark), accountants(spark))
+    for pg in (1, 2, 3, 4):
+        fast = J.return_listing_page(*args, {"status": "all"}, "created_at", "desc", pg, 7)
+        slow = P.page(J.return_listing(*args, {"status": "all"}), "created_at", "desc", pg, 7)
+        assert [tuple(r) for r in fast.collect()] == [tuple(r) for r in slow.collect()]
