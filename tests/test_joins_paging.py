@@ -98,3 +98,27 @@ def test_listing_page_equals_page_of_listing(spark):
         fast = J.return_listing_page(*args, {"status": "all"}, "created_at", "desc", pg, 7)
         slow = P.page(J.return_listing(*args, {"status": "all"}), "created_at", "desc", pg, 7)
         assert [tuple(r) for r in fast.collect()] == [tuple(r) for r in slow.collect()]
+
+
+def test_salted_summary_equals_plain(spark):
+    args = (returns(spark), customers(spark), users(spark), accountants(spark))
+    plain = sorted(tuple(r) for r in J.return_summary(*args).collect())
+    salted = sorted(tuple(r) for r in J.return_summary(*args, salt_buckets=4).collect())
+    assert plain == salted and len(plain) == 25
+
+
+def test_invariants_on_test_data(spark):
+    """Status counts add up to the total; revenue chart adds up to its totals."""
+    from ledgerflow.operators import aggregates as A
+    from ledgerflow.sources.standins import AS_OF_RETURNS, Domain
+    d = Domain(spark, "/root/testdata/sf0.01")
+    tr = d.tax_returns
+    st = A.return_stats(tr).collect()[0]
+    others = tr.filter(F.col("status").isin("review", "cancelled")).count()
+    assert (st.pending_returns + st.in_progress_returns + st.completed_returns
+            + st.filed_returns + others) == st.total_returns
+    for period in ("7days", "30days", "12months"):
+        chart = A.revenue_by_period(tr, AS_OF_RETURNS, period).collect()
+        tot = A.revenue_totals(tr, AS_OF_RETURNS, period).collect()[0]
+        assert tot.total_returns == sum(r.returns_count for r in chart)
+        assert tot.total_revenue == sum(r.revenue for r in chart)

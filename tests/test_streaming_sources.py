@@ -147,3 +147,21 @@ def test_bucketed_tables_join_without_exchange(spark):
     plan = j._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert j.count() == 1000
+
+
+def test_monitor_file_sink_restarts_from_checkpoint(spark):
+    d = _stream_dir()
+    raw = spark.readStream.schema(RAW["events"]).parquet(f"{d}/events")
+    log = spark.sql(STANDIN_SQL["request_log"], events=raw)
+    q = RT.start_monitor(RT.rate_breaches(log, max_requests=1), f"{d}/out", f"{d}/ck",
+                         {"availableNow": True})
+    q.awaitTermination(120)
+    first = spark.read.parquet(f"{d}/out").count()
+    # a restart on the same checkpoint with no new input writes nothing again
+    q = RT.start_monitor(RT.rate_breaches(log, max_requests=1), f"{d}/out", f"{d}/ck",
+                         {"availableNow": True})
+    q.awaitTermination(120)
+    assert spark.read.parquet(f"{d}/out").count() == first
+    batch_log = spark.sql(STANDIN_SQL["request_log"],
+                          events=spark.read.parquet(f"{SF}/events.parquet"))
+    assert first <= RT.rate_breaches(batch_log, max_requests=1).count()
