@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .schemas import TABLES
 
 # The default system settings (key, value, description, public).
+# The site's own name and e-mail domain are replaced by neutral placeholders.
 DEFAULT_SETTINGS = [
-    ("site_name", "TaxPro", "Website name", True),
+    ("site_name", "Tax Practice", "Website name", True),
     ("default_tax_return_price", "169.00", "Default price for tax returns in GBP", False),
     ("max_file_upload_size", "10485760", "Maximum file upload size in bytes (10MB)", False),
     ("allowed_file_types", "pdf,jpg,jpeg,png,doc,docx,xls,xlsx", "Allowed file types for uploads",
      False),
     ("tax_year_deadline", "2024-01-31", "Self Assessment deadline", True),
-    ("support_email", "support@taxpro.com", "Support email address", True),
+    ("support_email", "support@example.com", "Support email address", True),
     ("support_phone", "+44 20 1234 5678", "Support phone number", True),
 ]
 
@@ -33,9 +34,9 @@ def seed(spark: SparkSession) -> dict[str, DataFrame]:
 
     now = dt.datetime(2024, 1, 1)
     users = [
-        ("u-admin", "admin@taxpro.com", "", "Admin", "User", "+44 20 1234 5678", "admin", True,
+        ("u-admin", "admin@example.com", "", "Admin", "User", "+44 20 1234 5678", "admin", True,
          None, None, None, None, now, now),
-        ("u-acc", "accountant@taxpro.com", "", "Sarah", "Johnson", "+44 7700 900123",
+        ("u-acc", "accountant@example.com", "", "Sarah", "Johnson", "+44 7700 900123",
          "accountant", True, None, None, None, None, now, now),
         ("u-cust", "customer@example.com", "", "John", "Smith", "+44 7700 900456", "customer",
          True, None, None, None, None, now, now),
