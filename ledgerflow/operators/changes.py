@@ -60,12 +60,16 @@ def last_per_key(changes: DataFrame, key: str, seq: str | None) -> DataFrame:
 def apply_changes(current: DataFrame, changes: DataFrame, key: str,
                   set_cols: dict[str, Column], rules: list[Rule] = (), as_of=None,
                   touch: bool = True, seq: str | None = None,
-                  cur_cols: list[str] | None = None) -> Applied:
+                  cur_cols: list[str] | None = None,
+                  validations: list[Rule] = ()) -> Applied:
     """Apply ``changes`` (one row per targeted ``key``) to ``current``.
 
     ``set_cols``: column -> new value expression (over ``chg_*`` and the
-    current row's own column names).  ``rules``: see :data:`Rule`.
-    ``cur_cols``: current columns the rules need (as ``cur_<name>``).
+    current row's own column names).  Reject reasons are checked in the
+    order the application checks them: ``validations`` (the request alone:
+    role gate, field rules), then ``not_found``, then ``rules`` (need the
+    targeted row, read as ``cur_<name>``; list those columns in
+    ``cur_cols``).  See :data:`Rule`.
 
     The batch is written once to the checkpoint folder (it is read three
     times: size check, validation, application) and, when it is checked to
@@ -87,7 +91,13 @@ def apply_changes(current: DataFrame, changes: DataFrame, key: str,
         checked = found.unionByName(missing.select("*", *pad))
     else:
         checked = target.join(batch, S("__key") == S("__cur_key"), "right")
-    reason = F.when(S("__cur_key").isNull(), F.lit("not_found"))
+    reason = None
+    for name, ok in validations:
+        bad = ~F.coalesce(ok, F.lit(False))
+        reason = F.when(bad, F.lit(name)) if reason is None else reason.when(bad, F.lit(name))
+    missing = S("__cur_key").isNull()
+    reason = (F.when(missing, F.lit("not_found")) if reason is None
+              else reason.when(missing, F.lit("not_found")))
     for name, ok in rules:
         reason = reason.when(~F.coalesce(ok, F.lit(False)), F.lit(name))
     checked = checked.withColumn("reason", reason)
@@ -125,22 +135,34 @@ def touch_updated_at(df: DataFrame, changed: Column, as_of) -> DataFrame:
 
 # -- returns ---------------------------------------------------------------------
 
-def _role_rule(actor_role: str = "chg_actor_role", actor_acc: str = "chg_actor_accountant_id",
-               owner_acc: str = "cur_accountant_id") -> Rule:
-    """Accountants may change only the returns assigned to them."""
-    is_acc = S(actor_role) == F.lit("accountant")
-    return ("not_assigned", ~is_acc | (S(actor_acc) == S(owner_acc)))
+def _role_gate(changes: DataFrame, roles) -> list[Rule]:
+    """The route's role gate, when the batch says who acts (``actor_role``)."""
+    if "actor_role" not in changes.columns:
+        return []
+    return [("forbidden_role", S("chg_actor_role").isin(list(roles)))]
+
+
+def _assigned_rule(changes: DataFrame) -> tuple[list[Rule], list[str]]:
+    """Accountants may act only on the returns assigned to them
+    (``actor_accountant_id`` = the acting accountant's profile id)."""
+    if "actor_role" not in changes.columns:
+        return [], []
+    is_acc = S("chg_actor_role") == F.lit("accountant")
+    mine = S("chg_actor_accountant_id") == S("cur_accountant_id")
+    return [("not_assigned", ~is_acc | mine)], ["accountant_id"]
+
+
+STAFF = ("accountant", "admin")
 
 
 def set_status(current: DataFrame, changes: DataFrame, as_of, seq=None) -> Applied:
-    """changes: id, status[, actor_role, actor_accountant_id]."""
-    rules = [("invalid_status", S("chg_status").isin(SC.RETURN_STATUSES))]
-    cur = []
-    if "actor_role" in changes.columns:
-        rules.append(_role_rule())
-        cur = ["accountant_id"]
+    """changes: id, status[, actor_role, actor_accountant_id].  Accountants and
+    admins only; an accountant only on an assigned return."""
+    checks = _role_gate(changes, STAFF) + [
+        ("invalid_status", S("chg_status").isin(SC.RETURN_STATUSES))]
+    rules, cur = _assigned_rule(changes)
     return apply_changes(current, changes, "id", {"status": S("chg_status")}, rules, as_of,
-                         seq=seq, cur_cols=cur)
+                         seq=seq, cur_cols=cur, validations=checks)
 
 
 def assign_accountant(current: DataFrame, changes: DataFrame, accountants: DataFrame,
@@ -154,7 +176,7 @@ def assign_accountant(current: DataFrame, changes: DataFrame, accountants: DataF
                          {"accountant_id": S("chg_accountant_id"),
                           "status": F.lit("in_progress")},
                          [("inactive_accountant", S("chg___active") == F.lit(True))], as_of,
-                         seq=seq)
+                         seq=seq, validations=_role_gate(changes, ["admin"]))
 
 
 def set_payment_status(current: DataFrame, changes: DataFrame, as_of, seq=None) -> Applied:
@@ -167,23 +189,29 @@ def set_calculations(current: DataFrame, changes: DataFrame, as_of, seq=None) ->
     """Overwrite income, tax due, refund (a missing value becomes NULL)."""
     def col(name):
         return (S("chg_" + name) if name in changes.columns else F.lit(None)).cast("decimal(12,2)")
-    rules = [("income_required", S("chg_total_income").isNotNull()),
-             ("negative_amount", (col("total_income") >= 0)
-              & F.coalesce(col("total_tax_due") >= 0, F.lit(True))
-              & F.coalesce(col("total_refund") >= 0, F.lit(True)))]
+    checks = _role_gate(changes, STAFF) + [
+        ("income_required", S("chg_total_income").isNotNull()),
+        ("negative_amount", (col("total_income") >= 0)
+         & F.coalesce(col("total_tax_due") >= 0, F.lit(True))
+         & F.coalesce(col("total_refund") >= 0, F.lit(True)))]
+    rules, cur = _assigned_rule(changes)
     return apply_changes(current, changes, "id",
                          {"total_income": col("total_income"),
                           "total_tax_due": col("total_tax_due"),
-                          "total_refund": col("total_refund")}, rules, as_of, seq=seq)
+                          "total_refund": col("total_refund")}, rules, as_of, seq=seq,
+                         cur_cols=cur, validations=checks)
 
 
 def mark_filed(current: DataFrame, changes: DataFrame, as_of, seq=None) -> Applied:
-    """changes: id, hmrc_reference (required)."""
+    """changes: id, hmrc_reference (required: not NULL, not the empty string;
+    blanks count as a value, as the route's check does not trim)."""
+    checks = _role_gate(changes, STAFF) + [
+        ("reference_required", F.length(S("chg_hmrc_reference")) > 0)]
+    rules, cur = _assigned_rule(changes)
     return apply_changes(current, changes, "id",
                          {"status": F.lit("filed"), "filed_date": ts_lit(as_of),
                           "hmrc_reference": S("chg_hmrc_reference")},
-                         [("reference_required",
-                           F.length(F.trim(S("chg_hmrc_reference"))) > 0)], as_of, seq=seq)
+                         rules, as_of, seq=seq, cur_cols=cur, validations=checks)
 
 
 def set_notes(current: DataFrame, changes: DataFrame, as_of, seq=None) -> Applied:
@@ -287,8 +315,9 @@ def set_inquiry_status(current: DataFrame, changes: DataFrame, as_of, seq=None)
         {"status": S("chg_status"),
          "responded_at": F.when(S("chg_status") != F.lit("new"), ts_lit(as_of))
          .otherwise(S("responded_at"))},
-        [("invalid_status", S("chg_status").isin(SC.INQUIRY_STATUSES))], as_of, touch=False,
-        seq=seq)
+        [], as_of, touch=False, seq=seq,
+        validations=_role_gate(changes, ["admin"]) + [
+            ("invalid_status", S("chg_status").isin(SC.INQUIRY_STATUSES))])
 
 
 def assign_inquiry(current: DataFrame, changes: DataFrame, users: DataFrame, as_of,
@@ -302,7 +331,9 @@ def assign_inquiry(current: DataFrame, changes: DataFrame, users: DataFrame, as_
         current, chg, "id",
         {"assigned_to": S("chg_assigned_to"),
          "status": F.when(S("status") == F.lit("new"), F.lit("in_progress")).otherwise(S("status"))},
-        [("invalid_admin_user", S("chg___is_admin") == F.lit(True))], as_of, touch=False, seq=seq)
+        [], as_of, touch=False, seq=seq,
+        validations=_role_gate(changes, ["admin"]) + [
+            ("invalid_admin_user", S("chg___is_admin") == F.lit(True))])
 
 
 # -- users, accountants, settings -------------------------------------------------
@@ -321,8 +352,10 @@ def update_profile(current: DataFrame, changes: DataFrame, as_of, seq=None) -> A
 
 
 def set_accountant_active(current: DataFrame, changes: DataFrame, as_of, seq=None) -> Applied:
-    return apply_changes(current, changes, "id", {"is_active": S("chg_is_active")},
-                         [("flag_required", S("chg_is_active").isNotNull())], as_of, seq=seq)
+    """changes: id, is_active.  A missing flag is stored as NULL, as the
+    update passes it through unchecked; unknown ids are rejected."""
+    return apply_changes(current, changes, "id", {"is_active": S("chg_is_active")}, [], as_of,
+                         seq=seq, validations=_role_gate(changes, ["admin"]))
 
 
 def set_setting(current: DataFrame, changes: DataFrame, as_of, seq=None) -> Applied:

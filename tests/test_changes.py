@@ -64,11 +64,13 @@ def test_set_calculations_missing_becomes_null(spark):
 
 def test_mark_filed_and_payment(spark):
     tr = returns(spark)
-    res = C.mark_filed(tr, spark.createDataFrame([("r13", "HM-1"), ("r14", " ")],
+    res = C.mark_filed(tr, spark.createDataFrame([("r13", "HM-1"), ("r14", ""), ("r15", None),
+                                                  ("r16", " ")],
                                                  "id string, hmrc_reference string"), AS_OF)
     st, rj = rows(res.state), rows(res.rejects)
     assert (st["r13"].status, st["r13"].filed_date, st["r13"].hmrc_reference) == ("filed", AS_OF, "HM-1")
-    assert rj["r14"].reason == "reference_required"
+    assert rj["r14"].reason == "reference_required" and rj["r15"].reason == "reference_required"
+    assert st["r16"].status == "filed"          # the route's check does not trim
     pay = C.set_payment_status(tr, spark.createDataFrame([("r01", "paid"), ("r02", "void")],
                                                          "id string, payment_status string"), AS_OF)
     assert rows(pay.rejects)["r02"].reason == "invalid_payment_status"
@@ -214,3 +216,34 @@ def test_delete_documents_uploader_not_customer(spark):
     res = C.delete_documents(docs, req, grants)
     assert res.state.count() == 0
     assert [(r.id, r.user_id) for r in res.rejects.collect()] == [("d1", "u1")]
+
+
+def test_role_gates_and_check_order(spark):
+    tr = returns(spark)
+    chg = spark.createDataFrame(
+        [("r01", "review", "customer", None), ("zz", "bogus", "admin", None),
+         ("zz2", "review", "admin", None), ("r03", "review", "accountant", "a1")],
+        "id string, status string, actor_role string, actor_accountant_id string")
+    rj = rows(C.set_status(tr, chg, AS_OF).rejects)
+    assert rj["r01"].reason == "forbidden_role"
+    assert rj["zz"].reason == "invalid_status"       # request checks come before the lookup
+    assert rj["zz2"].reason == "not_found"
+    assert rj["r03"].reason == "not_assigned"
+    calc = spark.createDataFrame([("r04", Decimal("1.00"), "accountant", "a1"),
+                                  ("r03", Decimal("1.00"), "accountant", "a1")],
+                                 "id string, total_income decimal(12,2), actor_role string, "
+                                 "actor_accountant_id string")
+    res = C.set_calculations(tr, calc, AS_OF)
+    assert rows(res.state)["r04"].total_income == Decimal("1.00")
+    assert rows(res.rejects)["r03"].reason == "not_assigned"
+    asg = spark.createDataFrame([("r13", "a1", "accountant")],
+                                "id string, accountant_id string, actor_role string")
+    assert rows(C.assign_accountant(tr, asg, accountants(spark), AS_OF).rejects)["r13"].reason \
+        == "forbidden_role"
+
+
+def test_missing_active_flag_is_stored_as_null(spark):
+    ac = accountants(spark)
+    res = C.set_accountant_active(ac, spark.createDataFrame([("a1", None)], "id string, is_active boolean"),
+                                  AS_OF)
+    assert rows(res.state)["a1"].is_active is None and res.rejects.count() == 0
