@@ -266,14 +266,23 @@ def create_returns_dedup(current: DataFrame, requests: DataFrame, customers: Dat
     return j.select(*requests.columns, outcome.alias("outcome"))
 
 
-def insert_income(current: DataFrame, new: DataFrame) -> Applied:
+def insert_income(current: DataFrame, new: DataFrame, returns: DataFrame | None = None
+                  ) -> Applied:
     """Add income rows: source type in the list, gross >= 0, tax deducted >= 0
     when given.  A missing ``tax_deducted`` is stored as NULL (the insert
-    names the column), ``ni_contributions`` takes its 0.00 default."""
+    names the column), ``ni_contributions`` takes its 0.00 default.
+
+    With ``returns`` and actor columns (``actor_role``, ``actor_customer_id``,
+    ``actor_accountant_id``) the request is also checked after the field
+    rules: the return must exist, and a customer must own it, an accountant
+    be assigned to it (admins may add to any).
+    """
     def opt(name, typ):
         return (S(name) if name in new.columns else F.lit(None)).cast(typ)
+    actor_cols = present(new, ["actor_role", "actor_customer_id", "actor_accountant_id"])
     rows = new.select(
         *[S(x) for x in present(new, ["id", "tax_return_id", "source_type", "created_at"])],
+        *[S(x) for x in actor_cols],
         opt("gross_income", "decimal(12,2)").alias("gross_income"),
         opt("tax_deducted", "decimal(12,2)").alias("tax_deducted"),
         opt("employer_name", "string").alias("employer_name"),
@@ -283,8 +292,19 @@ def insert_income(current: DataFrame, new: DataFrame) -> Applied:
               .when(~F.coalesce(S("gross_income") >= 0, F.lit(False)), F.lit("invalid_gross_income"))
               .when(S("tax_deducted") < 0, F.lit("invalid_tax_deducted"))
               .when(F.length(F.trim(S("employer_name"))) > 255, F.lit("employer_name_too_long")))
+    if returns is not None and "actor_role" in new.columns:
+        r = returns.select(S("id").alias("__rid"), S("customer_id").alias("__rc"),
+                           S("accountant_id").alias("__ra"))
+        rows = rows.join(r, S("tax_return_id") == S("__rid"), "left")
+        role = S("actor_role")
+        may = ((role == "admin")
+               | ((role == "customer") & (S("actor_customer_id") == S("__rc")))
+               | ((role == "accountant") & (S("actor_accountant_id") == S("__ra"))))
+        reason = (reason.when(S("__rid").isNull(), F.lit("return_not_found"))
+                  .when(~F.coalesce(may, F.lit(False)), F.lit("access_denied")))
     rows = rows.withColumn("reason", reason)
-    good = rows.filter(S("reason").isNull()).drop("reason")
+    rows = rows.drop(*[c for c in ("__rid", "__rc", "__ra") if c in rows.columns])
+    good = rows.filter(S("reason").isNull()).drop("reason", *actor_cols)
     base = current
     for name, typ in (("employer_name", "string"), ("ni_contributions", "decimal(12,2)")):
         if name not in base.columns:

@@ -247,3 +247,21 @@ def test_missing_active_flag_is_stored_as_null(spark):
     res = C.set_accountant_active(ac, spark.createDataFrame([("a1", None)], "id string, is_active boolean"),
                                   AS_OF)
     assert rows(res.state)["a1"].is_active is None and res.rejects.count() == 0
+
+
+def test_insert_income_access(spark):
+    tr = returns(spark)
+    cur = table(spark, "income_sources", [])
+    new = spark.createDataFrame(
+        [("i1", "r01", "employment", Decimal("1.00"), "customer", "c1", None),
+         ("i2", "r02", "employment", Decimal("1.00"), "customer", "c1", None),
+         ("i3", "r04", "employment", Decimal("1.00"), "accountant", None, "a1"),
+         ("i4", "zz", "employment", Decimal("1.00"), "admin", None, None),
+         ("i5", "zz", "salary", Decimal("1.00"), "admin", None, None)],
+        "id string, tax_return_id string, source_type string, gross_income decimal(12,2), "
+        "actor_role string, actor_customer_id string, actor_accountant_id string")
+    res = C.insert_income(cur, new, tr)
+    assert sorted(r.id for r in res.state.collect()) == ["i1", "i3"]
+    assert "actor_role" not in res.state.columns
+    assert {r.id: r.reason for r in res.rejects.collect()} == {
+        "i2": "access_denied", "i4": "return_not_found", "i5": "invalid_source_type"}
