@@ -218,7 +218,9 @@ def dq_foreign_key(tables: dict[str, DataFrame], fks=None, max_parent_rows: int
         by_parent.setdefault(parent, []).append(refs)
     frames = []
     for parent, refs in by_parent.items():
-        ids = broadcast_if_bounded(tables[parent].select(S("id").alias("__p")).distinct(),
+        # no distinct: repeated ids change nothing for an anti join, and a
+        # plain projection lets the size check stop after max_parent_rows
+        ids = broadcast_if_bounded(tables[parent].select(S("id").alias("__p")),
                                    max_parent_rows)
         frames.append(_union(refs).join(ids, S("__v") == S("__p"), "left_anti").select(
             "table_name", "column_name", F.lit(parent).alias("parent_table"),
