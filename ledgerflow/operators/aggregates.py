@@ -61,6 +61,47 @@ def return_stats(tr: DataFrame, filters: dict | None = None, group: list[str] |
     return keyed.groupBy(*group).agg(*return_stat_columns())
 
 
+STAT_ZERO = {"total_returns": 0, "pending_returns": 0, "in_progress_returns": 0,
+             "completed_returns": 0, "filed_returns": 0, "paid_returns": 0,
+             "total_revenue": 0, "avg_income": 0.0}
+
+
+def return_stats_by_user(us: DataFrame, cu: DataFrame, ac: DataFrame, tr: DataFrame
+                         ) -> DataFrame:
+    """The statistics row of every user, over the returns that user may see.
+
+    Customers: their own returns; accountants: the returns assigned to them;
+    admins: all returns; a user without a profile: an empty scope (zeros).
+    Per-profile rows come from one partial aggregate each, then equi-joins on
+    the profile's user; the global row reaches the admins through an
+    equi-join on a constant key (one row on one side - no pairs).
+    """
+    by_cust = (return_stats(tr, group=["customer_id"])
+               .join(cu.select(S("id").alias("__c"), S("user_id").alias("__u")),
+                     S("customer_id") == S("__c")).drop("customer_id", "__c"))
+    by_acc = (return_stats(tr, group=["accountant_id"])
+              .join(ac.select(S("id").alias("__a"), S("user_id").alias("__u")),
+                    S("accountant_id") == S("__a")).drop("accountant_id", "__a"))
+    stat_cols = [c for c in by_cust.columns if c != "__u"]
+    people = us.select(S("id").alias("user_id"), "role")
+    cust_users = (people.filter(S("role") == "customer")
+                  .join(by_cust, S("user_id") == S("__u"), "left").drop("__u"))
+    acc_users = (people.filter(S("role") == "accountant")
+                 .join(by_acc, S("user_id") == S("__u"), "left").drop("__u"))
+    everything = return_stats(tr).withColumn("__k", F.lit(1))
+    admins = (people.filter(S("role") == "admin").withColumn("__k", F.lit(1))
+              .join(F.broadcast(everything), "__k").drop("__k"))
+    others = people.filter(~S("role").isin("customer", "accountant", "admin")
+                           | S("role").isNull())
+    for c in stat_cols:
+        others = others.withColumn(c, F.lit(None))
+    out = (cust_users.unionByName(acc_users).unionByName(admins)
+           .unionByName(others.select(cust_users.columns)))
+    return out.select("user_id", "role",
+                      *[F.coalesce(S(c), F.lit(STAT_ZERO[c])).cast(
+                          by_cust.schema[c].dataType).alias(c) for c in stat_cols])
+
+
 # -- dashboard -------------------------------------------------------------------
 
 def dashboard(us: DataFrame, tr: DataFrame, ci: DataFrame) -> DataFrame:

@@ -133,3 +133,15 @@ def test_return_bundle_chunks_and_order(spark):
     flat = [it.id for c in chunks for it in c.items]
     assert flat == ["i4", "i3", "i2", "i1", "i0"]      # oldest first
     assert out["expenses"].count() == 0                 # r2 not requested
+
+
+def test_return_stats_by_user_scopes(spark):
+    from fixtures import customers
+    out = {r.user_id: r for r in A.return_stats_by_user(
+        users(spark), customers(spark), accountants(spark), returns(spark)).collect()}
+    tr = returns(spark)
+    assert out["u5"].total_returns == 25                             # admin: everything
+    assert out["u1"].total_returns == tr.filter(F.col("customer_id") == "c1").count()
+    assert out["u3"].total_returns == tr.filter(F.col("accountant_id") == "a1").count()
+    assert out["u6"].total_returns == 0 and out["u6"].avg_income == 0.0  # no profile: empty scope
+    assert len(out) == 7
