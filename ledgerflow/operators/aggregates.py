@@ -66,40 +66,59 @@ STAT_ZERO = {"total_returns": 0, "pending_returns": 0, "in_progress_returns": 0,
              "total_revenue": 0, "avg_income": 0.0}
 
 
+def _profile_parts(tr: DataFrame, key: str) -> DataFrame:
+    """Re-aggregatable statistics per profile key (counts and sums only)."""
+    filed = _status("filed")
+    inc = S("total_income").cast("double")
+    return (tr.filter(S(key).isNotNull()).groupBy(S(key).alias("__p"))
+            .agg(F.count(F.lit(1)).alias("total_returns"),
+                 count_where(_status("pending")).alias("pending_returns"),
+                 count_where(_status("in_progress")).alias("in_progress_returns"),
+                 count_where(_status("completed")).alias("completed_returns"),
+                 count_where(filed).alias("filed_returns"),
+                 count_where(_paid()).alias("paid_returns"),
+                 sum_where("price", _paid()).alias("__rev"),
+                 sum_where(inc, filed).alias("__inc_sum"),
+                 F.count(F.when(filed, inc)).alias("__inc_n")))
+
+
 def return_stats_by_user(us: DataFrame, cu: DataFrame, ac: DataFrame, tr: DataFrame
                          ) -> DataFrame:
     """The statistics row of every user, over the returns that user may see.
 
-    Customers: their own returns; accountants: the returns assigned to them;
-    admins: all returns; a user without a profile: an empty scope (zeros).
-    Per-profile rows come from one partial aggregate each, then equi-joins on
-    the profile's user; the global row reaches the admins through an
-    equi-join on a constant key (one row on one side - no pairs).
+    Customers: their own returns; accountants: the returns assigned to them
+    (all of a user's profiles together); admins: all returns; a user without
+    a profile: an empty scope (zeros).  Returns are reduced per profile first
+    (partial aggregates), mapped to their user and summed; the average is
+    rebuilt from the filed-income sum and count.  The global row reaches the
+    admins through an equi-join on a constant key (one row on one side).
     """
-    by_cust = (return_stats(tr, group=["customer_id"])
-               .join(cu.select(S("id").alias("__c"), S("user_id").alias("__u")),
-                     S("customer_id") == S("__c")).drop("customer_id", "__c"))
-    by_acc = (return_stats(tr, group=["accountant_id"])
-              .join(ac.select(S("id").alias("__a"), S("user_id").alias("__u")),
-                    S("accountant_id") == S("__a")).drop("accountant_id", "__a"))
-    stat_cols = [c for c in by_cust.columns if c != "__u"]
+    counts = ["total_returns", "pending_returns", "in_progress_returns", "completed_returns",
+              "filed_returns", "paid_returns"]
+    parts = ["__rev", "__inc_sum", "__inc_n"]
+    cmap = cu.select(S("id").alias("__p"), S("user_id").alias("__u"))
+    amap = ac.select(S("id").alias("__p"), S("user_id").alias("__u"))
+    by_profile = (_profile_parts(tr, "customer_id").join(cmap, "__p")
+                  .withColumn("__role", F.lit("customer"))
+                  .unionByName(_profile_parts(tr, "accountant_id").join(amap, "__p")
+                               .withColumn("__role", F.lit("accountant"))))
+    per_user = (by_profile.groupBy("__u", "__role")
+                .agg(*[F.sum(c).alias(c) for c in counts + parts]))
+    everything = (_profile_parts(tr.withColumn("__all", F.lit(1)), "__all")
+                  .drop("__p").withColumn("__k", F.lit(1)))
     people = us.select(S("id").alias("user_id"), "role")
-    cust_users = (people.filter(S("role") == "customer")
-                  .join(by_cust, S("user_id") == S("__u"), "left").drop("__u"))
-    acc_users = (people.filter(S("role") == "accountant")
-                 .join(by_acc, S("user_id") == S("__u"), "left").drop("__u"))
-    everything = return_stats(tr).withColumn("__k", F.lit(1))
+    scoped = (people.join(per_user, (S("user_id") == S("__u")) & (S("role") == S("__role")),
+                          "left")
+              .drop("__u", "__role"))
     admins = (people.filter(S("role") == "admin").withColumn("__k", F.lit(1))
               .join(F.broadcast(everything), "__k").drop("__k"))
-    others = people.filter(~S("role").isin("customer", "accountant", "admin")
-                           | S("role").isNull())
-    for c in stat_cols:
-        others = others.withColumn(c, F.lit(None))
-    out = (cust_users.unionByName(acc_users).unionByName(admins)
-           .unionByName(others.select(cust_users.columns)))
-    return out.select("user_id", "role",
-                      *[F.coalesce(S(c), F.lit(STAT_ZERO[c])).cast(
-                          by_cust.schema[c].dataType).alias(c) for c in stat_cols])
+    non_admin = scoped.filter(~F.coalesce(S("role") == "admin", F.lit(False)))
+    out = non_admin.unionByName(admins)
+    zero = F.lit(0)
+    return out.select(
+        "user_id", "role", *[F.coalesce(S(c), zero).cast("long").alias(c) for c in counts],
+        money(F.coalesce(S("__rev"), zero)).alias("total_revenue"),
+        avg6(F.coalesce(S("__inc_sum") / S("__inc_n"), F.lit(0.0))).alias("avg_income"))
 
 
 # -- dashboard -------------------------------------------------------------------
