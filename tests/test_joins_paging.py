@@ -122,3 +122,39 @@ def test_invariants_on_test_data(spark):
         tot = A.revenue_totals(tr, AS_OF_RETURNS, period).collect()[0]
         assert tot.total_returns == sum(r.returns_count for r in chart)
         assert tot.total_revenue == sum(r.revenue for r in chart)
+
+
+def test_details_by_ids_and_parties(spark):
+    args = (returns(spark), customers(spark), users(spark), accountants(spark))
+    det = J.return_details(*args, ids=["r01", "r05"]).collect()
+    by = {r.id: r for r in det}
+    assert set(by) == {"r01", "r05"}
+    assert by["r05"].accountant_name == " " and by["r05"].accountant_email is None
+    assert by["r01"].customer_email == "ann@example.com"
+    parties = {r.id: r for r in J.return_parties(returns(spark), customers(spark),
+                                                 accountants(spark)).collect()}
+    assert parties["r05"].accountant_user_id is None and parties["r01"].customer_user_id == "u1"
+
+
+def test_inquiry_detail_and_profile_ids(spark):
+    det = {r.id: r for r in J.inquiry_detail(inquiries(spark), users(spark), ["i1", "i2"]).collect()}
+    assert set(det) == {"i1", "i2"} and det["i2"].assigned_to_email == "eve@example.com"
+    ids = {r.user_id: (r.customer_id, r.accountant_id)
+           for r in J.profile_ids(users(spark), customers(spark), accountants(spark))
+           .filter(F.col("user_id").isin("u1", "u5")).collect()}
+    assert ids == {"u1": ("c1", None), "u5": (None, None)}
+
+
+def test_document_owner_and_view_grants(spark):
+    from ledgerflow.operators import access as AC
+    docs = table(spark, "documents", [dict(id="d1", tax_return_id="r01", uploaded_by="u3"),
+                                      dict(id="d2", tax_return_id="r04", uploaded_by="u1"),
+                                      dict(id="d3", tax_return_id="nope", uploaded_by="u1")])
+    own = {r.id: (r.customer_id, r.accountant_id) for r in J.document_owner(docs, returns(spark)).collect()}
+    assert own == {"d1": ("c1", "a1"), "d2": ("c2", "a1")}   # d3 has no return
+    g = AC.visible_documents(users(spark), customers(spark), accountants(spark), returns(spark),
+                             docs, "view")
+    rows = {(r.user_id, r.object_id, r.scope) for r in g.collect()}
+    assert ("u1", "d1", "row") in rows and ("u3", "d1", "row") in rows
+    assert ("u1", "d2", "row") not in rows                    # uploader alone may not view
+    assert ("u5", None, "all") in rows
