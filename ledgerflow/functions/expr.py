@@ -85,6 +85,18 @@ def deleted_email(email: ColumnOrName, as_of) -> Column:
     return pg_concat(email, F.lit("_deleted_" + epoch_text(as_of)))
 
 
+def stable_uuid(*parts: ColumnOrName) -> Column:
+    """A UUID-shaped id derived from the row's natural key (md5 of the parts).
+
+    Unlike ``uuid()``, it is the same in every job and every task retry, so
+    a new user and the profile row that points at it always agree, and a
+    recomputed partition produces the same ids.
+    """
+    h = F.md5(F.concat_ws("\u0001", *[F.coalesce(c(p).cast("string"), F.lit("")) for p in parts]))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
+                       F.substring(h, 17, 4), F.substring(h, 21, 12))
+
+
 def ilike_any(cols: list[ColumnOrName], text: str) -> Column:
     """Case-insensitive ``%text%`` over several columns, OR-ed.
 

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import deleted_email, ts_lit
+from ..functions.expr import deleted_email, stable_uuid, ts_lit
 from ..session import broadcast_if_bounded, cut_lineage, is_bounded
 from ..sources import schemas as SC
 from .util import present
@@ -226,8 +226,12 @@ def insert_returns(current: DataFrame, new: DataFrame, as_of) -> DataFrame:
     """
     def given(name, default: Column):
         return F.coalesce(S(name), default) if name in new.columns else default
+    # one return per (customer, tax year) is the rule, so that pair (with the
+    # clock) names a new return reproducibly
+    new_id = stable_uuid(F.lit("tax_returns"), S("customer_id"), S("tax_year"),
+                         F.lit(str(as_of)))
     rows = new.select(
-        given("id", F.expr("uuid()")).cast(current.schema["id"].dataType).alias("id"),
+        given("id", new_id).cast(current.schema["id"].dataType).alias("id"),
         S("customer_id").cast(current.schema["customer_id"].dataType).alias("customer_id"),
         S("tax_year"), S("situation_type"),
         given("submission_deadline", F.lit(SC.DEFAULT_DEADLINE).cast("date"))
@@ -280,6 +284,11 @@ def insert_income(current: DataFrame, new: DataFrame, returns: DataFrame | None
     def opt(name, typ):
         return (S(name) if name in new.columns else F.lit(None)).cast(typ)
     actor_cols = present(new, ["actor_role", "actor_customer_id", "actor_accountant_id"])
+    if "id" not in new.columns and "id" in current.columns:
+        # no request id: name the line by its content (identical lines in one
+        # batch then share an id, which dq_unique reports)
+        new = new.withColumn("id", stable_uuid(F.lit("income_sources"),
+                                               *[S(x) for x in sorted(new.columns)]))
     rows = new.select(
         *[S(x) for x in present(new, ["id", "tax_return_id", "source_type", "created_at"])],
         *[S(x) for x in actor_cols],
@@ -317,7 +326,11 @@ def insert_income(current: DataFrame, new: DataFrame, returns: DataFrame | None
 # -- inquiries -------------------------------------------------------------------
 
 def insert_inquiries(current: DataFrame, new: DataFrame, as_of) -> DataFrame:
-    """New inquiries: type defaults to general, status new, created now."""
+    """New inquiries: type defaults to general, status new, created now.
+    Without a request id, the inquiry is named by its content and clock."""
+    if "id" not in new.columns and "id" in current.columns:
+        new = new.withColumn("id", stable_uuid(F.lit("contact_inquiries"), F.lit(str(as_of)),
+                                               *[S(x) for x in sorted(new.columns)]))
     rows = new.select(
         *[S(x) for x in new.columns if x not in ("inquiry_type", "status", "created_at")],
         F.coalesce(S("inquiry_type") if "inquiry_type" in new.columns else F.lit(None),
@@ -415,7 +428,8 @@ def register_users(users: DataFrame, requests: DataFrame, as_of, order_col: str
                .otherwise(F.lit("accepted")))
     outcomes = j.select(*req.columns, outcome.alias("outcome"))
     ok = outcomes.filter(S("outcome") == "accepted")
-    uid = S("id") if "id" in req.columns else F.expr("uuid()")
+    # e-mails are unique after the checks above: they name the new users
+    uid = S("id") if "id" in req.columns else stable_uuid(F.lit("users"), S("email"))
     new_users = ok.select(uid.alias("id"), "email", "first_name", "last_name",
                           *present(ok, ["phone"]), "role",
                           F.lit(False).alias("is_verified"), ts_lit(as_of).alias("created_at"))

@@ -265,3 +265,28 @@ def test_insert_income_access(spark):
     assert "actor_role" not in res.state.columns
     assert {r.id: r.reason for r in res.rejects.collect()} == {
         "i2": "access_denied", "i4": "return_not_found", "i5": "invalid_source_type"}
+
+
+def test_generated_ids_are_stable_across_jobs(spark):
+    req = spark.createDataFrame([(1, "x@y.com", "Xa", "Ya", None), (2, "z@y.com", "Za", "Wa",
+                                                                    "accountant")],
+                                "seq int, email string, first_name string, last_name string, role string")
+    reg = C.register_users(users(spark), req, AS_OF)
+    ids = {r.id for r in reg.users.collect()}
+    linked = {r.user_id for r in reg.customers.collect()} | {r.user_id for r in reg.accountants.collect()}
+    assert linked == ids and len(ids) == 2
+    assert ids == {r.id for r in reg.users.collect()}          # same again in a new job
+    new = spark.createDataFrame([("c1", "2030-31", "other")],
+                                "customer_id string, tax_year string, situation_type string")
+    a = C.insert_returns(returns(spark), new, AS_OF).filter(F.col("tax_year") == "2030-31")
+    assert a.collect()[0].id == a.collect()[0].id and len(a.collect()[0].id) == 36
+
+
+def test_inserted_rows_get_ids(spark):
+    new = spark.createDataFrame([("Hello", None)], "subject string, inquiry_type string")
+    out = C.insert_inquiries(inquiries(spark), new, AS_OF).filter(F.col("subject") == "Hello")
+    assert len(out.collect()[0].id) == 36
+    cur = table(spark, "income_sources", [])
+    inc = spark.createDataFrame([("r01", "rental", Decimal("5.00"))],
+                                "tax_return_id string, source_type string, gross_income decimal(12,2)")
+    assert len(C.insert_income(cur, inc).state.collect()[0].id) == 36
