@@ -327,14 +327,14 @@ def return_bundle(tr: DataFrame, children: dict[str, DataFrame], ids,
     """The nested return detail for requested returns.
 
     Returns ``{"return": rows, <kind>: (tax_return_id, chunk, items)}``: each
-    child list is ordered as the detail page orders it, numbered with
-    ``row_number`` and cut into arrays of at most ``chunk_size`` items, so no
-    output row holds an unbounded list.  Lists stay separate outputs (joining
+    child list is ordered as the detail page orders it, numbered by
+    ``paging.positions`` (no window over a whole return, so a return with
+    millions of children is spread over many tasks) and cut into arrays of
+    at most ``chunk_size`` items, so no output row holds an unbounded list.  Lists stay separate outputs (joining
     them would multiply rows).  ``ids`` is anything ``filters.lookup`` takes.
     """
-    from pyspark.sql import Window
-
     from .filters import lookup
+    from .paging import positions
 
     out = {"return": lookup(tr, "id", ids)}
     keys = out["return"].select(S("id").alias("__rid"))
@@ -345,8 +345,7 @@ def return_bundle(tr: DataFrame, children: dict[str, DataFrame], ids,
             col = df.columns[0]
         mine = df.join(keys, S("tax_return_id") == S("__rid"), "left_semi")
         tie = [S("id").asc()] if "id" in df.columns and col != "id" else []
-        w = Window.partitionBy("tax_return_id").orderBy(pg_order(col, direction), *tie)
-        numbered = mine.withColumn("__pos", F.row_number().over(w))
+        numbered = positions(mine, "tax_return_id", [pg_order(col, direction), *tie], "__pos")
         item = F.struct(S("__pos"), *[S(x) for x in df.columns if x != "tax_return_id"])
         out[kind] = (numbered.groupBy("tax_return_id",
                                       F.floor((S("__pos") - 1) / chunk_size).alias("chunk"))

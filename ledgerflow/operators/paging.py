@@ -60,3 +60,29 @@ def top_per_group(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
     w = Window.partitionBy(group).orderBy(*order)
     return (df.withColumn("__rn", F.row_number().over(w))
             .filter(F.col("__rn") <= k).drop("__rn"))
+
+
+def positions(df: DataFrame, group: str, order: list, name: str = "pos") -> DataFrame:
+    """1-based position of every row within its group under ``order``,
+    without putting a group into one task.
+
+    A global sort range-partitions the rows on (group, order), so a group
+    holding a third of the data spans many partitions.  Row numbers within
+    each partition are fixed by a checkpoint (so a retried task cannot
+    reshuffle them); a small table of (group, partition) row counts gives
+    each partition's offset in its group by a prefix sum, and the position is
+    that offset plus the row's index in the partition.
+    """
+    from ..session import cut_lineage
+
+    s = (df.orderBy(F.col(group).asc_nulls_last(), *order)
+         .withColumn("__pid", F.spark_partition_id())
+         .withColumn("__mid", F.monotonically_increasing_id()))
+    s = cut_lineage(s)
+    parts = s.groupBy(group, "__pid").agg(F.count(F.lit(1)).alias("__n"),
+                                          F.min("__mid").alias("__m0"))
+    before = Window.partitionBy(group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    j = s.join(parts.drop("__n"), [group, "__pid"])
+    return (j.withColumn(name, (F.col("__off") + (F.col("__mid") - F.col("__m0")) + 1).cast("long"))
+            .drop("__pid", "__mid", "__m0", "__off"))

@@ -158,3 +158,15 @@ def test_document_owner_and_view_grants(spark):
     assert ("u1", "d1", "row") in rows and ("u3", "d1", "row") in rows
     assert ("u1", "d2", "row") not in rows                    # uploader alone may not view
     assert ("u5", None, "all") in rows
+
+
+def test_positions_equal_row_number(spark):
+    from pyspark.sql import Window
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1000).alias("v"),
+                                  F.col("id"))
+    df = df.union(spark.range(3000, 9000).select(F.lit(0).cast("long").alias("g"),
+                                                 (F.col("id") % 13).alias("v"), F.col("id")))
+    got = P.positions(df.repartition(7), "g", [F.col("v").desc(), F.col("id")])
+    w = Window.partitionBy("g").orderBy(F.col("v").desc(), F.col("id"))
+    want = df.withColumn("pos", F.row_number().over(w))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
