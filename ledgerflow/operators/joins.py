@@ -271,3 +271,25 @@ def return_listing_page(tr: DataFrame, cu: DataFrame, us: DataFrame, ac: DataFra
                                        "accountant_email": "ac_email"}))
     d = "desc" if str(direction).lower() == "desc" else "asc"
     return out.orderBy(pg_order(sort, d), S("id").asc())
+
+
+def inquiry_listing_page(ci: DataFrame, us: DataFrame, filters: dict | None = None,
+                         sort: str = "created_at", direction: str = "DESC", page_no: int = 1,
+                         limit: int = 20, allowed=None) -> DataFrame:
+    """One page of the inquiry list, the assignee joined for that page only.
+
+    The assignee join is a left join (it drops no inquiry), so the page can
+    be taken from the inquiries alone (a per-task top-k) and only its rows
+    joined with the few users they name.
+    """
+    from .paging import page
+
+    top = page(filter_eq(ci, filters), sort, direction, page_no, limit, allowed)
+    people = _people(us, "as_", extra=()).join(
+        F.broadcast(top.select(S("assigned_to").alias("__a")).distinct()),
+        S("as_uid") == S("__a"), "left_semi")
+    j = top.join(F.broadcast(people), S("assigned_to") == S("as_uid"), "left")
+    d = "desc" if str(direction).lower() == "desc" else "asc"
+    return (j.select(*[S(x) for x in ci.columns],
+                     full_name("as_first_name", "as_last_name").alias("assigned_to_name"))
+            .orderBy(pg_order(sort, d), S("id").asc()))

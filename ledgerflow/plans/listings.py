@@ -262,8 +262,8 @@ FROM contact_inquiries ci LEFT JOIN users u ON ci.assigned_to = u.id
 WHERE ci.status = 'new'
 ORDER BY ci.created_at DESC NULLS FIRST, ci.id LIMIT 20""")
 def page_inquiries(d: Domain):
-    listing = J.inquiry_listing(d.inquiries, d.users, {"status": "new", "inquiry_type": "all"})
-    return P.page(listing, "created_at", "desc", 1, 20, P.INQUIRY_SORTS)
+    return J.inquiry_listing_page(d.inquiries, d.users, {"status": "new", "inquiry_type": "all"},
+                                  "created_at", "desc", 1, 20, P.INQUIRY_SORTS)
 
 
 FEED_SQL = f"""

@@ -170,3 +170,10 @@ def test_positions_equal_row_number(spark):
     w = Window.partitionBy("g").orderBy(F.col("v").desc(), F.col("id"))
     want = df.withColumn("pos", F.row_number().over(w))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_inquiry_page_equals_page_of_listing(spark):
+    for pg in (1, 2, 3):
+        fast = J.inquiry_listing_page(inquiries(spark), users(spark), None, "created_at", "desc", pg, 1)
+        slow = P.page(J.inquiry_listing(inquiries(spark), users(spark)), "created_at", "desc", pg, 1)
+        assert [tuple(r) for r in fast.collect()] == [tuple(r) for r in slow.collect()]
