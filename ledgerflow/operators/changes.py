@@ -621,3 +621,29 @@ def audit_diff(before: DataFrame, after: DataFrame, table: str, key: str = "id",
                     F.when(S("__ak").isNull(), F.lit(None).cast("string"))
                     .when(upd, obj("a_", True)).otherwise(obj("a_", False)).alias("new_values")))
 
+
+
+def create_returns(current: DataFrame, requests: DataFrame, customers: DataFrame, as_of,
+                   order_col: str = "seq") -> Applied:
+    """The whole create-return request flow as one job.
+
+    Validation split (tax year format, situation type, ISO deadline), then
+    the duplicate checks (profile, existing year, repeat in the batch), then
+    the insert with defaults.  Rejects carry the outcome and, for invalid
+    requests, the validation messages.
+    """
+    from .quality import validate_returns
+
+    req = requests
+    if "submission_deadline" not in req.columns:
+        req = req.withColumn("submission_deadline", F.lit(None).cast("date"))
+    checked = validate_returns(req)
+    valid = checked.filter(S("valid")).drop("valid", "errors")
+    invalid = (checked.filter(~S("valid")).drop("valid")
+               .withColumn("outcome", F.lit("invalid")))
+    outcomes = create_returns_dedup(current, valid, customers, order_col)
+    accepted = outcomes.filter(S("outcome") == "accepted").drop("outcome", order_col)
+    state = insert_returns(current, accepted, as_of)
+    refused = (outcomes.filter(S("outcome") != "accepted")
+               .withColumn("errors", F.array().cast("array<string>")))
+    return Applied(state, refused.unionByName(invalid, allowMissingColumns=True))

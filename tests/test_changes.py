@@ -290,3 +290,18 @@ def test_inserted_rows_get_ids(spark):
     inc = spark.createDataFrame([("r01", "rental", Decimal("5.00"))],
                                 "tax_return_id string, source_type string, gross_income decimal(12,2)")
     assert len(C.insert_income(cur, inc).state.collect()[0].id) == 36
+
+
+def test_create_returns_flow(spark):
+    req = spark.createDataFrame(
+        [(1, "c1", "2030-31", "other"), (2, "c1", "2030-31", "landlord"),
+         (3, "c2", "2030/31", "other"), (4, "c1", "2022-23", "investor"), (5, "c2", "2031-32", "pirate")],
+        "seq int, customer_id string, tax_year string, situation_type string")
+    res = C.create_returns(returns(spark), req, customers(spark), AS_OF)
+    new = res.state.filter(F.col("tax_year") == "2030-31").collect()
+    assert len(new) == 1 and new[0].situation_type == "other" and new[0].status == "pending"
+    assert res.state.count() == returns(spark).count() + 1
+    out = {r.seq: (r.outcome, list(r.errors or [])) for r in res.rejects.collect()}
+    assert out[2][0] == "duplicate_in_batch" and out[4][0] == "duplicate_year"
+    assert out[3][0] == "invalid" and "Tax year must be in format YYYY-YY (e.g., 2023-24)" in out[3][1]
+    assert out[5] == ("invalid", ["Invalid situation type"])
