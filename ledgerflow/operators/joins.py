@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import full_name
-from ..session import MAX_BROADCAST_ROWS, is_bounded
+from ..session import MAX_BROADCAST_ROWS, cut_lineage, is_bounded
 from .filters import SECRET_USER_COLUMNS, filter_eq, lookup
 from .util import left_join_split_nulls, pg_order, present, salted_join
 
@@ -239,29 +239,46 @@ def return_listing_page(tr: DataFrame, cu: DataFrame, us: DataFrame, ac: DataFra
                         allowed=None) -> DataFrame:
     """One page of the admin return list, names joined for that page only.
 
-    Equal to ``page(return_listing(...))`` but the sort runs on a narrow
-    projection (key, sort column) of the returns that survive the inner join
-    with their customer's user (a semi join), the page's ids are then used
-    to fetch the full rows (broadcast semi join: the table is scanned, not
-    shuffled), and only those rows are joined with the dimensions - which
-    are first cut down to the page's customers and accountants.
+    Equal to ``page(return_listing(...))``:
+
+    1. the sort runs on a narrow projection (id, sort key) of the filtered
+       returns that survive the inner join with their customer's user (a
+       semi join on key columns only);
+    2. the page's ids fetch the full rows (broadcast semi join: the returns
+       are scanned, not shuffled), checkpointed once (at most ``limit``
+       rows) so later steps do not re-run the sort;
+    3. customers, accountants and users are cut to the page's parties by
+       broadcast semi joins (scans of at most ``2 * limit`` matching rows),
+       and those tiny pieces are joined.
     """
     from .paging import page
 
     f = filter_eq(tr, filters)
-    cust_keys = customer_dim(cu, us).select(S("cu_id").alias("__ck"))
+    with_user = (cu.select(S("id").alias("__ck"), S("user_id").alias("__cu"))
+                 .join(us.select(S("id").alias("__uk")), S("__cu") == S("__uk"), "left_semi")
+                 .select("__ck"))
     narrow = (f.select("id", sort, "customer_id")
-              .join(cust_keys, S("customer_id") == S("__ck"), "left_semi")
+              .join(with_user, S("customer_id") == S("__ck"), "left_semi")
               .select("id", sort))
     top = page(narrow, sort, direction, page_no, limit, allowed).select(S("id").alias("__pid"))
-    rows = f.join(F.broadcast(top), S("id") == S("__pid"), "left_semi")
-    # dimensions cut to the page's parties (tiny), then joined to the page
-    cdim = customer_dim(cu, us).join(
-        F.broadcast(rows.select(S("customer_id").alias("__pc")).distinct()),
+    # the page (at most `limit` rows) is read by every later step: materialize
+    # it once so the sort and the table scan are not re-run per reference
+    rows = cut_lineage(f.join(F.broadcast(top), S("id") == S("__pid"), "left_semi"))
+    # the page's parties: at most `limit` customers and accountants
+    cu_s = cu.select(S("id").alias("cu_id"), S("user_id").alias("cu_user_id")).join(
+        F.broadcast(rows.select(S("customer_id").alias("__pc"))),
         S("cu_id") == S("__pc"), "left_semi")
-    adim = accountant_dim(ac, us).join(
-        F.broadcast(rows.select(S("accountant_id").alias("__pa")).distinct()),
+    ac_s = ac.select(S("id").alias("ac_id"), S("user_id").alias("ac_user_id")).join(
+        F.broadcast(rows.select(S("accountant_id").alias("__pa"))),
         S("ac_id") == S("__pa"), "left_semi")
+    # semi joins ignore repeats, so the tiny key lists need no distinct
+    uids = (cu_s.select(S("cu_user_id").alias("__u"))
+            .unionByName(ac_s.select(S("ac_user_id").alias("__u"))))
+    us_s = us.join(F.broadcast(uids), S("id") == S("__u"), "left_semi")
+    cdim = (F.broadcast(cu_s).join(_people(us_s, "cu_"), S("cu_user_id") == S("cu_uid"), "inner")
+            .drop("cu_uid", "cu_user_id"))
+    adim = (ac_s.join(F.broadcast(_people(us_s, "ac_")), S("ac_user_id") == S("ac_uid"), "left")
+            .drop("ac_uid", "ac_user_id"))
     j = (rows.join(F.broadcast(cdim), S("customer_id") == S("cu_id"), "inner")
          .join(F.broadcast(adim), S("accountant_id") == S("ac_id"), "left"))
     out = j.select(*[S(x) for x in tr.columns],
@@ -284,9 +301,10 @@ def inquiry_listing_page(ci: DataFrame, us: DataFrame, filters: dict | None = No
     """
     from .paging import page
 
-    top = page(filter_eq(ci, filters), sort, direction, page_no, limit, allowed)
+    # the page (at most `limit` rows) is read twice below: materialize it once
+    top = cut_lineage(page(filter_eq(ci, filters), sort, direction, page_no, limit, allowed))
     people = _people(us, "as_", extra=()).join(
-        F.broadcast(top.select(S("assigned_to").alias("__a")).distinct()),
+        F.broadcast(top.select(S("assigned_to").alias("__a"))),
         S("as_uid") == S("__a"), "left_semi")
     j = top.join(F.broadcast(people), S("assigned_to") == S("as_uid"), "left")
     d = "desc" if str(direction).lower() == "desc" else "asc"
