@@ -30,20 +30,38 @@ def _all_grants(us: DataFrame, obj_type) -> DataFrame:
         F.lit("all").alias("scope"))
 
 
+def party_map(us: DataFrame, cu: DataFrame, ac: DataFrame) -> DataFrame:
+    """(kind, key, user_id): which user stands behind a customer or accountant
+    profile, kept only when the user has that role (one semi join)."""
+    profiles = (cu.select(F.lit("customer").alias("kind"), S("id").cast("string").alias("key"),
+                          "user_id")
+                .unionByName(ac.select(F.lit("accountant").alias("kind"),
+                                       S("id").cast("string").alias("key"), "user_id")))
+    roles = us.select(S("id").alias("__uid"), S("role").alias("__role"))
+    return profiles.join(roles, (S("user_id") == S("__uid")) & (S("kind") == S("__role")),
+                         "left_semi")
+
+
+def _parties(df: DataFrame, obj_col: str, kinds: dict[str, str]) -> DataFrame:
+    """One narrow row per (object, party kind, party key): the object table is
+    read once for every kind of party."""
+    entries = [F.struct(F.lit(k).alias("kind"), S(col).cast("string").alias("key"))
+               for k, col in kinds.items()]
+    return (df.select(S(obj_col).alias("object_id"), F.explode(F.array(*entries)).alias("__p"))
+            .select("object_id", "__p.kind", "__p.key").filter(S("key").isNotNull()))
+
+
 def visible_returns(us: DataFrame, cu: DataFrame, ac: DataFrame, tr: DataFrame) -> DataFrame:
-    """Grants (user_id, object_id = return id, scope) for viewing returns."""
+    """Grants (user_id, object_id = return id, scope) for viewing returns.
+
+    Each return yields a customer and an accountant party row (one scan),
+    matched to users through one join with the role-checked party map.
+    """
     obj_type = tr.schema["id"].dataType
-    own = (tr.select(S("id").alias("object_id"), "customer_id")
-           .join(cu.select(S("id").alias("__cid"), S("user_id")), S("customer_id") == S("__cid"))
-           .join(_role_users(us, "customer"), S("user_id") == S("__uid"), "left_semi")
-           .select("user_id", "object_id", F.lit("row").alias("scope")))
-    assigned = (tr.filter(S("accountant_id").isNotNull())
-                .select(S("id").alias("object_id"), "accountant_id")
-                .join(ac.select(S("id").alias("__aid"), S("user_id")),
-                      S("accountant_id") == S("__aid"))
-                .join(_role_users(us, "accountant"), S("user_id") == S("__uid"), "left_semi")
-                .select("user_id", "object_id", F.lit("row").alias("scope")))
-    return own.unionByName(assigned).unionByName(_all_grants(us, obj_type))
+    parts = _parties(tr, "id", {"customer": "customer_id", "accountant": "accountant_id"})
+    rows = (parts.join(party_map(us, cu, ac), ["kind", "key"])
+            .select("user_id", "object_id", F.lit("row").alias("scope")))
+    return rows.unionByName(_all_grants(us, obj_type))
 
 
 def visible_documents(us: DataFrame, cu: DataFrame, ac: DataFrame, tr: DataFrame,
@@ -53,28 +71,23 @@ def visible_documents(us: DataFrame, cu: DataFrame, ac: DataFrame, tr: DataFrame
     view:   admin, the return's customer, the return's assigned accountant.
     delete: admin, the uploader (any role), the return's assigned accountant;
             the return's customer alone may not delete.
+    A document needs its return (inner join); its parties are then matched
+    to users in one join (the uploader maps to itself when it is a user).
     """
     obj_type = docs.schema["id"].dataType
-    doc_ret = docs.select(S("id").alias("object_id"), S("tax_return_id"),
-                          *(["uploaded_by"] if "uploaded_by" in docs.columns else []))
     ret = tr.select(S("id").alias("__rid"), "customer_id", "accountant_id")
-    dr = doc_ret.join(ret, S("tax_return_id") == S("__rid"))  # a document needs its return
-    assigned = (dr.filter(S("accountant_id").isNotNull())
-                .join(ac.select(S("id").alias("__aid"), S("user_id")),
-                      S("accountant_id") == S("__aid"))
-                .join(_role_users(us, "accountant"), S("user_id") == S("__uid"), "left_semi")
-                .select("user_id", "object_id"))
+    cols = ["id", "tax_return_id"] + (["uploaded_by"] if "uploaded_by" in docs.columns else [])
+    dr = docs.select(*cols).join(ret, S("tax_return_id") == S("__rid"))
+    pmap = party_map(us, cu, ac)
     if action == "delete":
-        other = (dr.filter(S("uploaded_by").isNotNull())
-                 .join(us.select(S("id").alias("__uid")), S("uploaded_by") == S("__uid"),
-                       "left_semi")
-                 .select(S("uploaded_by").alias("user_id"), "object_id"))
+        kinds = {"uploader": "uploaded_by", "accountant": "accountant_id"}
+        pmap = pmap.filter(S("kind") == "accountant").unionByName(
+            us.select(F.lit("uploader").alias("kind"), S("id").cast("string").alias("key"),
+                      S("id").alias("user_id")))
     else:
-        other = (dr.join(cu.select(S("id").alias("__cid"), S("user_id")),
-                         S("customer_id") == S("__cid"))
-                 .join(_role_users(us, "customer"), S("user_id") == S("__uid"), "left_semi")
-                 .select("user_id", "object_id"))
-    rows = assigned.unionByName(other).distinct().withColumn("scope", F.lit("row"))
+        kinds = {"customer": "customer_id", "accountant": "accountant_id"}
+    rows = (_parties(dr, "id", kinds).join(pmap, ["kind", "key"])
+            .select("user_id", "object_id").distinct().withColumn("scope", F.lit("row")))
     return rows.unionByName(_all_grants(us, obj_type))
 
 
