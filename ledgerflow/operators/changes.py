@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import deleted_email, stable_uuid, ts_lit
-from ..session import broadcast_if_bounded, cut_lineage, is_bounded
+from ..session import bounded_many, broadcast_if_bounded, cut_lineage, is_bounded
 from ..sources import schemas as SC
 from .util import present
 
@@ -505,12 +505,6 @@ def delete_documents(docs: DataFrame, requests: DataFrame, grants: DataFrame) ->
     return Applied(docs.join(ok, S("id") == S("__del"), "left_anti"), rejects)
 
 
-def _keys(keys: DataFrame) -> DataFrame:
-    """A checkpointed key set as ``__k``, broadcast when checked small (the
-    check runs once; the result is reused by every join)."""
-    return broadcast_if_bounded(keys.select(S(keys.columns[0]).alias("__k")).distinct())
-
-
 def _anti(df: DataFrame, col: str, keys: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``col`` is not in the prepared key set."""
     return df.join(keys, S(col) == S("__k"), "left_anti")
@@ -542,8 +536,11 @@ def cascade_users(tables: dict[str, DataFrame], user_ids: DataFrame
 
     blockers = []
     # owner sets, each size-checked once and reused by the blocking joins
-    user_owner = broadcast_if_bounded(users0.select(S("k").alias("ukey"), S("k").alias("uid")))
-    cust_b, acc_b, rets_b = (broadcast_if_bounded(x) for x in (cust, acc, rets))
+    user_owner = users0.select(S("k").alias("ukey"), S("k").alias("uid"))
+    small = bounded_many({"u": user_owner, "c": cust, "a": acc, "r": rets})   # one job
+    user_owner, cust_b, acc_b, rets_b = (
+        F.broadcast(df) if small[t] else df
+        for t, df in (("u", user_owner), ("c", cust), ("a", acc), ("r", rets)))
 
     def block(table, col, owners, okey, label):
         if table not in tables or col not in tables[table].columns:
@@ -573,10 +570,15 @@ def cascade_users(tables: dict[str, DataFrame], user_ids: DataFrame
     go_rets = cut_lineage(rets.join(go_users, S("uid") == S("k"), "left_semi").select("rid"))
 
     out = dict(tables)
-    k_rets = _keys(go_rets)
-    out["users"] = _anti(tables["users"], "id", _keys(go_users))
-    out["customers"] = _anti(tables["customers"], "id", _keys(go_cust))
-    out["accountants"] = _anti(tables["accountants"], "id", _keys(go_acc))
+    keysets = {"users": go_users, "customers": go_cust, "accountants": go_acc,
+               "tax_returns": go_rets}
+    keysets = {n: k.select(S(k.columns[0]).alias("__k")).distinct() for n, k in keysets.items()}
+    small = bounded_many(keysets)                                              # one job
+    keysets = {n: (F.broadcast(k) if small[n] else k) for n, k in keysets.items()}
+    k_rets = keysets["tax_returns"]
+    out["users"] = _anti(tables["users"], "id", keysets["users"])
+    out["customers"] = _anti(tables["customers"], "id", keysets["customers"])
+    out["accountants"] = _anti(tables["accountants"], "id", keysets["accountants"])
     out["tax_returns"] = _anti(tables["tax_returns"], "id", k_rets)
     for child in RETURN_CHILDREN:
         if child in tables:

@@ -116,6 +116,22 @@ def is_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def bounded_many(frames: dict, max_rows: int = MAX_BROADCAST_ROWS) -> dict:
+    """``is_bounded`` for several frames in one job.
+
+    Each frame is cut to ``max_rows + 1`` rows and tagged; one grouped count
+    over the union gives every size (a handful of rows reach the driver).
+    """
+    from functools import reduce
+
+    parts = [df.limit(max_rows + 1).select(F.lit(name).alias("__t"))
+             for name, df in frames.items()]
+    counts = {r["__t"]: r["n"] for r in
+              reduce(lambda a, b: a.unionByName(b), parts)
+              .groupBy("__t").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {name: counts.get(name, 0) <= max_rows for name in frames}
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
 
