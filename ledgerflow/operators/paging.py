@@ -86,3 +86,35 @@ def positions(df: DataFrame, group: str, order: list, name: str = "pos") -> Data
     j = s.join(parts.drop("__n"), [group, "__pid"])
     return (j.withColumn(name, (F.col("__off") + (F.col("__mid") - F.col("__m0")) + 1).cast("long"))
             .drop("__pid", "__mid", "__m0", "__off"))
+
+
+def page_after(df: DataFrame, sort: str, direction: str = "DESC", after=None,
+               limit: int = DEFAULT_PAGE_SIZE, allowed=None, tiebreak: str = "id") -> DataFrame:
+    """Keyset page: the ``limit`` rows that follow the cursor ``after``.
+
+    ``after`` is the (sort value, tie-break value) of the previous page's
+    last row, or None for the first page.  The cursor becomes a filter that
+    reaches the scan, then a per-task top-k keeps ``limit`` rows, so a deep
+    page costs what the first page costs (OFFSET paging keeps
+    ``offset + limit`` rows per task).  Same order as :func:`page`, NULL
+    sort values included (first when descending, last when ascending).
+    """
+    if allowed is not None:
+        checked_column(sort, allowed)
+    desc = str(direction).lower() == "desc"
+    out = df
+    if after is not None:
+        value, key = after
+        s, t = F.col(sort), F.col(tiebreak)
+        if value is None:
+            # cursor inside the NULL block: NULLs after it, then (desc) every value
+            past_nulls = s.isNull() & (t > F.lit(key))
+            out = out.filter(past_nulls | s.isNotNull()) if desc else out.filter(past_nulls)
+        else:
+            beyond = (s < F.lit(value)) if desc else (s > F.lit(value))
+            same = (s == F.lit(value)) & (t > F.lit(key))
+            cond = beyond | same
+            if not desc:
+                cond = cond | s.isNull()          # NULLs come last ascending
+            out = out.filter(cond)
+    return page(out, sort, direction, 1, limit, None, tiebreak)

@@ -177,3 +177,19 @@ def test_inquiry_page_equals_page_of_listing(spark):
         fast = J.inquiry_listing_page(inquiries(spark), users(spark), None, "created_at", "desc", pg, 1)
         slow = P.page(J.inquiry_listing(inquiries(spark), users(spark)), "created_at", "desc", pg, 1)
         assert [tuple(r) for r in fast.collect()] == [tuple(r) for r in slow.collect()]
+
+
+def test_keyset_pages_equal_offset_pages(spark):
+    tr = returns(spark).withColumn(
+        "filed_date", F.when(F.col("id").isin("r01", "r02", "r03"), F.lit(None))
+        .otherwise(F.col("filed_date")))
+    for sort, direction in (("filed_date", "desc"), ("filed_date", "asc"), ("created_at", "desc")):
+        full = [r.id for r in P.page(tr, sort, direction, 1, 0).collect()]
+        got, cursor = [], None
+        while True:
+            rows = P.page_after(tr, sort, direction, cursor, 4).collect()
+            if not rows:
+                break
+            got += [r.id for r in rows]
+            cursor = (rows[-1][sort], rows[-1].id)
+        assert got == full, (sort, direction)
