@@ -305,3 +305,13 @@ def test_create_returns_flow(spark):
     assert out[2][0] == "duplicate_in_batch" and out[4][0] == "duplicate_year"
     assert out[3][0] == "invalid" and "Tax year must be in format YYYY-YY (e.g., 2023-24)" in out[3][1]
     assert out[5] == ("invalid", ["Invalid situation type"])
+
+
+def test_audit_diff_null_swaps_and_no_change(spark):
+    before = spark.createDataFrame([("a", None, 1), ("b", 1, None), ("c", 2, 2)],
+                                   "id string, x int, y int")
+    after = spark.createDataFrame([("a", 1, None), ("b", 1, None), ("c", 2, 2)],
+                                  "id string, x int, y int")
+    got = C.audit_diff(before, after, "t").collect()
+    assert [(r.record_id, r.action) for r in got] == [("a", "UPDATE")]
+    assert got[0].old_values == '{"x":null,"y":"1"}' and got[0].new_values == '{"x":"1","y":null}'
