@@ -77,7 +77,8 @@ def _with_parties(tr: DataFrame, cu: DataFrame, us: DataFrame, ac: DataFrame,
     if salt_buckets:
         out = salted_join(tr, cdim, "customer_id", "cu_id", "inner", salt_buckets, "id")
     else:
-        out = tr.join(cdim, S("customer_id") == S("cu_id"), "inner")
+        # broadcast when the customers table is checked small, else shuffle
+        out = dim_join(tr, cdim, "customer_id", "cu_id", "inner", check=cu)
     return dim_join(out, accountant_dim(ac, us), "accountant_id", "ac_id", "left", check=ac)
 
 
