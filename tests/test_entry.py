@@ -7,6 +7,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 import __spark_entry__ as E  # noqa: E402
+from ledgerflow.plans.catalog import QUERIES  # noqa: E402
 from parity import TABLES, rows_duck, rows_spark  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -30,7 +31,7 @@ def test_all_queries_match_oracle_at_smallest_scale(spark):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     bad = []
     orc = E.oracle_sql()
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(QUERIES.items()):
         sc, sr = rows_spark(fn(spark, SF))
         if name in orc:
             dc, dr = rows_duck(con, orc[name])
