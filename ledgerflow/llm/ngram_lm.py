@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from ledgerflow.llm.shared import materialize, mix64, ship, word_hashes
 
 ALPHA = 0.4
-CHUNK_WORDS = 4_000_000
-BUCKET_KEYS = 2_000_000
+CHUNK_WORDS = 1_500_000
+BUCKET_KEYS = 1_000_000
 _CODEC = "zstd"
 
 _WORD: list[np.ndarray] = []
@@ -118,6 +118,12 @@ def _to_chunks(batches):
         yield flush()
 
 
+def _rows(batch: pa.RecordBatch):
+    """Rows one at a time: a chunk is large, and a batch may hold several."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 class _Chunk:
     """A chunk row unpacked, with its distinct pairs."""
 
@@ -152,7 +158,7 @@ def _to_buckets(n_buckets: int):
     def run(batches):
         edges = _bucket_edges(n_buckets)
         for b in batches:
-            for r in b.to_pylist():
+            for r in _rows(b):
                 c = _Chunk(r)
                 order = np.argsort(c.all, kind="stable")
                 keys, own = c.all[order], c.own[order]
@@ -203,7 +209,7 @@ def _within(codes: np.ndarray, owner: np.ndarray) -> np.ndarray:
 def _score(total_words: int):
     def run(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for r in _rows(b):
                 c = _Chunk(r)
                 order = np.argsort(c.all, kind="stable")
                 parts = sorted(r["parts"], key=lambda p: p["bucket"])
