@@ -92,7 +92,9 @@ def stable_uuid(*parts: ColumnOrName) -> Column:
     a new user and the profile row that points at it always agree, and a
     recomputed partition produces the same ids.
     """
-    h = F.md5(F.concat_ws("\u0001", *[F.coalesce(c(p).cast("string"), F.lit("")) for p in parts]))
+    # NULL and the empty string are different parts
+    said = [F.coalesce(F.concat(F.lit("="), c(p).cast("string")), F.lit("")) for p in parts]
+    h = F.md5(F.concat_ws("\u0001", *said))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
                        F.substring(h, 17, 4), F.substring(h, 21, 12))
 

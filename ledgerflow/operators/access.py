@@ -13,8 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_bounded
-
 S = F.col
 
 GRANT_COLUMNS = ["user_id", "object_id", "scope"]
@@ -30,38 +28,30 @@ def _all_grants(us: DataFrame, obj_type) -> DataFrame:
         F.lit("all").alias("scope"))
 
 
-def party_map(us: DataFrame, cu: DataFrame, ac: DataFrame) -> DataFrame:
-    """(kind, key, user_id): which user stands behind a customer or accountant
-    profile, kept only when the user has that role (one semi join)."""
-    profiles = (cu.select(F.lit("customer").alias("kind"), S("id").cast("string").alias("key"),
-                          "user_id")
-                .unionByName(ac.select(F.lit("accountant").alias("kind"),
-                                       S("id").cast("string").alias("key"), "user_id")))
-    roles = us.select(S("id").alias("__uid"), S("role").alias("__role"))
-    return profiles.join(roles, (S("user_id") == S("__uid")) & (S("kind") == S("__role")),
-                         "left_semi")
-
+def _profile_users(us: DataFrame, profiles: DataFrame, role: str) -> DataFrame:
+    """(profile id, user id) of the profiles whose user has the role."""
+    return (profiles.select(S("id").alias("__pid"), S("user_id"))
+            .join(_role_users(us, role), S("user_id") == S("__uid"), "left_semi"))
 
-def _parties(df: DataFrame, obj_col: str, kinds: dict[str, str]) -> DataFrame:
-    """One narrow row per (object, party kind, party key): the object table is
-    read once for every kind of party."""
-    entries = [F.struct(F.lit(k).alias("kind"), S(col).cast("string").alias("key"))
-               for k, col in kinds.items()]
-    return (df.select(S(obj_col).alias("object_id"), F.explode(F.array(*entries)).alias("__p"))
-            .select("object_id", "__p.kind", "__p.key").filter(S("key").isNotNull()))
 
+def _party_grants(objects: DataFrame, key: str, parties: DataFrame) -> DataFrame:
+    """Grants of one kind of party: (object_id, party key) rows joined to its users.
 
-def visible_returns(us: DataFrame, cu: DataFrame, ac: DataFrame, tr: DataFrame) -> DataFrame:
-    """Grants (user_id, object_id = return id, scope) for viewing returns.
-
-    Each return yields a customer and an accountant party row (one scan),
-    matched to users through one join with the role-checked party map.
+    One narrow join per kind, so the few accountants can be broadcast (by file
+    size, or by AQE from the measured size) and their hot keys are never
+    shuffled, while the many customers are joined by a shuffle.
     """
-    obj_type = tr.schema["id"].dataType
-    parts = _parties(tr, "id", {"customer": "customer_id", "accountant": "accountant_id"})
-    rows = (parts.join(party_map(us, cu, ac), ["kind", "key"])
+    return (objects.filter(S(key).isNotNull()).select("object_id", S(key).alias("__key"))
+            .join(parties, S("__key") == S("__pid"))
             .select("user_id", "object_id", F.lit("row").alias("scope")))
-    return rows.unionByName(_all_grants(us, obj_type))
+
+
+def visible_returns(us: DataFrame, cu: DataFrame, ac: DataFrame, tr: DataFrame) -> DataFrame:
+    """Grants (user_id, object_id = return id, scope) for viewing returns."""
+    objects = tr.select(S("id").alias("object_id"), "customer_id", "accountant_id")
+    return (_party_grants(objects, "customer_id", _profile_users(us, cu, "customer"))
+            .unionByName(_party_grants(objects, "accountant_id", _profile_users(us, ac, "accountant")))
+            .unionByName(_all_grants(us, tr.schema["id"].dataType)))
 
 
 def visible_documents(us: DataFrame, cu: DataFrame, ac: DataFrame, tr: DataFrame,
@@ -72,37 +62,34 @@ def visible_documents(us: DataFrame, cu: DataFrame, ac: DataFrame, tr: DataFrame
     delete: admin, the uploader (any role), the return's assigned accountant;
             the return's customer alone may not delete.
     A document needs its return (inner join); its parties are then matched
-    to users in one join (the uploader maps to itself when it is a user).
+    to users, one join per kind of party.
     """
-    obj_type = docs.schema["id"].dataType
     ret = tr.select(S("id").alias("__rid"), "customer_id", "accountant_id")
-    cols = ["id", "tax_return_id"] + (["uploaded_by"] if "uploaded_by" in docs.columns else [])
-    dr = docs.select(*cols).join(ret, S("tax_return_id") == S("__rid"))
-    pmap = party_map(us, cu, ac)
+    cols = [S("id").alias("object_id"), S("tax_return_id")]
+    cols += [S("uploaded_by")] if "uploaded_by" in docs.columns else []
+    objects = docs.select(*cols).join(ret, S("tax_return_id") == S("__rid"))
+    rows = _party_grants(objects, "accountant_id", _profile_users(us, ac, "accountant"))
     if action == "delete":
-        kinds = {"uploader": "uploaded_by", "accountant": "accountant_id"}
-        pmap = pmap.filter(S("kind") == "accountant").unionByName(
-            us.select(F.lit("uploader").alias("kind"), S("id").cast("string").alias("key"),
-                      S("id").alias("user_id")))
+        uploader = us.select(S("id").alias("__pid"), S("id").alias("user_id"))
+        rows = rows.unionByName(_party_grants(objects, "uploaded_by", uploader))
     else:
-        kinds = {"customer": "customer_id", "accountant": "accountant_id"}
-    rows = (_parties(dr, "id", kinds).join(pmap, ["kind", "key"])
-            .select("user_id", "object_id").distinct().withColumn("scope", F.lit("row")))
-    return rows.unionByName(_all_grants(us, obj_type))
+        rows = rows.unionByName(_party_grants(objects, "customer_id", _profile_users(us, cu, "customer")))
+    return rows.distinct().unionByName(_all_grants(us, docs.schema["id"].dataType))
 
 
 def check_access(requests: DataFrame, grants: DataFrame, user_col: str = "user_id",
-                 obj_col: str = "object_id", max_admins: int = 100_000) -> DataFrame:
+                 obj_col: str = "object_id") -> DataFrame:
     """Requests with an ``allowed`` flag from row grants or an ``all`` grant.
 
-    The ``all`` side (admins) is broadcast only after its size is checked.
+    Grants are cut to the requested objects before they are made distinct.
     """
+    asked = requests.select(S(obj_col).alias("__asked"))
     rows = (grants.filter(S("scope") == "row")
             .select(S("user_id").alias("__gu"), S("object_id").alias("__go"))
+            .join(asked, S("__go") == S("__asked"), "left_semi")
             .distinct().withColumn("__row", F.lit(True)))
     every = (grants.filter(S("scope") == "all").select(S("user_id").alias("__au")).distinct()
              .withColumn("__all", F.lit(True)))
-    every = broadcast_if_bounded(every, max_admins)
     j = (requests.join(rows, (S(user_col) == S("__gu")) & (S(obj_col) == S("__go")), "left")
          .join(every, S(user_col) == S("__au"), "left"))
     allowed = F.coalesce(S("__row"), F.lit(False)) | F.coalesce(S("__all"), F.lit(False))

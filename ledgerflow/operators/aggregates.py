@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.expr import (avg6, avg_where, ceil_div, count_where, elapsed_days,
                               elapsed_hours, interval_ago, midnight_ago, money,
                               sum_where, trunc_to_date)
-from ..session import is_bounded
 from .filters import filter_model
 from .util import one_row, pg_order, present
 
@@ -213,10 +212,9 @@ def leaderboard(ac: DataFrame, us: DataFrame, tr: DataFrame) -> DataFrame:
     ucols = present(us, LEADERBOARD_USER_COLUMNS)
     users = us.select(S("id").alias("__uid"), *ucols,
                       S("created_at").alias("user_created_at"))
-    # accountants checked small are broadcast into the user join (users is the
-    # big side); past the bound the join shuffles
-    acc = F.broadcast(ac) if is_bounded(ac) else ac
-    prof = acc.join(users, S("user_id") == S("__uid"), "inner").drop("__uid")
+    # accountants are few: the planner broadcasts them by file size, or AQE by
+    # measured size, into the user join (users is the big side)
+    prof = ac.join(users, S("user_id") == S("__uid"), "inner").drop("__uid")
     out = prof.join(per, S("id") == S("__acc"), "left").drop("__acc")
     out = (out.withColumn("total_returns", F.coalesce(S("total_returns"), F.lit(0)).cast("long"))
               .withColumn("completed_returns",

@@ -1,23 +1,30 @@
 """The application's writes as batch jobs: apply a DataFrame of changes.
 
-Form: ``apply_x(current, changes, as_of) -> Applied(state, rejects)``.  One
-helper does the work for every update rule:
-
-1. the batch is reduced to one change per key (last by ``seq`` wins, using
-   ``max_by`` - an aggregate with a map-side partial step, so a key changed a
-   million times in one batch still costs one partial row per task);
-2. the batch is joined to the rows it targets, and each rule gives a reject
-   reason (unknown key first, then the rule list in order);
-3. the accepted changes are joined back onto the whole table (broadcast when
-   the accepted batch is checked small, else a shuffle join) and every
+Form: ``apply_x(current, changes, as_of) -> Applied``.  One helper does the
+work for every update rule:
+
+1. every change of the batch is checked on its own (request rules, unknown
+   key, rules on the row as stored before the batch), so a refused change
+   never hides an accepted one;
+2. the accepted changes of a key are folded column by column: the last one
+   that gives a column a value wins (``max_by`` on the order column, an
+   aggregate with a map-side partial step, so a key changed a million times
+   in one batch costs one partial row per task);
+3. the folded changes, one row per key, are joined onto the whole table
+   (broadcast when the batch measured small, else a shuffle join) and every
    changed row gets ``updated_at = as_of`` (the update trigger's effect).
 
+Every change ends in exactly one place: it shapes the new state, it is
+``superseded`` by later accepted changes, or it is in ``rejects``.  Without an
+order column a key may have one accepted change only; more are refused.
+
 The result is a new snapshot; ``sources.sinks.write_snapshot`` writes it next
 to the old one and swaps, so a path is never overwritten while it is read.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -25,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import deleted_email, stable_uuid, ts_lit
-from ..session import bounded_many, broadcast_if_bounded, cut_lineage, is_bounded
+from ..session import BROADCAST_BYTES, cut_and_measure, cut_for_join, cut_lineage
 from ..sources import schemas as SC
 from .util import present
 
@@ -40,6 +47,25 @@ Rule = tuple[str, Column]
 class Applied:
     state: DataFrame
     rejects: DataFrame
+    superseded: DataFrame | None = None  # accepted, but later changes took every column
+
+
+@dataclass
+class Last:
+    """A column's new value from the change (``chg_*``); the last one given wins.
+
+    ``when``: whether a change gives the column a value (always, if left out).
+    """
+
+    value: Column
+    when: Column | None = None
+
+
+@dataclass
+class FromRow:
+    """A column's new value from the row's own columns, once it has any accepted change."""
+
+    value: Column
 
 
 def _chg(df: DataFrame, key: str) -> DataFrame:
@@ -47,84 +73,114 @@ def _chg(df: DataFrame, key: str) -> DataFrame:
                      *[S(x).alias("chg_" + x) for x in df.columns if x != key])
 
 
-def last_per_key(changes: DataFrame, key: str, seq: str | None) -> DataFrame:
-    """One change per key: the one with the largest ``seq`` (partial aggregate)."""
-    if not seq:
-        return changes
-    others = [x for x in changes.columns if x != key]
-    picked = (changes.groupBy(key)
-              .agg(F.max_by(F.struct(*[S(x) for x in others]), S(seq)).alias("__last")))
-    return picked.select(key, *[S("__last." + x).alias(x) for x in others])
+NO_ORDER = "duplicate_key_without_order"
 
 
 def apply_changes(current: DataFrame, changes: DataFrame, key: str,
-                  set_cols: dict[str, Column], rules: list[Rule] = (), as_of=None,
+                  set_cols: dict[str, Column | Last | FromRow], rules: list[Rule] = (), as_of=None,
                   touch: bool = True, seq: str | None = None,
                   cur_cols: list[str] | None = None,
-                  validations: list[Rule] = ()) -> Applied:
-    """Apply ``changes`` (one row per targeted ``key``) to ``current``.
-
-    ``set_cols``: column -> new value expression (over ``chg_*`` and the
-    current row's own column names).  Reject reasons are checked in the
-    order the application checks them: ``validations`` (the request alone:
-    role gate, field rules), then ``not_found``, then ``rules`` (need the
-    targeted row, read as ``cur_<name>``; list those columns in
-    ``cur_cols``).  See :data:`Rule`.
-
-    The batch is written once to the checkpoint folder (it is read three
-    times: size check, validation, application) and, when it is checked to
-    be small, broadcast to both joins, so the table itself is scanned but
-    never shuffled.  A big batch falls back to shuffle joins.
+                  validations: list[Rule] = (), max_broadcast: int = BROADCAST_BYTES) -> Applied:
+    """Apply ``changes`` to ``current`` (rows targeted by ``key``).
+
+    ``set_cols``: column -> ``Last`` or ``FromRow`` (a plain expression over
+    ``chg_*`` is ``Last``).  Reject reasons are checked in the order the
+    application checks them: ``validations`` (the request alone: role gate,
+    field rules), then ``not_found``, then ``rules`` (need the targeted row,
+    read as ``cur_<name>``; list those columns in ``cur_cols``).  See
+    :data:`Rule`.  ``seq`` orders the changes of a key (ties by their other
+    columns).
+
+    The batch is written once to the checkpoint folder and measured there; a
+    small one is broadcast, so the table is scanned but never shuffled.
     """
-    batch = cut_lineage(_chg(last_per_key(changes, key, seq), key))
-    small = is_bounded(batch)
-    need = sorted(set(cur_cols or []) - {key})
-    target = current.select(S(key).alias("__cur_key"), *[S(x).alias("cur_" + x) for x in need])
-    # every batch row, with the targeted row's columns when it exists
-    if small:
-        # an outer join cannot build on its preserved side, so: rows found by
-        # a broadcast inner join, plus the (small) rest by an anti join
-        found = target.join(F.broadcast(batch), S("__key") == S("__cur_key"), "inner")
-        missing = batch.join(F.broadcast(found.select(S("__key").alias("__fk"))),
-                             S("__key") == S("__fk"), "left_anti")
-        pad = [F.lit(None).cast(f.dataType).alias(f.name) for f in target.schema.fields]
-        checked = found.unionByName(missing.select("*", *pad))
-    else:
-        checked = target.join(batch, S("__key") == S("__cur_key"), "right")
-    reason = None
-    for name, ok in validations:
-        bad = ~F.coalesce(ok, F.lit(False))
-        reason = F.when(bad, F.lit(name)) if reason is None else reason.when(bad, F.lit(name))
-    missing = S("__cur_key").isNull()
-    reason = (F.when(missing, F.lit("not_found")) if reason is None
-              else reason.when(missing, F.lit("not_found")))
-    for name, ok in rules:
-        reason = reason.when(~F.coalesce(ok, F.lit(False)), F.lit(name))
-    checked = checked.withColumn("reason", reason)
+    batch, size = cut_and_measure(_chg(changes, key))
+    small = size <= max_broadcast
+    wide = F.broadcast if small else (lambda df: df)
+    sets = {c: v if isinstance(v, (Last, FromRow)) else Last(v) for c, v in set_cols.items()}
     chg_cols = [x for x in batch.columns if x != "__key"]
-    rejects = (checked.filter(S("reason").isNotNull())
-               .select(S("__key").alias(key), "reason",
-                       *[S(x).alias(x[4:]) for x in chg_cols]))
-    accepted = (checked.filter(S("reason").isNull())
-                .select("__key", *chg_cols).withColumn("__hit", F.lit(True)))
-    if small:
-        accepted = F.broadcast(accepted)
-    j = current.join(accepted, S(key) == S("__key"), "left")
-    hit = S("__hit").isNotNull()
+
+    def refuse(df: DataFrame, checks) -> DataFrame:
+        reason = F.lit(None).cast("string")
+        for name, ok in reversed(list(checks)):
+            reason = F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)).otherwise(reason)
+        return df.withColumn("reason", reason)
+
+    # changes on existing rows, with what the rules read of those rows
+    need = sorted(set(cur_cols or []) - {key}) if rules else []
+    target = current.select(S(key).alias("__cur_key"), *[S(x).alias("cur_" + x) for x in need])
+    asked = refuse(batch, validations)
+    found = refuse(target.join(wide(asked.filter(S("reason").isNull()).drop("reason")),
+                               S("__key") == S("__cur_key"), "inner").drop("__cur_key"), rules)
+    # rules without a row are known from the batch alone; then the join that
+    # applies the changes finds the rows too
+    accepted = (found if rules else asked).filter(S("reason").isNull()).select("__key", *chg_cols)
+
+    order = F.struct(*[S(x) for x in ([f"chg_{seq}"] if seq else [])
+                       + [c for c, t in batch.dtypes if c not in ("__key", f"chg_{seq}")
+                          and not t.startswith("map")]])
+    if not chg_cols:
+        order = F.struct(F.lit(0).alias("one"))
+    folds = [F.count(F.lit(1)).alias("__n")]
+    for col, v in sets.items():
+        if isinstance(v, Last):
+            gives = F.lit(True) if v.when is None else F.coalesce(v.when, F.lit(False))
+            folds.append(F.max_by(F.struct(v.value.alias("v"), order.alias("o")), F.when(gives, order))
+                         .alias("__set_" + col))
+    folded = accepted.groupBy("__key").agg(*folds)
+    clear = folded if seq else folded.filter(S("__n") == 1)
+    j = current.join(wide(clear), S(key) == S("__key"), "left")
+    hit = S("__n").isNotNull()
+
+    def new_value(col: str) -> tuple[Column, Column]:
+        v = sets[col]
+        if isinstance(v, FromRow):
+            return hit, v.value
+        return S("__set_" + col).isNotNull(), S("__set_" + col)["v"]
+
     out_cols = []
     for col in current.columns:
-        if col in set_cols:
-            out_cols.append(F.when(hit, set_cols[col]).otherwise(S(col)).alias(col))
+        if col in sets:
+            given, value = new_value(col)
+            out_cols.append(F.when(given, value).otherwise(S(col)).alias(col))
         elif touch and col == "updated_at" and as_of is not None:
             out_cols.append(F.when(hit, ts_lit(as_of)).otherwise(S(col)).alias(col))
         else:
             out_cols.append(S(col))
-    for col, expr in set_cols.items():
+    for col in sets:
         if col not in current.columns:
-            out_cols.append(F.when(hit, expr).alias(col))
+            given, value = new_value(col)
+            out_cols.append(F.when(given, value).alias(col))
     if touch and as_of is not None and "updated_at" not in current.columns:
         out_cols.append(F.when(hit, ts_lit(as_of)).cast("timestamp_ntz").alias("updated_at"))
-    return Applied(j.select(*out_cols), rejects)
+
+    # where every other change went (computed only when asked for)
+    def said(df: DataFrame) -> DataFrame:
+        return df.select(S("__key").alias(key), "reason", *[S(x).alias(x[4:]) for x in chg_cols])
+
+    known = current.select(S(key).alias("__cur_key"))
+    valid = asked.filter(S("reason").isNull())
+    missing = valid.join(known, S("__key") == S("__cur_key"), "left_anti").withColumn("reason", F.lit("not_found"))
+    rejects = said(asked.filter(S("reason").isNotNull())).unionByName(said(missing))
+    if rules:
+        rejects = rejects.unionByName(said(found.filter(S("reason").isNotNull())))
+    taken = found.filter(S("reason").isNull()).select("__key", *chg_cols)
+    if not seq:
+        twice = taken.groupBy("__key").count().filter("count > 1").select("__key")
+        rejects = rejects.unionByName(said(taken.join(twice, "__key", "left_semi")
+                                           .withColumn("reason", F.lit(NO_ORDER))))
+        return Applied(j.select(*out_cols), rejects, said(taken.withColumn("reason", F.lit(None).cast("string")))
+                       .drop("reason").limit(0))
+    last = folded.withColumnRenamed("__key", "__fk")
+    lasting = F.lit(False)
+    for col, v in sets.items():
+        if isinstance(v, Last):
+            lasting = lasting | F.coalesce(S("__set_" + col)["o"] == order, F.lit(False))
+    if all(isinstance(v, FromRow) for v in sets.values()):
+        lasting = F.lit(True)
+    over = (taken.join(last, S("__key") == S("__fk")).filter(~lasting)
+            .withColumn("reason", F.lit("superseded")))
+    return Applied(j.select(*out_cols), rejects, said(over).drop("reason"))
 
 
 def touch_updated_at(df: DataFrame, changed: Column, as_of) -> DataFrame:
@@ -174,15 +230,16 @@ def assign_accountant(current: DataFrame, changes: DataFrame, accountants: DataF
     chg = changes.join(act, S("accountant_id") == S("__act"), "left").drop("__act")
     return apply_changes(current, chg, "id",
                          {"accountant_id": S("chg_accountant_id"),
-                          "status": F.lit("in_progress")},
-                         [("inactive_accountant", S("chg___active") == F.lit(True))], as_of,
-                         seq=seq, validations=_role_gate(changes, ["admin"]))
+                          "status": F.lit("in_progress")}, [], as_of, seq=seq,
+                         validations=_role_gate(changes, ["admin"]) + [
+                             ("inactive_accountant", S("chg___active") == F.lit(True))])
 
 
 def set_payment_status(current: DataFrame, changes: DataFrame, as_of, seq=None) -> Applied:
     return apply_changes(current, changes, "id", {"payment_status": S("chg_payment_status")},
-                         [("invalid_payment_status",
-                           S("chg_payment_status").isin(SC.PAYMENT_STATUSES))], as_of, seq=seq)
+                         [], as_of, seq=seq, validations=[
+                             ("invalid_payment_status",
+                              S("chg_payment_status").isin(SC.PAYMENT_STATUSES))])
 
 
 def set_calculations(current: DataFrame, changes: DataFrame, as_of, seq=None) -> Applied:
@@ -270,8 +327,23 @@ def create_returns_dedup(current: DataFrame, requests: DataFrame, customers: Dat
     return j.select(*requests.columns, outcome.alias("outcome"))
 
 
-def insert_income(current: DataFrame, new: DataFrame, returns: DataFrame | None = None
-                  ) -> Applied:
+def _named(new: DataFrame, table: str, batch_id: str | None) -> DataFrame:
+    """New rows with an id of their own, from the batch and their place in it.
+
+    Content cannot name a row: the same line may come twice, in this batch or
+    the next.  ``request_seq`` is a row's place where the batch has it; else
+    rows are numbered and fixed by a checkpoint, so a retried task cannot
+    number them anew.  A batch without an id of its own gets a random one.
+    """
+    if "request_seq" not in new.columns:
+        new = cut_lineage(new.withColumn("request_seq", F.monotonically_increasing_id()))
+    batch = batch_id or uuid.uuid4().hex
+    return (new.withColumn("id", stable_uuid(F.lit(table), F.lit(batch), S("request_seq")))
+            .drop("request_seq"))
+
+
+def insert_income(current: DataFrame, new: DataFrame, returns: DataFrame | None = None,
+                  batch_id: str | None = None) -> Applied:
     """Add income rows: source type in the list, gross >= 0, tax deducted >= 0
     when given.  A missing ``tax_deducted`` is stored as NULL (the insert
     names the column), ``ni_contributions`` takes its 0.00 default.
@@ -285,10 +357,7 @@ def insert_income(current: DataFrame, new: DataFrame, returns: DataFrame | None
         return (S(name) if name in new.columns else F.lit(None)).cast(typ)
     actor_cols = present(new, ["actor_role", "actor_customer_id", "actor_accountant_id"])
     if "id" not in new.columns and "id" in current.columns:
-        # no request id: name the line by its content (identical lines in one
-        # batch then share an id, which dq_unique reports)
-        new = new.withColumn("id", stable_uuid(F.lit("income_sources"),
-                                               *[S(x) for x in sorted(new.columns)]))
+        new = _named(new, "income_sources", batch_id)
     rows = new.select(
         *[S(x) for x in present(new, ["id", "tax_return_id", "source_type", "created_at"])],
         *[S(x) for x in actor_cols],
@@ -325,12 +394,12 @@ def insert_income(current: DataFrame, new: DataFrame, returns: DataFrame | None
 
 # -- inquiries -------------------------------------------------------------------
 
-def insert_inquiries(current: DataFrame, new: DataFrame, as_of) -> DataFrame:
+def insert_inquiries(current: DataFrame, new: DataFrame, as_of, batch_id: str | None = None
+                     ) -> DataFrame:
     """New inquiries: type defaults to general, status new, created now.
-    Without a request id, the inquiry is named by its content and clock."""
+    Rows without an id get one of their own (see ``_named``)."""
     if "id" not in new.columns and "id" in current.columns:
-        new = new.withColumn("id", stable_uuid(F.lit("contact_inquiries"), F.lit(str(as_of)),
-                                               *[S(x) for x in sorted(new.columns)]))
+        new = _named(new, "contact_inquiries", batch_id)
     rows = new.select(
         *[S(x) for x in new.columns if x not in ("inquiry_type", "status", "created_at")],
         F.coalesce(S("inquiry_type") if "inquiry_type" in new.columns else F.lit(None),
@@ -346,8 +415,7 @@ def set_inquiry_status(current: DataFrame, changes: DataFrame, as_of, seq=None)
     return apply_changes(
         current, changes, "id",
         {"status": S("chg_status"),
-         "responded_at": F.when(S("chg_status") != F.lit("new"), ts_lit(as_of))
-         .otherwise(S("responded_at"))},
+         "responded_at": Last(ts_lit(as_of), S("chg_status") != F.lit("new"))},
         [], as_of, touch=False, seq=seq,
         validations=_role_gate(changes, ["admin"]) + [
             ("invalid_status", S("chg_status").isin(SC.INQUIRY_STATUSES))])
@@ -363,7 +431,8 @@ def assign_inquiry(current: DataFrame, changes: DataFrame, users: DataFrame, as_
     return apply_changes(
         current, chg, "id",
         {"assigned_to": S("chg_assigned_to"),
-         "status": F.when(S("status") == F.lit("new"), F.lit("in_progress")).otherwise(S("status"))},
+         "status": FromRow(F.when(S("status") == F.lit("new"), F.lit("in_progress"))
+                           .otherwise(S("status")))},
         [], as_of, touch=False, seq=seq,
         validations=_role_gate(changes, ["admin"]) + [
             ("invalid_admin_user", S("chg___is_admin") == F.lit(True))])
@@ -380,8 +449,8 @@ def update_profile(current: DataFrame, changes: DataFrame, as_of, seq=None) -> A
     allowed = [x for x in PROFILE_FIELDS if x in changes.columns and x in current.columns]
     batch = changes.select("id", *allowed, *([seq] if seq else []))
     return apply_changes(current, batch, "id",
-                         {x: F.coalesce(S("chg_" + x), S(x)) for x in allowed}, [], as_of,
-                         seq=seq)
+                         {x: Last(S("chg_" + x), S("chg_" + x).isNotNull()) for x in allowed},
+                         [], as_of, seq=seq)
 
 
 def set_accountant_active(current: DataFrame, changes: DataFrame, as_of, seq=None) -> Applied:
@@ -410,20 +479,24 @@ def register_users(users: DataFrame, requests: DataFrame, as_of, order_col: str
     """Registrations against the existing users.
 
     Refused: a role other than customer / accountant, an e-mail that exists
-    (compared lower-cased), an earlier request in the batch with the same
-    e-mail (the first by ``order_col`` wins, via a ``min`` per e-mail, a
-    partial aggregate).  Role defaults to customer.  Each accepted user gets
-    one profile row of its role.
+    (compared lower-cased), and a request whose e-mail an earlier request of
+    the batch has taken: the first by ``order_col`` among those that pass the
+    other checks (a ``min`` per e-mail, a partial aggregate), so a refused
+    request never stands in the way.  Role defaults to customer.  Each
+    accepted user gets one profile row of its role.
     """
     req = (requests.withColumn("email", F.lower(F.trim(S("email"))))
            .withColumn("role", F.coalesce(S("role"), F.lit("customer"))))
     existing = (users.select(F.lower(S("email")).alias("__em")).distinct()
                 .withColumn("__taken", F.lit(True)))
-    first = req.groupBy(S("email").alias("__fe")).agg(F.min(order_col).alias("__first"))
-    j = (req.join(existing, S("email") == S("__em"), "left")
-         .join(first, S("email") == S("__fe"), "left"))
-    outcome = (F.when(~S("role").isin(SC.REGISTRATION_ROLES), F.lit("invalid_role"))
-               .when(S("__taken").isNotNull(), F.lit("email_exists"))
+    refused = (F.when(~S("role").isin(SC.REGISTRATION_ROLES), F.lit("invalid_role"))
+               .when(S("__taken").isNotNull(), F.lit("email_exists")))
+    checked = (req.join(existing, S("email") == S("__em"), "left")
+               .withColumn("__refused", refused))
+    first = (checked.filter(S("__refused").isNull())
+             .groupBy(S("email").alias("__fe")).agg(F.min(order_col).alias("__first")))
+    j = checked.join(first, S("email") == S("__fe"), "left")
+    outcome = (F.when(S("__refused").isNotNull(), S("__refused"))
                .when(S(order_col) != S("__first"), F.lit("duplicate_in_batch"))
                .otherwise(F.lit("accepted")))
     outcomes = j.select(*req.columns, outcome.alias("outcome"))
@@ -449,8 +522,8 @@ def verify_users(current: DataFrame, tokens: DataFrame, as_of) -> Applied:
                   S("verification_token") == S("__tok"), "left_semi")
             .select("id"))
     state = apply_changes(current, hits, "id",
-                          {"is_verified": F.lit(True),
-                           "verification_token": F.lit(None).cast("string")}, [], as_of).state
+                          {"is_verified": FromRow(F.lit(True)),
+                           "verification_token": FromRow(F.lit(None).cast("string"))}, [], as_of).state
     rejects = tokens.join(current.select(S("verification_token").alias("__tok")),
                           S("verification_token") == S("__tok"), "left_anti")
     return Applied(state, rejects)
@@ -461,7 +534,7 @@ def soft_delete_users(current: DataFrame, requests: DataFrame, as_of) -> Applied
     verified flag; an admin cannot delete their own account."""
     return apply_changes(
         current, requests, "id",
-        {"email": deleted_email(S("email"), as_of), "is_verified": F.lit(False)},
+        {"email": FromRow(deleted_email(S("email"), as_of)), "is_verified": FromRow(F.lit(False))},
         [("cannot_delete_self",
           ~((S("chg_actor_role") == F.lit("admin")) & (S("chg_actor_id") == S("__key"))))],
         as_of)
@@ -482,8 +555,8 @@ def delete_returns(tables: dict[str, DataFrame], ids: DataFrame) -> tuple[dict,
     blocked = cut_lineage(req.join(tables["reviews"].select(S("tax_return_id").alias("__rv")),
                                    S("__rid") == S("__rv"), "left_semi"))
     # the delete set is read once per table: checkpoint it, and broadcast it
-    # when it is checked small so the big tables are filtered without a shuffle
-    go = broadcast_if_bounded(cut_lineage(req.join(blocked, "__rid", "left_anti")))
+    # when it measured small so the big tables are filtered without a shuffle
+    go = cut_for_join(req.join(blocked, "__rid", "left_anti"))
     out = dict(tables)
     for child in RETURN_CHILDREN:
         if child in tables:
@@ -505,6 +578,20 @@ def delete_documents(docs: DataFrame, requests: DataFrame, grants: DataFrame) ->
     return Applied(docs.join(ok, S("id") == S("__del"), "left_anti"), rejects)
 
 
+# References without a cascade (table -> column, what it refers to).
+BLOCKING_REFERENCES = {
+    "tax_returns": [("accountant_id", "accountant")],
+    "documents": [("uploaded_by", "user")],
+    "messages": [("sender_id", "user"), ("recipient_id", "user")],
+    "payments": [("customer_id", "customer")],
+    "reviews": [("customer_id", "customer"), ("accountant_id", "accountant"),
+                ("tax_return_id", "return")],
+    "contact_inquiries": [("assigned_to", "user")],
+    "notifications": [("user_id", "user")],
+    "audit_logs": [("user_id", "user")],
+}
+
+
 def _anti(df: DataFrame, col: str, keys: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``col`` is not in the prepared key set."""
     return df.join(keys, S(col) == S("__k"), "left_anti")
@@ -520,61 +607,58 @@ def cascade_users(tables: dict[str, DataFrame], user_ids: DataFrame
     that user (the database would refuse the statement); blocked users and
     the blocking table are reported, and everything else is deleted.
     """
-    def ids(df, col="id"):
-        return df.select(S(col).alias("k"))
-
-    users0 = user_ids.select(S(user_ids.columns[0]).alias("k")).distinct()
+    users0 = cut_for_join(user_ids.select(S(user_ids.columns[0]).alias("k")).distinct())
     # What would go with each user.  These key sets are read by every later
     # step, so they are checkpointed once (reliable storage: a lost executor
-    # re-reads them instead of re-running the joins).
-    cust = cut_lineage(tables["customers"].join(users0, S("user_id") == S("k"), "inner").select(
+    # re-reads them instead of re-running the joins) and measured there.
+    cust = cut_for_join(tables["customers"].join(users0, S("user_id") == S("k"), "inner").select(
         S("id").alias("cid"), S("user_id").alias("uid")))
-    acc = cut_lineage(tables["accountants"].join(users0, S("user_id") == S("k"), "inner").select(
+    acc = cut_for_join(tables["accountants"].join(users0, S("user_id") == S("k"), "inner").select(
         S("id").alias("aid"), S("user_id").alias("uid")))
-    rets = cut_lineage(tables["tax_returns"].join(cust, S("customer_id") == S("cid"), "inner")
-                       .select(S("id").alias("rid"), "uid"))
-
-    blockers = []
-    # owner sets, each size-checked once and reused by the blocking joins
-    user_owner = users0.select(S("k").alias("ukey"), S("k").alias("uid"))
-    small = bounded_many({"u": user_owner, "c": cust, "a": acc, "r": rets})   # one job
-    user_owner, cust_b, acc_b, rets_b = (
-        F.broadcast(df) if small[t] else df
-        for t, df in (("u", user_owner), ("c", cust), ("a", acc), ("r", rets)))
-
-    def block(table, col, owners, okey, label):
-        if table not in tables or col not in tables[table].columns:
-            return
-        hit = (tables[table].select(S(col).alias("__ref")).filter(S("__ref").isNotNull())
-               .join(owners, S("__ref") == S(okey), "inner")
-               .select("uid").distinct().withColumn("blocked_by", F.lit(label)))
-        blockers.append(hit)
-
-    block("tax_returns", "accountant_id", acc_b, "aid", "tax_returns.accountant_id")
-    block("documents", "uploaded_by", user_owner, "ukey", "documents.uploaded_by")
-    block("messages", "sender_id", user_owner, "ukey", "messages.sender_id")
-    block("messages", "recipient_id", user_owner, "ukey", "messages.recipient_id")
-    block("payments", "customer_id", cust_b, "cid", "payments.customer_id")
-    block("reviews", "customer_id", cust_b, "cid", "reviews.customer_id")
-    block("reviews", "accountant_id", acc_b, "aid", "reviews.accountant_id")
-    block("reviews", "tax_return_id", rets_b, "rid", "reviews.tax_return_id")
-    block("contact_inquiries", "assigned_to", user_owner, "ukey",
-          "contact_inquiries.assigned_to")
-    block("notifications", "user_id", user_owner, "ukey", "notifications.user_id")
-    block("audit_logs", "user_id", user_owner, "ukey", "audit_logs.user_id")
-    blocked = cut_lineage(reduce(lambda a, b: a.unionByName(b), blockers))
-
-    go_users = cut_lineage(users0.join(blocked.select(S("uid").alias("k")), "k", "left_anti"))
+    rets = cut_for_join(tables["tax_returns"].join(cust, S("customer_id") == S("cid"), "inner")
+                        .select(S("id").alias("rid"), "uid"))
+
+    # who stands behind a reference: (kind, key) -> user
+    def owners(df, kind, key):
+        return df.select(F.lit(kind).alias("kind"), S(key).cast("string").alias("okey"), "uid")
+
+    owner = (owners(users0.withColumn("uid", S("k")), "user", "k")
+             .unionByName(owners(cust, "customer", "cid")).unionByName(owners(acc, "accountant", "aid"))
+             .unionByName(owners(rets, "return", "rid")))
+    owner = cut_for_join(owner)
+
+    # one scan per table: its references exploded, one join for all of them
+    found = []
+    for table, refs in BLOCKING_REFERENCES.items():
+        if table not in tables:
+            continue
+        df = tables[table]
+        entries = [F.struct(F.lit(f"{table}.{col}").alias("blocked_by"), F.lit(kind).alias("rkind"),
+                            S(col).cast("string").alias("ref"))
+                   for col, kind in refs if col in df.columns]
+        if not entries:
+            continue
+        goes_with = table in RETURN_CHILDREN and "tax_return_id" in df.columns
+        at = S("tax_return_id").cast("string") if goes_with else F.lit(None).cast("string")
+        found.append(df.select(F.explode(F.array(*entries)).alias("r"), at.alias("at"))
+                     .select("r.*", "at").filter(S("ref").isNotNull()))
+    every = reduce(lambda a, b: a.unionByName(b), found)
+    hits = every.join(owner, (S("rkind") == S("kind")) & (S("ref") == S("okey")), "inner")
+    # a row that itself goes with the user's own returns blocks nothing
+    own = rets.select(S("rid").cast("string").alias("__at"), S("uid").alias("__own"))
+    blocked = cut_lineage(hits.join(own, (S("at") == S("__at")) & (S("uid") == S("__own")), "left_anti")
+                          .select("uid", "blocked_by").distinct())
+
+    go_users = cut_for_join(users0.join(blocked.select(S("uid").alias("k")), "k", "left_anti"))
     go_cust = cust.join(go_users, S("uid") == S("k"), "left_semi").select("cid")
     go_acc = acc.join(go_users, S("uid") == S("k"), "left_semi").select("aid")
-    go_rets = cut_lineage(rets.join(go_users, S("uid") == S("k"), "left_semi").select("rid"))
+    go_rets = cut_for_join(rets.join(go_users, S("uid") == S("k"), "left_semi").select("rid"))
 
     out = dict(tables)
     keysets = {"users": go_users, "customers": go_cust, "accountants": go_acc,
                "tax_returns": go_rets}
-    keysets = {n: k.select(S(k.columns[0]).alias("__k")).distinct() for n, k in keysets.items()}
-    small = bounded_many(keysets)                                              # one job
-    keysets = {n: (F.broadcast(k) if small[n] else k) for n, k in keysets.items()}
+    # anti joins ignore repeats, so the key sets need no distinct
+    keysets = {n: k.select(S(k.columns[0]).alias("__k")) for n, k in keysets.items()}
     k_rets = keysets["tax_returns"]
     out["users"] = _anti(tables["users"], "id", keysets["users"])
     out["customers"] = _anti(tables["customers"], "id", keysets["customers"])
@@ -595,6 +679,13 @@ def _row_hash(cols: list[str]) -> Column:
     return F.struct(F.xxhash64(*parts).alias("h64"), F.hash(*parts).alias("h32"))
 
 
+def _padded(df: DataFrame, other: DataFrame, cols: list[str]) -> DataFrame:
+    for x in cols:
+        if x not in df.columns:
+            df = df.withColumn(x, F.lit(None).cast(other.schema[x].dataType))
+    return df
+
+
 def audit_diff(before: DataFrame, after: DataFrame, table: str, key: str = "id",
                cols: list[str] | None = None) -> DataFrame:
     """One audit row per inserted, updated or deleted row between snapshots.
@@ -602,18 +693,18 @@ def audit_diff(before: DataFrame, after: DataFrame, table: str, key: str = "id",
     Only (key, row fingerprint) of each snapshot is joined (a full outer join
     of two narrow columns), which finds the inserted, deleted and changed
     keys; the full rows are then fetched for those keys alone (the key set
-    is checkpointed and broadcast when small) and turned into JSON objects:
+    is checkpointed and broadcast when it measured small) and turned into JSON objects:
     the whole row for inserts and deletes, the changed columns for updates.
     """
-    cols = cols or [x for x in before.columns if x != key and x in after.columns]
+    # a column that one snapshot lacks counts as NULL there
+    cols = cols or [x for x in dict.fromkeys(before.columns + after.columns) if x != key]
+    before, after = _padded(before, after, cols), _padded(after, before, cols)
     hb = before.select(S(key).alias("__bk"), _row_hash(cols).alias("__bh"))
     ha = after.select(S(key).alias("__ak"), _row_hash(cols).alias("__ah"))
     keys = (hb.join(ha, S("__bk") == S("__ak"), "full_outer")
             .filter(S("__bk").isNull() | S("__ak").isNull() | (S("__bh") != S("__ah")))
             .select(F.coalesce(S("__ak"), S("__bk")).alias("__ck")))
-    keys = cut_lineage(keys)
-    if is_bounded(keys):
-        keys = F.broadcast(keys)
+    keys = cut_for_join(keys)
     b = (before.join(keys, S(key) == S("__ck"), "left_semi")
          .select(S(key).alias("__bk"), *[S(x).alias("b_" + x) for x in cols]))
     a = (after.join(keys, S(key) == S("__ck"), "left_semi")

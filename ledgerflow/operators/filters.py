@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import ilike_any, ts_lit
-from ..session import broadcast_if_bounded
 from .util import camel, pg_order, present
 
 # A filter value meaning "no filter": JS falsy values in the models, 'all' in
@@ -18,8 +17,6 @@ NO_FILTER = (None, "", "all")
 
 # Largest key list we inline as an IN list; bigger lists become a semi join.
 MAX_INLINE_KEYS = 1000
-# Largest key DataFrame we broadcast for a semi join (rows, checked).
-MAX_BROADCAST_KEYS = 1_000_000
 
 
 def _skipped(v, skip) -> bool:
@@ -48,8 +45,10 @@ def filter_eq(df: DataFrame, filters: dict | None, skip=NO_FILTER) -> DataFrame:
 
 
 def filter_model(df: DataFrame, filters: dict | None) -> DataFrame:
-    """The models' rule: any falsy value (None, '', 0, False) means no filter."""
-    return filter_eq(df, {k: v for k, v in (filters or {}).items() if v}, skip=(None,))
+    """The models' rule: a falsy value means no filter, but a flag filters also when False."""
+    flags = {c for c, t in df.dtypes if t == "boolean"}
+    return filter_eq(df, {k: v for k, v in (filters or {}).items()
+                          if v or (v is False and k in flags)}, skip=(None,))
 
 
 def filter_users(df: DataFrame, role=None, is_verified=None) -> DataFrame:
@@ -78,13 +77,12 @@ def lookup(df: DataFrame, col: str, keys) -> DataFrame:
     """Rows whose ``col`` equals a key.
 
     ``keys`` is one value, a short list (inlined as IN), or a DataFrame of
-    keys (semi join; broadcast only when its size is checked to be small).
+    keys (semi join; the planner or AQE broadcasts it when it is small).
     """
     if isinstance(keys, DataFrame):
         key_col = keys.columns[0]
-        k = broadcast_if_bounded(keys.select(F.col(key_col).alias("__k")).distinct(),
-                                 MAX_BROADCAST_KEYS)
-        return df.join(k, F.col(col) == F.col("__k"), "left_semi")
+        # a semi join takes each row once however often its key is listed
+        return df.join(keys.select(F.col(key_col).alias("__k")), F.col(col) == F.col("__k"), "left_semi")
     if isinstance(keys, (list, tuple, set)):
         keys = list(keys)
         if len(keys) > MAX_INLINE_KEYS:

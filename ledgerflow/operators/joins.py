@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import full_name
-from ..session import MAX_BROADCAST_ROWS, cut_lineage, is_bounded
+from ..session import cut_lineage
 from .filters import SECRET_USER_COLUMNS, filter_eq, lookup
 from .util import left_join_split_nulls, pg_order, present, salted_join
 
@@ -31,18 +31,13 @@ def _people(us: DataFrame, prefix: str, extra=("email", "phone")) -> DataFrame:
 
 
 def dim_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
-             how: str = "left", check: DataFrame | None = None,
-             max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join a fact to a dimension, broadcasting the dimension only when checked.
-
-    ``check`` is the base table whose row count bounds the dimension (a plain
-    scan, so the LIMIT-ed count stops early instead of running the
-    dimension's own joins).  Past the bound: an inner join shuffles both sides
-    (AQE splits skewed partitions); a left join also keeps NULL fact keys off
-    the shuffle.
+             how: str = "left") -> DataFrame:
+    """Join a fact to a dimension.
+
+    The planner broadcasts the dimension when its files are small, AQE when its
+    shuffle stage measured small; otherwise both sides shuffle, AQE splits
+    skewed partitions, and a left join keeps NULL fact keys off one task.
     """
-    if is_bounded(check if check is not None else dim, max_rows):
-        return fact.join(F.broadcast(dim), S(fact_key) == S(dim_key), how)
     if how == "left":
         return left_join_split_nulls(fact, dim, fact_key, dim_key)
     return fact.join(dim, S(fact_key) == S(dim_key), how)
@@ -57,8 +52,13 @@ def customer_dim(cu: DataFrame, us: DataFrame) -> DataFrame:
 
 
 def accountant_dim(ac: DataFrame, us: DataFrame) -> DataFrame:
-    """accountant id -> the accountant's user (left: user may be missing)."""
-    people = _people(us, "ac_")
+    """accountant id -> the accountant's user (left: user may be missing).
+
+    Users are cut to the accountants' first (a semi join on the few
+    accountants), so the users table is not sorted for them.
+    """
+    ids = ac.select(S("user_id").alias("__au"))
+    people = _people(us.join(ids, S("id") == S("__au"), "left_semi"), "ac_")
     acc = ac.select(S("id").alias("ac_id"), S("user_id").alias("ac_user_id"),
                     *[S(x).alias("ac_" + x) for x in present(ac, ["qualification",
                                                                    "experience_years"])])
@@ -77,9 +77,8 @@ def _with_parties(tr: DataFrame, cu: DataFrame, us: DataFrame, ac: DataFrame,
     if salt_buckets:
         out = salted_join(tr, cdim, "customer_id", "cu_id", "inner", salt_buckets, "id")
     else:
-        # broadcast when the customers table is checked small, else shuffle
-        out = dim_join(tr, cdim, "customer_id", "cu_id", "inner", check=cu)
-    return dim_join(out, accountant_dim(ac, us), "accountant_id", "ac_id", "left", check=ac)
+        out = dim_join(tr, cdim, "customer_id", "cu_id", "inner")
+    return dim_join(out, accountant_dim(ac, us), "accountant_id", "ac_id", "left")
 
 
 def _party_columns(df: DataFrame, wanted: dict[str, str]) -> list:
@@ -146,20 +145,23 @@ def return_documents(docs: DataFrame, us: DataFrame, ids=None) -> DataFrame:
     order = "created_at" if "created_at" in docs.columns else "id"
     return (j.select(*[S(x) for x in docs.columns],
                      full_name("up_first_name", "up_last_name").alias("uploaded_by_name"))
-            .orderBy(pg_order(order, "desc")))
+            .orderBy(pg_order(order, "desc"), S("id").asc()))
 
 
 def return_messages(msgs: DataFrame, us: DataFrame, ids=None) -> DataFrame:
     """Messages with sender and recipient names; a missing party drops it."""
     if ids is not None:
         msgs = lookup(msgs, "tax_return_id", ids)
-    j = (msgs.join(_people(us, "snd_", extra=()), S("sender_id") == S("snd_uid"), "inner")
-         .join(_people(us, "rcp_", extra=()), S("recipient_id") == S("rcp_uid"), "inner"))
+    # names are joined to ids alone: the few senders hold many messages each,
+    # and the texts should not be shuffled on them; the text comes in last
+    names = (msgs.select(S("id").alias("__mid"), "sender_id", "recipient_id")
+             .join(_people(us, "snd_", extra=()), S("sender_id") == S("snd_uid"), "inner")
+             .join(_people(us, "rcp_", extra=()), S("recipient_id") == S("rcp_uid"), "inner")
+             .select("__mid", full_name("snd_first_name", "snd_last_name").alias("sender_name"),
+                     full_name("rcp_first_name", "rcp_last_name").alias("recipient_name")))
     order = "created_at" if "created_at" in msgs.columns else "seq"
-    return (j.select(*[S(x) for x in msgs.columns],
-                     full_name("snd_first_name", "snd_last_name").alias("sender_name"),
-                     full_name("rcp_first_name", "rcp_last_name").alias("recipient_name"))
-            .orderBy(pg_order(order, "asc")))
+    return (msgs.join(names, S("id") == S("__mid"), "inner").drop("__mid")
+            .orderBy(S("tax_return_id").asc(), pg_order(order, "asc"), S("id").asc()))
 
 
 def document_owner(docs: DataFrame, tr: DataFrame) -> DataFrame:
@@ -174,9 +176,8 @@ def return_parties(tr: DataFrame, cu: DataFrame, ac: DataFrame) -> DataFrame:
     """Each return with its customer's and accountant's user ids (left joins)."""
     c = cu.select(S("id").alias("__cid"), S("user_id").alias("customer_user_id"))
     a = ac.select(S("id").alias("__aid"), S("user_id").alias("accountant_user_id"))
-    j = dim_join(tr.select("id", "customer_id", "accountant_id"), c, "customer_id", "__cid",
-                 check=cu)
-    j = dim_join(j, a, "accountant_id", "__aid", check=ac)
+    j = dim_join(tr.select("id", "customer_id", "accountant_id"), c, "customer_id", "__cid")
+    j = dim_join(j, a, "accountant_id", "__aid")
     return j.select("id", "customer_id", "accountant_id", "customer_user_id",
                     "accountant_user_id")
 
@@ -208,7 +209,7 @@ def inquiry_listing(ci: DataFrame, us: DataFrame, filters: dict | None = None) -
     """Inquiries (filtered) with the assignee's name (``' '`` if unassigned)."""
     ci = filter_eq(ci, filters)
     people = _people(us, "as_", extra=())
-    j = dim_join(ci, people, "assigned_to", "as_uid", "left", check=us)
+    j = dim_join(ci, people, "assigned_to", "as_uid", "left")
     return j.select(*[S(x) for x in ci.columns],
                     full_name("as_first_name", "as_last_name").alias("assigned_to_name"))
 
@@ -218,7 +219,7 @@ def inquiry_detail(ci: DataFrame, us: DataFrame, ids=None) -> DataFrame:
     if ids is not None:
         ci = lookup(ci, "id", ids)
     people = _people(us, "as_", extra=("email",))
-    j = dim_join(ci, people, "assigned_to", "as_uid", "left", check=us)
+    j = dim_join(ci, people, "assigned_to", "as_uid", "left")
     return j.select(*[S(x) for x in ci.columns],
                     full_name("as_first_name", "as_last_name").alias("assigned_to_name"),
                     S("as_email").alias("assigned_to_email"))
@@ -242,9 +243,11 @@ def return_listing_page(tr: DataFrame, cu: DataFrame, us: DataFrame, ac: DataFra
 
     Equal to ``page(return_listing(...))``:
 
-    1. the sort runs on a narrow projection (id, sort key) of the filtered
-       returns that survive the inner join with their customer's user (a
-       semi join on key columns only);
+    1. the first rows in page order are taken from a narrow projection (a
+       per-task top-k), some more than the page needs, and cut to those that
+       survive the inner join with their customer's user (semi joins on the
+       few customers they name); only if too many fell out is it done again
+       with more;
     2. the page's ids fetch the full rows (broadcast semi join: the returns
        are scanned, not shuffled), checkpointed once (at most ``limit``
        rows) so later steps do not re-run the sort;
@@ -255,12 +258,23 @@ def return_listing_page(tr: DataFrame, cu: DataFrame, us: DataFrame, ac: DataFra
     from .paging import page
 
     f = filter_eq(tr, filters)
-    with_user = (cu.select(S("id").alias("__ck"), S("user_id").alias("__cu"))
-                 .join(us.select(S("id").alias("__uk")), S("__cu") == S("__uk"), "left_semi")
-                 .select("__ck"))
-    narrow = (f.select("id", sort, "customer_id")
-              .join(with_user, S("customer_id") == S("__ck"), "left_semi")
-              .select("id", sort))
+    need = page_no * limit
+    fetch = need + max(limit, 100)
+    while True:
+        first = cut_lineage(page(f.select("id", sort, "customer_id"), sort, direction, 1, fetch, allowed))
+        named = (cu.select(S("id").alias("__ck"), S("user_id").alias("__cu"))
+                 .join(F.broadcast(first.select(S("customer_id").alias("__fc"))),
+                       S("__ck") == S("__fc"), "left_semi"))
+        users = (us.select(S("id").alias("__uk"))
+                 .join(F.broadcast(named.select(S("__cu").alias("__nu"))),
+                       S("__uk") == S("__nu"), "left_semi"))
+        known = named.join(F.broadcast(users), S("__cu") == S("__uk"), "left_semi").select("__ck")
+        narrow = cut_lineage(first.join(F.broadcast(known), S("customer_id") == S("__ck"), "left_semi")
+                             .select("id", sort))
+        # both frames hold at most ``fetch`` rows
+        if narrow.count() >= need or first.count() < fetch:
+            break
+        fetch *= 4
     top = page(narrow, sort, direction, page_no, limit, allowed).select(S("id").alias("__pid"))
     # the page (at most `limit` rows) is read by every later step: materialize
     # it once so the sort and the table scan are not re-run per reference

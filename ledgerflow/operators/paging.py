@@ -83,7 +83,9 @@ def positions(df: DataFrame, group: str, order: list, name: str = "pos") -> Data
                                           F.min("__mid").alias("__m0"))
     before = Window.partitionBy(group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    j = s.join(parts.drop("__n"), [group, "__pid"])
+    at = parts.drop("__n").withColumnsRenamed({group: "__g", "__pid": "__p"})
+    # NULL is a group of its own
+    j = s.join(at, s[group].eqNullSafe(F.col("__g")) & (s["__pid"] == F.col("__p"))).drop("__g", "__p")
     return (j.withColumn(name, (F.col("__off") + (F.col("__mid") - F.col("__m0")) + 1).cast("long"))
             .drop("__pid", "__mid", "__m0", "__off"))
 

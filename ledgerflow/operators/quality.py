@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import js_trim
-from ..session import broadcast_if_bounded
 from ..sources import schemas as SC
 from .util import present
 
@@ -196,36 +195,33 @@ def dq_unique(tables: dict[str, DataFrame], keys: dict[str, list[list[str]]] | N
     return _union(frames)
 
 
-def dq_foreign_key(tables: dict[str, DataFrame], fks=None, max_parent_rows: int = 200_000
-                   ) -> DataFrame:
+def dq_foreign_key(tables: dict[str, DataFrame], fks=None) -> DataFrame:
     """Non-NULL references without a parent: (table, column, parent, value, n_rows).
 
-    Each child column is first reduced to its distinct values with counts (a
+    Each child table is read once: its reference columns are exploded to
+    (column, parent, value) and reduced to distinct values with counts (a
     partial aggregate, so however skewed the references are, the join sees
-    each value once).  All references to one parent are unioned and checked
-    with a single anti join, so each parent's keys are read once.
+    each value once).  One anti join against the ids of all parents follows.
     """
-    by_parent: dict[str, list[DataFrame]] = {}
+    wanted: dict[str, list[tuple[str, str]]] = {}
     for child, col, parent, _cascade in (fks or SC.FOREIGN_KEYS):
-        if child not in tables or parent not in tables or col not in tables[child].columns:
-            continue
-        key_type = tables[parent].schema["id"].dataType
-        refs = (tables[child].filter(S(col).isNotNull())
-                .groupBy(S(col).cast(key_type).alias("__v"))
-                .agg(F.count(F.lit(1)).alias("n_rows"))
-                .select(F.lit(child).alias("table_name"), F.lit(col).alias("column_name"),
-                        "__v", "n_rows"))
-        by_parent.setdefault(parent, []).append(refs)
-    frames = []
-    for parent, refs in by_parent.items():
-        # no distinct: repeated ids change nothing for an anti join, and a
-        # plain projection lets the size check stop after max_parent_rows
-        ids = broadcast_if_bounded(tables[parent].select(S("id").alias("__p")),
-                                   max_parent_rows)
-        frames.append(_union(refs).join(ids, S("__v") == S("__p"), "left_anti").select(
-            "table_name", "column_name", F.lit(parent).alias("parent_table"),
-            S("__v").cast("string").alias("value"), "n_rows"))
-    return _union(frames)
+        if child in tables and parent in tables and col in tables[child].columns:
+            wanted.setdefault(child, []).append((col, parent))
+    refs = []
+    for child, pairs in wanted.items():
+        entries = [F.struct(F.lit(col).alias("column_name"), F.lit(parent).alias("parent_table"),
+                            S(col).cast(tables[parent].schema["id"].dataType).cast("string")
+                            .alias("value")) for col, parent in pairs]
+        refs.append(tables[child].select(F.explode(F.array(*entries)).alias("r")).select("r.*")
+                    .filter(S("value").isNotNull())
+                    .groupBy("column_name", "parent_table", "value")
+                    .agg(F.count(F.lit(1)).alias("n_rows"))
+                    .withColumn("table_name", F.lit(child)))
+    ids = [tables[p].select(F.lit(p).alias("__t"), S("id").cast("string").alias("__id"))
+           for p in sorted({p for pairs in wanted.values() for _, p in pairs})]
+    return (_union(refs).join(_union(ids), (S("parent_table") == S("__t")) & (S("value") == S("__id")),
+                              "left_anti")
+            .select("table_name", "column_name", "parent_table", "value", "n_rows"))
 
 
 # -- request validation --------------------------------------------------------------

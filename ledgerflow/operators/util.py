@@ -20,12 +20,6 @@ def camel(name: str) -> str:
     return head + "".join(p[:1].upper() + p[1:] for p in rest)
 
 
-def prefixed(df: DataFrame, prefix: str, cols=None) -> DataFrame:
-    """Rename columns to ``prefix + name`` so self-joins stay unambiguous."""
-    cols = cols or df.columns
-    return df.select(*[F.col(x).alias(prefix + x) for x in cols])
-
-
 def one_row(*frames: DataFrame) -> DataFrame:
     """Combine one-row aggregates side by side without a cross join.
 
@@ -50,20 +44,25 @@ def pg_order(col: Column | str, direction: str = "asc") -> Column:
     return col.asc_nulls_last()
 
 
+NULL_SPREAD = 64
+
+
 def left_join_split_nulls(left: DataFrame, right: DataFrame, left_key: str,
                           right_key: str) -> DataFrame:
-    """LEFT JOIN on ``left_key = right_key`` with NULL keys kept off the shuffle.
+    """LEFT JOIN on ``left_key = right_key`` with NULL keys spread over tasks.
 
     Rows whose key is NULL can never match, yet a shuffle join sends them all
     to one task (they hash alike).  When a third of the rows carry no key
-    (unassigned returns), that task is the whole job; routing them around the
-    join and padding the right-hand columns with NULLs removes the hot group.
+    (unassigned returns), that task is the whole job.  A second join key, 0
+    for rows with a key and a hash of the row for the others, spreads them;
+    the left side is read once.
     """
-    keyed = (left.filter(F.col(left_key).isNotNull())
-             .join(right, F.col(left_key) == F.col(right_key), "left"))
-    pad = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields]
-    unkeyed = left.filter(F.col(left_key).isNull()).select("*", *pad)
-    return keyed.unionByName(unkeyed)
+    plain = [c for c, t in left.dtypes if not t.startswith("map")]
+    spread = F.when(F.col(left_key).isNull(), F.pmod(F.xxhash64(*plain), F.lit(NULL_SPREAD)) + 1)
+    keyed = left.withColumn("__spread", F.coalesce(spread, F.lit(0)))
+    other = right.withColumn("__zero", F.col(right_key).isNull().cast("long"))
+    cond = (F.col(left_key) == F.col(right_key)) & (F.col("__spread") == F.col("__zero"))
+    return keyed.join(other, cond, "left").drop("__spread", "__zero")
 
 
 _IDENT = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")

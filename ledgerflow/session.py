@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+from functools import reduce
+from operator import add
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Defaults for a session we build ourselves (tests, bench).  On a cluster the
@@ -17,12 +18,12 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    # No broadcast from planner estimates (they come from compressed file
-    # sizes and can be far off); AQE converts a join to a broadcast only
-    # from the measured size of a finished shuffle stage, and the operators
-    # broadcast explicitly only after a row-count check (is_bounded).
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    # The planner broadcasts a side whose files are small; AQE one whose
+    # finished shuffle stage measured small.  The operators mark only frames
+    # whose bytes they measured while writing them (cut_for_join).
+    "spark.sql.autoBroadcastJoinThreshold": str(8 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
@@ -73,8 +74,9 @@ def build_session(master: str | None = None, app: str = "ledgerflow",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) do we create one of our own under the temp folder.
+    ``spark.checkpoint.dir`` is read from the session.  Only where it is unset
+    and the master is local (tests) is a folder made under the temp folder; on
+    a cluster every executor would write to a disk of its own, so that raises.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -85,65 +87,55 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if not configured:
+        if not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ledgerflow-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
+    """Reliable checkpoint into the shared checkpoint folder, written once.
 
     Used between the steps of long change chains (cascades) so that a lost
     executor re-reads the checkpoint instead of recomputing the whole chain.
-    Never ``localCheckpoint``: its blocks die with the executor.
+    Never ``localCheckpoint``: its blocks die with the executor.  The files go
+    with the DataFrame when ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set, as the defaults above do.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    # persisted for the duration of the checkpoint only: the eager count and
-    # the write to the checkpoint folder then compute the data once
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        df.unpersist()
-
+    return df.checkpoint(eager=True)
 
-# Row bound under which a dimension side may be broadcast after the check.
-MAX_BROADCAST_ROWS = 200_000
 
+# Bytes (as measured while the rows were written) under which a checkpointed
+# frame is broadcast.
+BROADCAST_BYTES = 32 * 1024 * 1024
 
-def is_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """True when ``df`` holds at most ``max_rows`` rows (reads at most one more)."""
-    return df.limit(max_rows + 1).count() <= max_rows
 
+def _row_bytes(df: DataFrame):
+    """Bytes of a row, near enough: what its strings hold, and 16 a column."""
+    parts = [F.lit(16 * max(1, len(df.columns))).cast("long")]
+    for f in df.schema.fields:
+        col = F.col(f"`{f.name}`")
+        if f.dataType.typeName() in ("string", "binary", "varchar", "char"):
+            parts.append(F.coalesce(F.octet_length(col), F.lit(0)).cast("long"))
+        elif f.dataType.typeName() in ("array", "map", "struct"):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(col))), F.lit(0)).cast("long"))
+    return reduce(add, parts)
 
-def bounded_many(frames: dict, max_rows: int = MAX_BROADCAST_ROWS) -> dict:
-    """``is_bounded`` for several frames in one job.
-
-    Each frame is cut to ``max_rows + 1`` rows and tagged; one grouped count
-    over the union gives every size (a handful of rows reach the driver).
-    """
-    from functools import reduce
 
-    parts = [df.limit(max_rows + 1).select(F.lit(name).alias("__t"))
-             for name, df in frames.items()]
-    counts = {r["__t"]: r["n"] for r in
-              reduce(lambda a, b: a.unionByName(b), parts)
-              .groupBy("__t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return {name: counts.get(name, 0) <= max_rows for name in frames}
+def cut_and_measure(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut_lineage`` and the bytes written, observed on that same pass."""
+    seen = Observation()
+    ensure_checkpoint_dir(df.sparkSession)
+    out = df.observe(seen, F.sum(_row_bytes(df)).alias("bytes")).checkpoint(eager=True)
+    return out, int(seen.get.get("bytes") or 0)
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
+def cut_for_join(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Checkpointed ``df``, marked for broadcast if it measured small.
 
-    The check reads at most ``max_rows + 1`` rows (a LIMIT stops the scan
-    early), so it stays cheap even when the side turns out to be big; past the
-    bound the join falls back to the shuffle join Catalyst / AQE choose.
+    Past the bound the join is left to the planner and AQE.
     """
-    return F.broadcast(df) if is_bounded(df, max_rows) else df
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
+    out, size = cut_and_measure(df)
+    return F.broadcast(out) if size <= max_bytes else out

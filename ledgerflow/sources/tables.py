@@ -22,13 +22,20 @@ def load_all(spark: SparkSession, base_dir: str, names=None) -> dict[str, DataFr
 
 def load_jdbc(spark: SparkSession, url: str, table: str, partition_col: str | None = None,
               bounds: tuple[int, int] | None = None, num_partitions: int = 64,
-              properties: dict | None = None) -> DataFrame:
+              properties: dict | None = None, id_prefixes: str | None = None) -> DataFrame:
     """Read an operational database table over JDBC, split into parallel ranges.
 
-    Without a numeric partition column the read is a single task, so pass
-    one (with its bounds) for anything but small tables.
+    ``id_prefixes``: a UUID column to split by its first two hex digits (256
+    tasks).  With a numeric ``partition_col`` and its bounds the read is split
+    by ranges.  Without either it is a single task, for small tables only.
     """
     props = dict(properties or {})
+    if id_prefixes:
+        edges = [f"{n:02x}" for n in range(256)]
+        parts = [f"{id_prefixes} >= '{a}'" + (f" AND {id_prefixes} < '{b}'" if b else "")
+                 for a, b in zip(edges, [*edges[1:], None])]
+        parts[0] = f"({id_prefixes} < '01' OR {id_prefixes} IS NULL)"
+        return spark.read.jdbc(url, table, predicates=parts, properties=props)
     if partition_col and bounds:
         return spark.read.jdbc(url, table, column=partition_col, lowerBound=bounds[0],
                                upperBound=bounds[1], numPartitions=num_partitions,

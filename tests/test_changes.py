@@ -315,3 +315,92 @@ def test_audit_diff_null_swaps_and_no_change(spark):
     got = C.audit_diff(before, after, "t").collect()
     assert [(r.record_id, r.action) for r in got] == [("a", "UPDATE")]
     assert got[0].old_values == '{"x":null,"y":"1"}' and got[0].new_values == '{"x":"1","y":null}'
+
+
+def test_every_change_of_a_batch_is_accounted_for(spark):
+    tr = returns(spark)
+    chg = spark.createDataFrame(
+        [("r01", "review", 1), ("r01", "completed", 2), ("r01", "archived", 3), ("r02", "archived", 1),
+         ("zz", "review", 1), ("r03", "filed", 5), ("r03", "review", 4)],
+        "id string, status string, seq int")
+    res = C.set_status(tr, chg, AS_OF, seq="seq")
+    st = rows(res.state)
+    assert st["r01"].status == "completed"            # the invalid change after it hides nothing
+    assert st["r03"].status == "filed" and st["r02"].status == rows(tr)["r02"].status
+    assert sorted((r.id, r.seq, r.reason) for r in res.rejects.collect()) == [
+        ("r01", 3, "invalid_status"), ("r02", 1, "invalid_status"), ("zz", 1, "not_found")]
+    assert sorted((r.id, r.seq) for r in res.superseded.collect()) == [("r01", 1), ("r03", 4)]
+    changed = res.state.filter(F.col("updated_at").isNotNull()).count()
+    assert changed + res.rejects.count() + res.superseded.count() == chg.count()
+
+
+def test_profile_columns_fold_apart(spark):
+    chg = spark.createDataFrame([("u2", "Rob", None, 1), ("u2", None, "0123", 2), ("u1", "A", "1", 1),
+                                 ("u1", "B", "2", 2)], "id string, first_name string, phone string, seq int")
+    res = C.update_profile(users(spark), chg, AS_OF, seq="seq")
+    st = rows(res.state)
+    assert (st["u2"].first_name, st["u2"].phone) == ("Rob", "0123")
+    assert (st["u1"].first_name, st["u1"].phone) == ("B", "2")
+    assert [(r.id, r.seq) for r in res.superseded.collect()] == [("u1", 1)]
+
+
+def test_two_changes_of_a_key_need_an_order(spark):
+    tr = returns(spark)
+    chg = spark.createDataFrame([("r01", "review"), ("r01", "filed"), ("r02", "review"), ("r02", "archived")],
+                                "id string, status string")
+    res = C.set_status(tr, chg, AS_OF)
+    st = rows(res.state)
+    assert res.state.count() == tr.count() and st["r01"].updated_at is None
+    assert st["r02"].status == "review"
+    assert sorted((r.id, r.reason) for r in res.rejects.collect()) == [
+        ("r01", C.NO_ORDER), ("r01", C.NO_ORDER), ("r02", "invalid_status")]
+
+
+def test_big_batch_by_shuffle_equals_broadcast(spark):
+    tr = returns(spark)
+    chg = spark.createDataFrame([("r01", "review", 1), ("zz", "review", 1), ("r02", "x", 2)],
+                                "id string, status string, seq int")
+    got = [C.apply_changes(tr, chg, "id", {"status": F.col("chg_status")},
+                           [("short", F.length("chg_status") > 1)], AS_OF, seq="seq", max_broadcast=n)
+           for n in (0, 1 << 20)]
+    for part in ("state", "rejects", "superseded"):
+        a, b = (sorted(map(str, getattr(g, part).collect())) for g in got)
+        assert a == b
+
+
+def test_equal_new_lines_get_ids_of_their_own(spark):
+    cur = table(spark, "income_sources", [])
+    inc = spark.createDataFrame([("r01", "rental", Decimal("5.00"))] * 2,
+                                "tax_return_id string, source_type string, gross_income decimal(12,2)")
+    first = C.insert_income(cur, inc).state
+    both = C.insert_income(first, inc).state
+    assert both.select("id").distinct().count() == both.count() == 4
+
+
+def test_a_refused_registration_takes_no_email(spark):
+    req = spark.createDataFrame([(1, "n@y.com", "Aa", "Bb", "admin"), (2, "n@y.com", "Aa", "Bb", None),
+                                 (3, "N@y.com", "Aa", "Bb", None)],
+                                "seq int, email string, first_name string, last_name string, role string")
+    out = {r.seq: r.outcome for r in C.register_users(users(spark), req, AS_OF).outcomes.collect()}
+    assert out == {1: "invalid_role", 2: "accepted", 3: "duplicate_in_batch"}
+
+
+def test_own_rows_do_not_block_a_cascade(spark):
+    tables = {"users": users(spark), "customers": customers(spark), "accountants": accountants(spark),
+              "tax_returns": table(spark, "tax_returns", [dict(id="x1", customer_id="c2", tax_year="2020-21"),
+                                                          dict(id="x2", customer_id="c1", tax_year="2020-21")]),
+              "documents": table(spark, "documents", [dict(id="d1", tax_return_id="x1", uploaded_by="u2"),
+                                                      dict(id="d2", tax_return_id="x1", uploaded_by="u1")])}
+    asked = spark.createDataFrame([("u1",), ("u2",)], "id string")
+    out, blocked = C.cascade_users(tables, asked)
+    assert [(r.user_id, r.blocked_by) for r in blocked.collect()] == [("u1", "documents.uploaded_by")]
+    assert {r.id for r in out["tax_returns"].collect()} == {"x2"}
+    assert out["documents"].count() == 0 and "u2" not in rows(out["users"])
+
+
+def test_audit_diff_sees_columns_of_one_side(spark):
+    before = spark.createDataFrame([("a", 1), ("b", 1)], "id string, x int")
+    after = spark.createDataFrame([("a", 1, "note"), ("b", 1, None)], "id string, x int, notes string")
+    got = C.audit_diff(before, after, "t").collect()
+    assert [(r.record_id, r.old_values, r.new_values) for r in got] == [
+        ("a", '{"notes":null}', '{"notes":"note"}')]

@@ -20,6 +20,8 @@ def test_filter_eq_skips_all_and_empty(spark):
 def test_filter_model_skips_falsy(spark):
     tr = returns(spark)
     assert FL.filter_model(tr, {"status": "", "tax_year": 0, "accountant_id": False}).count() == 25
+    us = users(spark)
+    assert FL.filter_model(us, {"is_verified": False}).count() == us.filter("not is_verified").count() > 0
 
 
 def test_filter_users_verified_text(spark):

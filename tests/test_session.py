@@ -1,26 +1,47 @@
 import contextlib
 import io
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerflow import session as SS
 
 
-def test_size_checks(spark):
-    small, big = spark.range(10), spark.range(1000)
-    assert SS.is_bounded(small, 10) and not SS.is_bounded(big, 10)
-    assert SS.bounded_many({"s": small, "b": big, "e": spark.range(0)}, 10) == {
-        "s": True, "b": False, "e": True}
-    plan = io.StringIO()
-    j = big.join(SS.broadcast_if_bounded(small, 10), "id")
-    with contextlib.redirect_stdout(plan):
-        j.explain()
-    assert "BroadcastHashJoin" in plan.getvalue()
-    plan = io.StringIO()
-    j = small.join(SS.broadcast_if_bounded(big, 10), "id")
-    with contextlib.redirect_stdout(plan):
-        j.explain()
-    assert "BroadcastExchange" not in plan.getvalue()   # past the bound: no broadcast
+def _plan(df):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
+
+
+def test_broadcast_only_of_measured_small_frames(spark):
+    small = spark.range(10).withColumn("t", F.lit("x" * 100))
+    out, size = SS.cut_and_measure(small)
+    assert size == 10 * (2 * 16 + 100) and out.count() == 10
+    assert SS.cut_and_measure(spark.range(0))[1] == 0
+    big = spark.range(1000)
+    near = big.join(SS.cut_for_join(small), "id")
+    far = big.join(SS.cut_for_join(small, max_bytes=10), "id")
+    assert "ResolvedHint" not in _plan(far) and "BroadcastHashJoin" in _plan(near)
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, far.collect()))
+
+
+def test_no_own_checkpoint_folder_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        SS.ensure_checkpoint_dir(Session())
 
 
 def test_cut_lineage_keeps_rows_and_drops_plan(spark):
