@@ -4,12 +4,13 @@ A seed is a fixed mask: the token positions it keeps are hashed, the others are
 ignored, so a changed word in a gap does not hide a hit.  The seeds of the test
 items are joined with those of the training texts (a hash join on the map side,
 behind a bit table of the test seeds), and around every hit the text is laid
-against the item along that diagonal: the stretch that scores best, +1 for an
-equal token and -4 for another, must have ``MIN_TOKENS`` tokens (the whole item,
-if shorter) of which four fifths or more are equal.
+against the item along that diagonal: there must be a stretch of ``MIN_TOKENS``
+tokens or more (of the whole item, if shorter) of which four fifths or more are
+equal.  The stretch reported is the one in which equal tokens are furthest
+above that share.
 
-Any three substitutions in a fifteen-token item leave a hit of the first two
-masks.  Tokens are lower-cased runs of letters and digits.
+Any substitution in a six-token item and any three in a fifteen-token one leave
+a hit of some mask.  Tokens are lower-cased runs of letters and digits.
 
 Test items are a stated query set: they are taken in blocks of about
 ``BLOCK_CHARS`` characters, each broadcast in turn against all training texts,
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm.shared import chunks, ship, word_hashes
 
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 5, 6))
+MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 1, 2, 4, 5), (0, 1, 3, 4, 5), (0, 2, 3, 4, 5), (0, 1, 3, 5, 6))
 WEIGHT = 5
 MIN_TOKENS = 13
 LOSS = 4  # of a substitution; equal tokens gain 1, so four fifths are level
@@ -117,20 +118,20 @@ class Index:
 
     @staticmethod
     def _overlap(text: np.ndarray, item: np.ndarray, diag: int) -> tuple[int, int, int] | None:
-        """Best stretch of one diagonal, if it is long and like enough."""
+        """The best long enough stretch of one diagonal, if any is like enough."""
         lo, hi = max(0, -diag), min(len(item), len(text) - diag)
+        least = min(MIN_TOKENS, len(item))
+        if hi - lo < least:
+            return None
         same = text[lo + diag:hi + diag] == item[lo:hi]
         total = np.r_[0, np.cumsum(np.where(same, 1, -LOSS))]
-        gain = total - np.minimum.accumulate(total)
+        # the lowest total before each end, at least ``least`` tokens back
+        gain = total[least:] - np.minimum.accumulate(total[:len(total) - least])
         b = int(np.argmax(gain))
-        if not gain[b]:
+        if gain[b] < 0:
             return None
-        a = int(np.flatnonzero(total[:b + 1] == total[:b + 1].min())[0])
-        if b - a < min(MIN_TOKENS, len(item)):
-            # substitutions next to an edge do not lengthen the best stretch: look at the whole overlap
-            a, b = 0, hi - lo
-            if b < min(MIN_TOKENS, len(item)) or same.sum() * (LOSS + 1) < LOSS * b:
-                return None
+        a = int(np.argmin(total[:b + 1]))
+        b += least
         return lo + diag + a, lo + diag + b, int(same[a:b].sum())
 
 

@@ -223,7 +223,7 @@ def _score(total_words: int):
                 back = ALPHA * s[c.follows]
                 before = n_word[c.follows - 1] if len(c.follows) else np.empty(0)
                 s[c.follows] = np.where(n_pair > 0, n_pair / np.maximum(before, 1), back)
-                total = np.bincount(c.owner, weights=np.log(s), minlength=len(c.counts))
+                total = np.bincount(c.owner, weights=np.log(s), minlength=len(c.counts)).astype(np.float64)
                 yield pa.RecordBatch.from_pydict({
                     "id": pa.array(c.ids, pa.int64(), mask=c.missing), "n_words": pa.array(c.counts),
                     "log_score": pa.array(total)})
