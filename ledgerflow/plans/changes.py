@@ -288,17 +288,18 @@ def set_inquiry_status(d: Domain):
     return C.set_inquiry_status(ci, chg, AS_OF_EVENTS).state
 
 
-@register("assign_inquiry", views=("contact_inquiries", "users"), oracle=updated_sql(
-    "contact_inquiries", "", {"assigned_to": "'s1'",
-                              "status": "CASE WHEN status = 'new' THEN 'in_progress' ELSE status END"},
-    touch=None,
-    source="""(SELECT t.*, (t.status = 'new' AND EXISTS (SELECT 1 FROM users u WHERE u.id = 's1'
-               AND u.role = 'admin')) AS __hit FROM contact_inquiries t)"""))
+@register("assign_inquiry", views=("contact_inquiries", "users"), oracle="""
+WITH asked AS (SELECT id, CASE WHEN id % 8 = 0 THEN 's3' ELSE 's1' END AS who FROM contact_inquiries WHERE status = 'new'),
+done AS (SELECT asked.id, who FROM asked JOIN users u ON u.id = asked.who WHERE u.role = 'admin')
+SELECT t.* REPLACE (COALESCE(done.who, t.assigned_to) AS assigned_to,
+                    CASE WHEN done.id IS NOT NULL THEN 'in_progress' ELSE t.status END AS status)
+FROM contact_inquiries t LEFT JOIN done ON done.id = t.id""")
 def assign_inquiry(d: Domain):
-    """New inquiries handed to user s1; only admins may take inquiries, so a
-    non-admin assignee is rejected and the row stays as it was."""
+    """New inquiries handed to user s3 (an admin) or s1 (not one); only admins
+    may take inquiries, so the others stay as they were."""
     ci = d.inquiries
-    chg = ci.filter(S("status") == "new").select("id", F.lit("s1").alias("assigned_to"))
+    chg = ci.filter(S("status") == "new").select(
+        "id", F.when(S("id") % 8 == 0, "s3").otherwise("s1").alias("assigned_to"))
     return C.assign_inquiry(ci, chg, d.users, AS_OF_EVENTS).state
 
 

@@ -1,8 +1,8 @@
 """Named queries: data-quality checks and request validation.
 
-The oracle texts are generated from the same constraint tables as the jobs
-(``sources.schemas``), but as plain per-rule ``SELECT ... WHERE`` statements,
-so DuckDB evaluates each rule on its own.
+The oracles state the declared limits and patterns again, as plain per-rule
+``SELECT ... WHERE`` statements, so a wrong limit in the jobs' own tables
+(``sources.schemas``) shows as a difference.
 """
 
 from __future__ import annotations
@@ -24,6 +24,45 @@ NO_ROWS = ("SELECT CAST(NULL AS VARCHAR) AS table_name, CAST(NULL AS VARCHAR) AS
            "CAST(NULL AS VARCHAR) AS value WHERE false")
 
 
+# The declared constraints and request rules, for the columns of
+# the stand-ins.
+REQUIRED = {"tax_returns": "id tax_year status", "customers": "id", "accountants": "id",
+            "users": "id email first_name last_name role", "income_sources": "source_type gross_income",
+            "expenses": "category amount expense_date", "documents": "id document_type",
+            "messages": "id message", "reviews": "id rating", "contact_inquiries": "id subject"}
+LISTED = [("users", "role", "'customer', 'accountant', 'admin'"),
+          ("tax_returns", "status", "'pending', 'in_progress', 'review', 'completed', 'filed', 'cancelled'"),
+          ("tax_returns", "payment_status", "'pending', 'paid', 'refunded', 'failed'"),
+          ("contact_inquiries", "status", "'new', 'in_progress', 'resolved', 'closed'"),
+          ("tax_returns", "situation_type", "'self-employed', 'freelancer', 'landlord', 'investor', "
+           "'high-earner', 'first-time', 'other'"),
+          ("income_sources", "source_type", "'employment', 'self_employment', 'rental', 'dividends', "
+           "'interest', 'other'"),
+          ("contact_inquiries", "inquiry_type", "'general', 'tax-return', 'account', 'billing', "
+           "'technical', 'feedback'")]
+BOUNDED = [("users", "email", 255), ("users", "first_name", 100), ("users", "last_name", 100), ("users", "phone", 20),
+           ("users", "role", 20), ("customers", "country", 100), ("customers", "employment_status", 50),
+           ("tax_returns", "tax_year", 10), ("tax_returns", "status", 20), ("tax_returns", "situation_type", 50),
+           ("tax_returns", "payment_status", 20), ("income_sources", "source_type", 50),
+           ("expenses", "category", 100), ("documents", "document_type", 50), ("documents", "mime_type", 100),
+           ("contact_inquiries", "subject", 255), ("contact_inquiries", "inquiry_type", 50),
+           ("contact_inquiries", "status", 20)]
+TRIMMED = [("contact_inquiries", "subject", 5, 255), ("users", "first_name", 2, 50), ("users", "last_name", 2, 50)]
+KEYS = [("users", "id"), ("users", "email"), ("tax_returns", "id"), ("tax_returns", "customer_id,tax_year"),
+        ("customers", "id"), ("accountants", "id"), ("documents", "id"), ("messages", "id"), ("reviews", "id"),
+        ("contact_inquiries", "id")]
+REFERENCES = [("accountants", "user_id", "users"), ("customers", "user_id", "users"),
+              ("tax_returns", "customer_id", "customers"), ("tax_returns", "accountant_id", "accountants"),
+              ("income_sources", "tax_return_id", "tax_returns"), ("expenses", "tax_return_id", "tax_returns"),
+              ("documents", "tax_return_id", "tax_returns"), ("documents", "uploaded_by", "users"),
+              ("messages", "tax_return_id", "tax_returns"), ("messages", "sender_id", "users"),
+              ("messages", "recipient_id", "users"), ("reviews", "customer_id", "customers"),
+              ("reviews", "tax_return_id", "tax_returns"), ("contact_inquiries", "assigned_to", "users")]
+TAX_YEAR = "^[0-9]{4}-[0-9]{2}$"
+UK_MOBILE = r"^(\+?44|0)7[0-9]{9}$"
+UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+
+
 def _cols(t):
     return STANDIN_COLUMNS[VIEW_OF.get(t, t)]
 
@@ -57,29 +96,15 @@ def _in_list(vals) -> str:
 
 
 NOT_NULL_SQL = _union_sql(_row_sql(t, c, "not_null", f"{c} IS NULL")
-                          for t in PRACTICE for c in SC.NOT_NULL.get(t, []) if c in _cols(t))
-ENUM_SQL = _union_sql(_row_sql(t, c, "enum", f"{c} IS NOT NULL AND {c} NOT IN {_in_list(v)}")
-                      for t in PRACTICE for (tt, c), v in SC.ENUMS.items()
-                      if tt == t and c in _cols(t))
-RATING_SQL = _row_sql("reviews", "rating", "range_1_5", "NOT (rating BETWEEN 1 AND 5)")
-AMOUNT_SQL = _union_sql(_row_sql(t, c, "non_negative", f"{c} < 0")
-                        for t in PRACTICE for c in Q.AMOUNT_COLUMNS.get(t, []) if c in _cols(t))
-
-
-def _length_parts():
-    for t in PRACTICE:
-        for (tt, c), (lo, hi) in SC.REQUEST_LENGTHS.items():
-            if tt == t and c in _cols(t):
-                n = f"LENGTH({_trim(f'CAST({c} AS VARCHAR)')})"
-                conds = ([f"{n} < {lo}"] if lo is not None else []) + \
-                        ([f"{n} > {hi}"] if hi is not None else [])
-                yield _row_sql(t, c, "length", " OR ".join(conds))
-        for c, limit in SC.VARCHAR.get(t, {}).items():
-            if c in _cols(t):
-                yield _row_sql(t, c, f"varchar_{limit}", f"LENGTH(CAST({c} AS VARCHAR)) > {limit}")
-
-
-LENGTH_SQL = _union_sql(_length_parts())
+                          for t, cols in REQUIRED.items() for c in cols.split())
+ENUM_SQL = _union_sql(_row_sql(t, c, "enum", f"{c} IS NOT NULL AND {c} NOT IN ({v})") for t, c, v in LISTED)
+RATING_SQL = _row_sql("reviews", "rating", "range_1_5", "rating < 1 OR rating > 5")
+AMOUNT_SQL = _union_sql(_row_sql(t, c, "non_negative", f"{c} < 0") for t, c in (
+    ("tax_returns", "total_income"), ("tax_returns", "total_tax_due"),
+    ("income_sources", "gross_income"), ("income_sources", "tax_deducted")))
+LENGTH_SQL = _union_sql(
+    [_row_sql(t, c, "length", f"LENGTH({_trim(c)}) NOT BETWEEN {lo} AND {hi}") for t, c, lo, hi in TRIMMED]
+    + [_row_sql(t, c, f"varchar_{n}", f"LENGTH(CAST({c} AS VARCHAR)) > {n}") for t, c, n in BOUNDED])
 
 
 def _pattern_sql(t, c, rule, pattern, transform="{}"):
@@ -119,7 +144,7 @@ def dq_string_length(d: Domain):
 
 
 @register("dq_tax_year", views=ALL_VIEWS,
-          oracle=_pattern_sql("tax_returns", "tax_year", "tax_year_format", Q.TAX_YEAR_PATTERN))
+          oracle=_pattern_sql("tax_returns", "tax_year", "tax_year_format", TAX_YEAR))
 def dq_tax_year(d: Domain):
     return Q.dq_tax_year(_tables(d))
 
@@ -139,25 +164,27 @@ def dq_email(d: Domain):
     return Q.dq_email(_tables(d))
 
 
+@register("dq_uk_phone", views=ALL_VIEWS, oracle=_pattern_sql("users", "phone", "uk_mobile", UK_MOBILE))
+def dq_uk_phone(d: Domain):
+    """Phone numbers that are not UK mobile numbers (a missing one passes)."""
+    return Q.dq_uk_phone(_tables(d))
+
+
 @register("dq_uuid", views=ALL_VIEWS,
-          oracle=_pattern_sql("users", "id", "uuid", Q.UUID_PATTERN))
+          oracle=_pattern_sql("users", "id", "uuid", UUID))
 def dq_uuid(d: Domain):
     """Ids that are not UUID text (every stand-in id, by construction)."""
     return Q.dq_uuid(_tables(d))
 
 
-def _unique_parts():
-    for t in PRACTICE:
-        for cols in SC.UNIQUE.get(t, []):
-            if all(c in _cols(t) for c in cols):
-                kv = "CONCAT_WS('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + ")"
-                nn = " AND ".join(f"{c} IS NOT NULL" for c in cols)
-                yield (f"SELECT '{t}' AS table_name, '{','.join(cols)}' AS key_columns, "
-                       f"{kv} AS key_value, COUNT(*) AS n FROM {VIEW_OF.get(t, t)} WHERE {nn} "
-                       f"GROUP BY {', '.join(cols)} HAVING COUNT(*) > 1")
+def _unique_sql(t, key):
+    cols = key.split(",")
+    value = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)  # NULL when a part is
+    return (f"SELECT '{t}' AS table_name, '{key}' AS key_columns, v AS key_value, COUNT(*) AS n "
+            f"FROM (SELECT {value} AS v FROM {VIEW_OF.get(t, t)}) WHERE v IS NOT NULL GROUP BY v HAVING COUNT(*) > 1")
 
 
-UNIQUE_SQL = _union_sql(_unique_parts())
+UNIQUE_SQL = _union_sql(_unique_sql(t, k) for t, k in KEYS)
 
 
 @register("dq_unique", views=ALL_VIEWS, oracle=UNIQUE_SQL)
@@ -166,17 +193,11 @@ def dq_unique(d: Domain):
     return Q.dq_unique(_tables(d))
 
 
-def _fk_parts():
-    for child, col, parent, _ in SC.FOREIGN_KEYS:
-        if child in PRACTICE and parent in PRACTICE and col in _cols(child):
-            cv, pv = VIEW_OF.get(child, child), VIEW_OF.get(parent, parent)
-            yield (f"SELECT '{child}' AS table_name, '{col}' AS column_name, "
-                   f"'{parent}' AS parent_table, CAST({col} AS VARCHAR) AS value, "
-                   f"COUNT(*) AS n_rows FROM {cv} c_ WHERE {col} IS NOT NULL AND NOT EXISTS "
-                   f"(SELECT 1 FROM {pv} p_ WHERE p_.id = c_.{col}) GROUP BY {col}")
-
-
-FK_SQL = _union_sql(_fk_parts())
+FK_SQL = _union_sql(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{parent}' AS parent_table, "
+    f"CAST(x.{c} AS VARCHAR) AS value, COUNT(*) AS n_rows FROM {VIEW_OF.get(t, t)} x "
+    f"LEFT JOIN (SELECT DISTINCT id AS pid FROM {VIEW_OF.get(parent, parent)}) p ON p.pid = x.{c} "
+    f"WHERE x.{c} IS NOT NULL AND p.pid IS NULL GROUP BY x.{c}" for t, c, parent in REFERENCES)
 
 
 @register("dq_foreign_key", views=ALL_VIEWS, oracle=FK_SQL)
@@ -226,9 +247,10 @@ INQ_RULES = [("first_name", _len_sql("first_name", 2, 50)), ("last_name", _len_s
              ("message", _len_sql("message", 10, 2000))]
 REG_RULES = [("email", EMAIL_OK), ("first_name", _len_sql("first_name", 2, 50)),
              ("last_name", _len_sql("last_name", 2, 50)),
-             ("role", f"role IS NULL OR role IN {_in_list(SC.REGISTRATION_ROLES)}")]
-RET_RULES = [("tax_year", f"REGEXP_MATCHES(tax_year, {_sql_str(Q.TAX_YEAR_PATTERN)})"),
-             ("situation_type", f"situation_type IN {_in_list(SC.SITUATION_TYPES)}"),
+             ("phone", f"phone IS NULL OR REGEXP_MATCHES(phone, {_sql_str(UK_MOBILE)})"),
+             ("role", "role IS NULL OR role IN ('customer', 'accountant')")]
+RET_RULES = [("tax_year", f"REGEXP_MATCHES(tax_year, {_sql_str(TAX_YEAR)})"),
+             ("situation_type", f"situation_type IN ({LISTED[4][2]})"),
              ("submission_deadline", "submission_deadline IS NULL OR REGEXP_MATCHES("
               f"CAST(submission_deadline AS VARCHAR), {_sql_str(Q.ISO_DATE_PATTERN)})")]
 

@@ -19,15 +19,15 @@ from .schemas import RAW
 # a driver table.
 STANDIN_SQL: dict[str, str] = {
     "tax_returns": """
-SELECT o.o_orderkey AS id, o.o_custkey AS customer_id, l.suppkey AS accountant_id,
-  CONCAT(CAST(YEAR(o.o_orderdate) AS STRING), '-', LPAD(CAST((YEAR(o.o_orderdate)+1) % 100 AS STRING), 2, '0')) AS tax_year,
+SELECT o.o_orderkey AS id, CASE WHEN o.o_orderkey % 250 = 9 THEN -o.o_orderkey ELSE o.o_custkey END AS customer_id, l.suppkey AS accountant_id,
+  CONCAT(CAST(YEAR(o.o_orderdate) AS STRING), CASE WHEN o.o_orderkey % 300 = 5 THEN '/' ELSE '-' END, LPAD(CAST((YEAR(o.o_orderdate)+1) % 100 AS STRING), 2, '0')) AS tax_year,
   CASE WHEN o.o_orderstatus='F' THEN 'filed'
        WHEN o.o_orderstatus='P' THEN CASE WHEN o.o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'in_progress'
                                           WHEN o.o_orderpriority='3-MEDIUM' THEN 'review' ELSE 'completed' END
        WHEN o.o_orderpriority='5-LOW' THEN 'cancelled' ELSE 'pending' END AS status,
   CASE o.o_orderkey % 7 WHEN 0 THEN 'self-employed' WHEN 1 THEN 'freelancer' WHEN 2 THEN 'landlord' WHEN 3 THEN 'investor'
        WHEN 4 THEN 'high-earner' WHEN 5 THEN 'first-time' ELSE 'other' END AS situation_type,
-  CAST(o.o_totalprice AS DECIMAL(12,2)) AS total_income,
+  CAST(CASE WHEN o.o_orderkey % 400 = 3 THEN -o.o_totalprice ELSE o.o_totalprice END AS DECIMAL(12,2)) AS total_income,
   CAST(CASE WHEN o.o_orderstatus='F' THEN l.tax_amt END AS DECIMAL(12,2)) AS total_tax_due,
   MAKE_DATE(CAST(YEAR(o.o_orderdate)+1 AS INT), 1, 31) AS submission_deadline,
   CASE WHEN o.o_orderstatus='F' THEN o.o_orderdate + (CAST(o.o_orderkey % 600 AS INT) * INTERVAL '1' DAY) END AS filed_date,
@@ -44,12 +44,16 @@ SELECT s_suppkey AS id, CONCAT('s', CAST(s_suppkey AS STRING)) AS user_id, CAST(
   CAST((s_suppkey % 11) * 0.5 AS DECIMAL(3,2)) AS rating, s_suppkey % 7 <> 0 AS is_active,
   CAST(50 + s_suppkey % 60 AS DECIMAL(10,2)) AS hourly_rate FROM {supplier}""",
     "users": """
-SELECT CONCAT('c', CAST(c_custkey AS STRING)) AS id, CONCAT(LOWER(c_name),'@example.com') AS email, SUBSTRING(c_name,1,8) AS first_name,
-  CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE SUBSTRING(c_name,10,9) END AS last_name, 'customer' AS role,
-  c_custkey % 3 <> 0 AS is_verified, DATE '2001-08-01' - CAST(c_custkey * 7 % 2400 AS INT) AS created_on FROM {customer}
+SELECT CONCAT('c', CAST(c_custkey AS STRING)) AS id,
+  CASE WHEN c_custkey % 89 = 2 THEN LOWER(c_name) ELSE CONCAT(LOWER(c_name),'@example.com') END AS email, SUBSTRING(c_name,1,8) AS first_name,
+  CASE WHEN c_custkey % 13 = 0 THEN NULL WHEN c_custkey % 71 = 1 THEN 'X' ELSE SUBSTRING(c_name,10,9) END AS last_name, 'customer' AS role,
+  c_custkey % 3 <> 0 AS is_verified, DATE '2001-08-01' - CAST(c_custkey * 7 % 2400 AS INT) AS created_on,
+  CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN CONCAT('07', LPAD(CAST(c_custkey AS STRING), 9, '0'))
+    WHEN 2 THEN CONCAT('+447', LPAD(CAST(c_custkey AS STRING), 9, '0')) ELSE CONCAT('020 7946 ', CAST(c_custkey AS STRING)) END AS phone FROM {customer}
 UNION ALL
 SELECT CONCAT('s', CAST(s_suppkey AS STRING)), CONCAT(LOWER(s_name),'@example.com'), SUBSTRING(s_name,1,8), SUBSTRING(s_name,10,9),
-  'accountant', s_suppkey % 4 <> 0, DATE '2001-08-01' - CAST(s_suppkey * 11 % 2400 AS INT) FROM {supplier}""",
+  CASE WHEN s_suppkey % 25 = 3 THEN 'admin' ELSE 'accountant' END, s_suppkey % 4 <> 0,
+  DATE '2001-08-01' - CAST(s_suppkey * 11 % 2400 AS INT), NULL FROM {supplier}""",
     "income_sources": """
 SELECT l_orderkey AS tax_return_id,
   CASE l_returnflag WHEN 'A' THEN 'employment' WHEN 'N' THEN 'rental' ELSE 'dividends' END AS source_type,
@@ -60,20 +64,28 @@ SELECT l_orderkey AS tax_return_id,
 SELECT l_orderkey AS tax_return_id, CASE l_returnflag WHEN 'A' THEN 'travel' WHEN 'N' THEN 'office_costs' ELSE 'professional_fees' END AS category,
   CAST(l_quantity AS DECIMAL(10,2)) AS amount, CAST(l_shipdate AS DATE) AS expense_date, l_linestatus='F' AS is_approved FROM {lineitem}""",
     "documents_meta": """
-SELECT doc_id AS id, doc_id % 1500 AS tax_return_id, CONCAT('c', CAST(doc_id % 150 AS STRING)) AS uploaded_by,
-  source AS document_type, lang AS mime_type, n_chars AS file_size, doc_id % 2 = 0 AS is_processed FROM {documents}""",
+SELECT x.doc_id AS id, x.tax_return_id,
+  CASE WHEN o.o_custkey IS NOT NULL AND x.doc_id % 3 = 0 THEN CONCAT('c', CAST(o.o_custkey AS STRING))
+       ELSE CONCAT('c', CAST(x.doc_id % (SELECT COUNT(*) + 5 FROM {customer}) AS STRING)) END AS uploaded_by,
+  x.source AS document_type,
+  CASE x.doc_id % 6 WHEN 0 THEN x.lang WHEN 1 THEN 'pdf' WHEN 2 THEN 'JPG' WHEN 3 THEN 'docx' ELSE 'png' END AS mime_type,
+  CASE WHEN x.doc_id % 50 = 9 THEN x.n_chars + 20000000 ELSE x.n_chars END AS file_size, x.doc_id % 2 = 0 AS is_processed
+FROM (SELECT d.*, CASE WHEN d.doc_id % 20 < 7 THEN d.doc_id - d.doc_id % 20 ELSE d.doc_id * 7 END
+             % (SELECT MAX(o_orderkey) + 40 FROM {orders}) AS tax_return_id FROM {documents} d) x
+LEFT JOIN {orders} o ON o.o_orderkey = x.tax_return_id""",
     "messages": """
-SELECT conv_id*100+turn AS id, conv_id AS tax_return_id,
-  CASE WHEN role='user' THEN CONCAT('c', CAST(conv_id AS STRING)) ELSE CONCAT('s', CAST(conv_id % 10 AS STRING)) END AS sender_id,
-  CASE WHEN role='user' THEN CONCAT('s', CAST(conv_id % 10 AS STRING)) ELSE CONCAT('c', CAST(conv_id AS STRING)) END AS recipient_id,
-  text AS message, turn AS seq FROM {conversations}""",
+SELECT m.conv_id*100+m.turn AS id, m.conv_id AS tax_return_id,
+  CASE WHEN m.role='user' THEN m.payer ELSE m.expert END AS sender_id,
+  CASE WHEN m.role='user' THEN m.expert ELSE m.payer END AS recipient_id, m.text AS message, m.turn AS seq
+FROM (SELECT v.*, CONCAT('c', CAST(v.conv_id % (SELECT COUNT(*) FROM {customer}) + 1 AS STRING)) AS payer,
+             CONCAT('s', CAST(v.conv_id % (SELECT COUNT(*) FROM {supplier}) AS STRING)) AS expert FROM {conversations} v) m""",
     "reviews": """
-SELECT o_orderkey AS id, o_custkey AS customer_id, o_orderkey AS tax_return_id, CAST(o_orderkey % 5 + 1 AS INT) AS rating,
+SELECT o_orderkey AS id, o_custkey AS customer_id, o_orderkey AS tax_return_id, CAST(CASE WHEN o_orderkey % 500 = 7 THEN 6 ELSE o_orderkey % 5 + 1 END AS INT) AS rating,
   o_orderkey % 3 <> 0 AS is_approved FROM {orders} WHERE o_orderstatus='F'""",
     "contact_inquiries": """
-SELECT event_id AS id, event_type AS inquiry_type, CONCAT('Question about ', event_type) AS subject,
+SELECT event_id AS id, CASE WHEN event_type = 'click' THEN 'general' ELSE event_type END AS inquiry_type, CASE WHEN event_id % 97 = 1 THEN 'Hi' ELSE CONCAT('Question about ', event_type) END AS subject,
   CASE event_id % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'resolved' ELSE 'closed' END AS status,
-  CASE WHEN event_id % 9 = 0 THEN NULL ELSE CONCAT('s', CAST(event_id % 10 AS STRING)) END AS assigned_to, ts AS created_at,
+  CASE WHEN event_id % 9 = 0 THEN NULL ELSE CONCAT('s', CAST(event_id % (SELECT COUNT(*) + 1 FROM {supplier}) AS STRING)) END AS assigned_to, ts AS created_at,
   CASE WHEN event_id % 4 <> 0 THEN ts + (CAST(event_id % 72 AS INT) * INTERVAL '1' HOUR) END AS responded_at FROM {events}""",
     "request_log": """
 SELECT event_id AS id, user_id AS client, ts, CASE event_type WHEN 'error' THEN 401 ELSE 200 END AS status FROM {events}""",
@@ -87,10 +99,10 @@ DEPS: dict[str, list[str]] = {
     "users": ["customer", "supplier"],
     "income_sources": ["lineitem"],
     "expenses": ["lineitem"],
-    "documents_meta": ["documents"],
-    "messages": ["conversations"],
+    "documents_meta": ["documents", "orders", "customer"],
+    "messages": ["conversations", "customer", "supplier"],
     "reviews": ["orders"],
-    "contact_inquiries": ["events"],
+    "contact_inquiries": ["events", "supplier"],
     "request_log": ["events"],
 }
 
@@ -102,7 +114,7 @@ STANDIN_COLUMNS: dict[str, list[str]] = {
     "customers": ["id", "user_id", "country", "employment_status", "is_first_time_filer"],
     "accountants": ["id", "user_id", "experience_years", "rating", "is_active", "hourly_rate"],
     "users": ["id", "email", "first_name", "last_name", "role", "is_verified", "created_on",
-              "created_at"],
+              "phone", "created_at"],
     "income_sources": ["tax_return_id", "source_type", "gross_income", "tax_deducted",
                        "created_at"],
     "expenses": ["tax_return_id", "category", "amount", "expense_date", "is_approved"],
