@@ -145,10 +145,6 @@ def select_cols(df: DataFrame, cols) -> DataFrame:
     return df.select(*present(df, cols))
 
 
-def drop_secrets(df: DataFrame) -> DataFrame:
-    return df.drop(*SECRET_USER_COLUMNS)
-
-
 def settings(df: DataFrame) -> DataFrame:
     """Settings with their public flag, ordered by key."""
     return (df.select("setting_key", "setting_value", "description", "is_public")

@@ -71,7 +71,7 @@ def search_users(d: Domain):
 @register("lookup_return", views=("tax_returns", "reviews"), oracle="""
 SELECT * FROM tax_returns WHERE id IN (SELECT tax_return_id FROM reviews WHERE rating = 5)""")
 def lookup_return(d: Domain):
-    """Returns looked up by a derived key set (semi join, size-checked broadcast)."""
+    """Returns looked up by a derived key set (semi join)."""
     keys = d.reviews.filter(F.col("rating") == 5).select("tax_return_id")
     return FL.lookup(d.tax_returns, "id", keys)
 

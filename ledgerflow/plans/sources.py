@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from ..sources import schemas as SC
+from ..sources import sinks, tables
 from ..sources.uploads import upload_manifest as _manifest
 from ..sources.standins import Domain
 from .registry import register
@@ -18,6 +22,41 @@ def scan_table(d: Domain):
     return d.raw("orders")
 
 
+def _scratch(d: Domain) -> str:
+    """A new folder beside the session's checkpoints, which all executors share."""
+    return f"{ensure_checkpoint_dir(d.spark)}/tables-{uuid.uuid4().hex}"
+
+
+@register("write_table", views=("tax_returns",), oracle="""
+SELECT id, customer_id AS "customerId", accountant_id AS "accountantId", tax_year AS "taxYear",
+  status, situation_type AS "situationType", total_income AS "totalIncome",
+  total_tax_due AS "totalTaxDue", submission_deadline AS "submissionDeadline",
+  filed_date AS "filedDate", price, payment_status AS "paymentStatus", created_at AS "createdAt"
+FROM tax_returns""")
+def write_table(d: Domain):
+    """Returns written in client form, partitioned by tax year, and read back."""
+    path = _scratch(d)
+    sinks.write(d.tax_returns, path, partition_cols=["tax_year"], client_form=True)
+    back = d.spark.read.parquet(path)
+    return back.withColumn("taxYear", S("taxYear").cast("string"))
+
+
+@register("declared_scan", views=("tax_returns",), oracle="""
+SELECT CAST(id AS VARCHAR) AS id, CAST(customer_id AS VARCHAR) AS customer_id, CAST(accountant_id AS VARCHAR) AS accountant_id,
+  tax_year, status, total_income, CAST(NULL AS VARCHAR) AS hmrc_reference, price, created_at
+FROM tax_returns WHERE status = 'filed'""")
+def declared_scan(d: Domain):
+    """A practice table read with its declared schema: columns it lacks are NULL,
+    the filter and the column list reach the scan."""
+    base = _scratch(d)
+    have = {f.name: S(f.name).cast(f.dataType).alias(f.name) for f in SC.TABLES["tax_returns"].fields
+            if f.name in d.tax_returns.columns}
+    sinks.write(d.tax_returns.select(*have.values()), f"{base}/tax_returns")
+    got = tables.load(d.spark, base, "tax_returns").filter(S("status") == "filed")
+    return got.select("id", "customer_id", "accountant_id", "tax_year", "status", "total_income",
+                      "hmrc_reference", "price", "created_at")
+
+
 def _in(vals):
     return "(" + ", ".join(f"'{v}'" for v in vals) + ")"
 

@@ -220,9 +220,6 @@ FOREIGN_KEYS: list[tuple[str, str, str, bool]] = [
     ("audit_logs", "user_id", "users", False),
 ]
 
-# Tables whose rows get updated_at set by the BEFORE UPDATE trigger.
-TOUCHED_ON_UPDATE = ["users", "accountants", "customers", "tax_returns", "system_settings"]
-
 # Declared defaults applied by the insert jobs.
 DEFAULTS: dict[str, dict[str, str]] = {
     "users": {"role": "customer", "is_verified": "false"},

@@ -36,9 +36,9 @@ def seed(spark: SparkSession) -> dict[str, DataFrame]:
     users = [
         ("u-admin", "admin@example.com", "", "Admin", "User", "+44 20 1234 5678", "admin", True,
          None, None, None, None, now, now),
-        ("u-acc", "accountant@example.com", "", "Sarah", "Johnson", "+44 7700 900123",
+        ("u-acc", "accountant@example.com", "", "Priya", "Malik", "+44 7700 900123",
          "accountant", True, None, None, None, None, now, now),
-        ("u-cust", "customer@example.com", "", "John", "Smith", "+44 7700 900456", "customer",
+        ("u-cust", "customer@example.com", "", "Owen", "Hughes", "+44 7700 900456", "customer",
          True, None, None, None, None, now, now),
     ]
     acc = [("a-1", "u-acc", "Chartered Accountant (ACA)", 10, ["self-employed", "landlord"],

@@ -132,7 +132,7 @@ def test_register_views(spark):
     s = SD.seed(spark)
     names = tables.register_views(spark, s, prefix="t_")
     row = spark.table(names["tax_return_summary"]).collect()[0]
-    assert row.customer_name == "John Smith" and row.accountant_name == "Sarah Johnson"
+    assert row.customer_name == "Owen Hughes" and row.accountant_name == "Priya Malik"
 
 
 def test_bucketed_tables_join_without_exchange(spark):

@@ -48,7 +48,9 @@ def summary(text: str) -> dict:
 
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    spark = build_session("local[8]", shuffle_partitions=16)
+    # as shuffles: what the planner broadcasts for its small files is left out
+    spark = build_session("local[8]", shuffle_partitions=16,
+                          extra={"spark.sql.autoBroadcastJoinThreshold": "-1"})
     rows = []
     for name in sorted(QUERIES):
         s = summary(plan_text(QUERIES[name](spark, sf_dir)))
