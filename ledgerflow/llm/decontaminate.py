@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.shared import chunks, ship, word_hashes
+from ledgerflow.llm.shared import chunks, flat_index, ship, word_hashes
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 1, 2, 4, 5), (0, 1, 3, 4, 5), (0, 2, 3, 4, 5), (0, 1, 3, 5, 6))
 WEIGHT = 5
 MIN_TOKENS = 13
 LOSS = 4  # of a substitution; equal tokens gain 1, so four fifths are level
 BLOCK_CHARS = 16_000_000
-_TABLE_BITS = 24
+_TABLE_BITS = (12, 24)  # of the bit table of a mask: least and most
 
 _WORD: list[np.ndarray] = []
 
@@ -84,9 +84,11 @@ class Index:
             h, at = seeds(tok, owner, mask, salt + 1)
             order = np.argsort(h, kind="stable")
             h, at = h[order], at[order]
-            table = np.zeros(1 << _TABLE_BITS, dtype=bool)
-            table[h >> np.uint64(64 - _TABLE_BITS)] = True
-            self.masks.append((mask, salt + 1, h, at, owner[at], table))
+            bits = min(max((32 * len(h)).bit_length(), _TABLE_BITS[0]), _TABLE_BITS[1])
+            shift = np.uint64(64 - bits)
+            table = np.zeros(1 << bits, dtype=bool)
+            table[h >> shift] = True
+            self.masks.append((mask, salt + 1, h, at, owner[at], table, shift))
 
     def matches(self, texts: list) -> list[list[tuple]]:
         """Per text: (item, first token, end token, equal tokens) of every verified overlap."""
@@ -95,16 +97,16 @@ class Index:
         start = end - counts
         owner = np.repeat(np.arange(len(texts)), counts)
         cand = []
-        for mask, salt, h, at, item, table in self.masks:
+        for mask, salt, h, at, item, table, shift in self.masks:
             g, place = seeds(tok, owner, mask, salt)
-            maybe = table[g >> np.uint64(64 - _TABLE_BITS)]
+            maybe = table[g >> shift]
             g, place = g[maybe], place[maybe]
             lo, hi = np.searchsorted(h, g, "left"), np.searchsorted(h, g, "right")
             lens = hi - lo
             hit = lens > 0
             if hit.any():
                 k = np.repeat(place[hit], lens[hit])
-                q = np.concatenate([np.arange(a, b) for a, b in zip(lo[hit], hi[hit])])
+                q = flat_index(lo[hit], lens[hit])
                 d = owner[k]
                 diag = (k - start[d]) - (at[q] - self.start[item[q]])
                 cand.append(np.stack([d, item[q], diag], axis=1))
