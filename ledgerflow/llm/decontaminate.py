@@ -142,15 +142,20 @@ _TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("en
 _INDEX: dict = {}
 
 
+def _worker_index(key: str, sent) -> Index:
+    """This worker's index of a block (kept between its tasks)."""
+    if key not in _INDEX:
+        _INDEX.clear()
+        _INDEX[key] = Index(*sent.value)
+    return _INDEX[key]
+
+
 def _column(text: F.Column, sent, key: str) -> F.Column:
     @F.arrow_udf(MATCH)
     def found(texts: pa.Array) -> pa.Array:
-        if key not in _INDEX:
-            _INDEX.clear()
-            _INDEX[key] = Index(*sent.value)
-        t, out = texts.to_pylist(), []
+        index, t, out = _worker_index(key, sent), texts.to_pylist(), []
         for lo, hi in chunks(t):
-            out += _INDEX[key].matches(t[lo:hi])
+            out += index.matches(t[lo:hi])
         return pa.array([[dict(zip(("item_id", "start", "end", "equal"), m)) for m in x] for x in out], _TYPE)
 
     return found(text)
