@@ -66,7 +66,8 @@ def test_stream_equals_batch(spark):
 def test_activity_stream_union(spark):
     d = _stream_dir()
     raw = spark.readStream.schema(RAW["events"]).parquet(f"{d}/events")
-    ci = spark.sql(STANDIN_SQL["contact_inquiries"], events=raw)
+    ci = spark.sql(STANDIN_SQL["contact_inquiries"], events=raw,
+                   supplier=spark.read.schema(RAW["supplier"]).parquet(f"{SF}/supplier.parquet"))
     us = spark.createDataFrame([("u", "A", "B", dt.datetime(2024, 1, 1))],
                                "id string, first_name string, last_name string, created_at timestamp_ntz")
     tr = spark.createDataFrame([("r", "2023-24", dt.datetime(2024, 1, 1))],
