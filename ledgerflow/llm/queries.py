@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import (decontaminate, line_crf, ngram_lm, pii, sharding, simhash, token_counts,
+from ledgerflow.llm import (decontaminate, line_crf, ngram_lm, periodic, pii, sharding, simhash, token_counts,
                             topk, transducer, url_filter)
 from ledgerflow.llm.shared import table
 
@@ -117,9 +120,41 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(said(of(*base)).cast("binary"), 256).alias("base_sha256"), said(F.col("s")).alias("spans"))
 
 
+def repeated_tail(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Places of the words of a document of n words, a tail repeated in one of ten (by crc32 of the id)."""
+    if doc_id is None:
+        return None
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    i = np.arange(n)
+    return np.where(i >= a, a + (i - a) % p, i)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, the longest one, and digests of the runs and of what is left."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = (docs.select("doc_id", periodic.report_column(docs, "text", "doc_id", repeated_tail).alias("r"))
+             .select("doc_id", "r.runs", "r.collapsed"))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","),
+        r["period"].cast("string"), F.lit("\n"))), "")
+    return (found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_token_counts, op3_quality, op4_bpe, op5_topk, op6_urls, op7_simhash,
-    op8_sharding, op9_lm_scores, op10_pii)}
+    op8_sharding, op9_lm_scores, op10_pii, op11_periodic_runs)}
 
 ORACLES = {
     "op5_topk": """
@@ -176,4 +211,43 @@ ORACLES = {
         SELECT t.doc_id, CAST(len(t.w) AS BIGINT) AS n_words, round(coalesce(l.ls, 0.0), 4) AS log_score,
                round(coalesce(l.ls, 0.0) / greatest(len(t.w), 1), 6) AS mean_log_score
         FROM t LEFT JOIN l ON l.rid = t.rid""",
+    "op11_periodic_runs": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS rid, doc_id,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        crc AS (  -- crc32 of the decimal id, a bit at a time: 256 + byte mixes a byte in, 0 shifts
+            SELECT *, len(w) AS n, xor(CAST(4294967295 AS BIGINT), list_reduce(
+                       list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(
+                           string_split(CAST(doc_id AS VARCHAR), ''),
+                           lambda c: [CAST(256 + ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0]))),
+                       lambda s, x: CASE WHEN x >= 256 THEN xor(s, x - 256)
+                                         WHEN s % 2 = 1 THEN xor(s >> 1, CAST(3988292384 AS BIGINT))
+                                         ELSE s >> 1 END)) AS h
+            FROM d),
+        tail AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, h // 10 AS g FROM crc),
+        cut AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM tail),
+        v AS (
+            SELECT rid, n, i, w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS word
+            FROM (SELECT *, unnest(range(0, n)) AS i FROM cut)),
+        hit AS (
+            SELECT b.rid, b.i - a.i AS q, b.i AS i
+            FROM v AS a JOIN v AS b ON a.rid = b.rid AND a.word = b.word AND b.i > a.i AND b.i - a.i <= a.n // 4),
+        lane AS (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS isle FROM hit),
+        seg AS (
+            SELECT rid, q, min(i) - q AS s, count(*) + q AS l
+            FROM lane GROUP BY rid, q, isle HAVING count(*) + q >= greatest(6, 4 * q)),
+        run AS (SELECT rid, s, l, min(q) AS q FROM seg GROUP BY rid, s, l),
+        told AS (
+            SELECT rid, count(*) AS n_runs, arg_max(s, (l, -s, -q)) AS s, arg_max(l, (l, -s, -q)) AS l,
+                   arg_max(q, (l, -s, -q)) AS q, sha256(string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q)) AS rs
+            FROM run GROUP BY rid),
+        gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + l)) AS i FROM run),
+        left_over AS (
+            SELECT v.rid, sha256(string_agg(word, ' ' ORDER BY v.i)) AS cs
+            FROM v LEFT JOIN gone ON gone.rid = v.rid AND gone.i = v.i WHERE gone.i IS NULL GROUP BY v.rid)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period,
+               1000 * l // q AS exponent_milli, coalesce(rs, sha256('')) AS runs_sha256,
+               coalesce(cs, sha256('')) AS collapsed_sha256
+        FROM d LEFT JOIN told ON told.rid = d.rid LEFT JOIN left_over ON left_over.rid = d.rid""",
 }
