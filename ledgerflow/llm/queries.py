@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import (decontaminate, line_crf, ngram_lm, periodic, pii, sharding, simhash, token_counts,
+from ledgerflow.llm import (centroids, decontaminate, line_crf, ngram_lm, periodic, pii, sharding, simhash, token_counts,
                             topk, transducer, url_filter)
 from ledgerflow.llm.shared import table
 
@@ -152,11 +152,59 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, squared distance and inertia of every vector of 64 components."""
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    got, cents = centroids.cluster(vectors, "vec_id", centroids.integers(F.col("embedding"), 256, 64), 64, 40, 5, "2:")
+    return centroids.with_inertia(got, cents).select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_token_counts, op3_quality, op4_bpe, op5_topk, op6_urls, op7_simhash,
-    op8_sharding, op9_lm_scores, op10_pii, op11_periodic_runs)}
+    op8_sharding, op9_lm_scores, op10_pii, op11_periodic_runs, op12_centroids)}
+
+
+
+def _centroid_sql(rounds: int = 5, k: int = 40, dim: int = 64) -> str:
+    """Rounds of plain nearest-centroid search, one after another, without any filter."""
+    near = """
+        n{0} AS MATERIALIZED (
+            SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d
+            FROM (SELECT v.r, m.c, v.qq - 2 * list_inner_product(v.q, m.q) + list_inner_product(m.q, m.q) AS d
+                  FROM v, m{0} AS m)
+            GROUP BY r)"""
+    move = """
+        s{0} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (
+            SELECT n.c, unnest(range(1, {2} + 1)) AS i, unnest(v.q) AS x FROM n{0} AS n JOIN v ON v.r = n.r)
+            GROUP BY c, i),
+        m{1} AS MATERIALIZED (
+            SELECT m.c, coalesce(w.q, m.q) AS q FROM m{0} AS m LEFT JOIN (
+                SELECT c, list(floor(s / n) ORDER BY i) AS q FROM s{0} GROUP BY c) AS w ON w.c = m.c)"""
+    steps = [near.format(0)]
+    for j in range(rounds):
+        steps += [move.format(j, j + 1, dim), near.format(j + 1)]
+    return f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, q, list_inner_product(q, q) AS qq FROM (
+                SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+                FROM embeddings
+                WHERE len(embedding) = {dim}
+                  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)),
+        m0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1 AS c, q FROM v
+            WHERE vec_id IS NOT NULL ORDER BY c LIMIT {k}),
+        {','.join(steps)},
+        p AS (SELECT c, sum(d) AS s FROM n{rounds} GROUP BY c),
+        t AS (SELECT sum(d) AS s FROM n{rounds})
+        SELECT v.vec_id, CAST(n.c AS INTEGER) AS cluster, CAST(n.d AS BIGINT) AS distance,
+               CAST(p.s AS BIGINT) AS cluster_inertia, CAST(t.s AS BIGINT) AS inertia,
+               sha256(array_to_string(list_transform(m.q, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+        FROM v JOIN n{rounds} AS n ON n.r = v.r JOIN p ON p.c = n.c JOIN m{rounds} AS m ON m.c = n.c, t"""
+
 
 ORACLES = {
+    "op12_centroids": _centroid_sql(),
     "op5_topk": """
         WITH v AS (
             SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q
