@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 from functools import reduce
 from operator import add
 
@@ -107,6 +109,42 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCRATCH: set[str] = set()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder beside the checkpoints for this driver's own tables, removed when the driver ends."""
+    folder = f"{ensure_checkpoint_dir(spark)}/tables"
+    if folder not in _SCRATCH:
+        _SCRATCH.add(folder)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+        def remove():
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            try:
+                path.getFileSystem(conf).delete(path, True)
+            except Exception as e:  # the driver is ending: say so, nothing more can be done
+                print(f"could not remove {folder}: {e}")
+
+        atexit.register(remove)
+    return folder
+
+
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read from there.
+
+    Survives lost executors as a checkpoint does.  Later reads take only the
+    columns they need, and the plan goes on from the files' true sizes: a
+    checkpoint keeps the estimate of the plan it cuts, which every further
+    join multiplies, so loops over checkpoints of joins soon spend their time
+    on estimates thousands of digits long.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 # Bytes (as measured while the rows were written) under which a checkpointed
 # frame is broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
