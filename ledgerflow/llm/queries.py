@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import (centroids, decontaminate, line_crf, ngram_lm, periodic, pii, sharding, simhash, token_counts,
-                            topk, transducer, url_filter)
+from ledgerflow.llm import (centroids, decontaminate, line_crf, minhash, ngram_lm, periodic, pii, sharding,
+                            simhash, token_counts, topk, transducer, url_filter)
 from ledgerflow.llm.shared import table
 
 
@@ -160,9 +160,17 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and near-duplicate component of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return minhash.components(docs, "doc_id", "text").select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_token_counts, op3_quality, op4_bpe, op5_topk, op6_urls, op7_simhash,
-    op8_sharding, op9_lm_scores, op10_pii, op11_periodic_runs, op12_centroids)}
+    op8_sharding, op9_lm_scores, op10_pii, op11_periodic_runs, op12_centroids, op13_minhash)}
 
 
 
@@ -298,4 +306,30 @@ ORACLES = {
                1000 * l // q AS exponent_milli, coalesce(rs, sha256('')) AS runs_sha256,
                coalesce(cs, sha256('')) AS collapsed_sha256
         FROM d LEFT JOIN told ON told.rid = d.rid LEFT JOIN left_over ON left_over.rid = d.rid""",
+    "op13_minhash": r"""
+        WITH RECURSIVE d AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        s AS MATERIALIZED (
+            SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN []
+                WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
+            FROM d),
+        n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+        l AS MATERIALIZED (
+            SELECT c.a, c.b FROM (SELECT x.r AS a, y.r AS b, count(*) AS k
+                                  FROM s AS x JOIN s AS y ON x.g = y.g AND x.r < y.r GROUP BY ALL) AS c
+            JOIN n AS p ON p.r = c.a JOIN n AS q ON q.r = c.b
+            WHERE 100 * c.k >= 85 * (p.n + q.n - c.k)),
+        e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        reach AS (
+            SELECT r, r AS t FROM d
+            UNION
+            SELECT reach.r, e.b FROM reach JOIN e ON e.a = reach.t),
+        c AS (SELECT reach.r, min(o.doc_id) AS component_id FROM reach JOIN d AS o ON o.r = reach.t GROUP BY reach.r)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id,
+               d.doc_id IS NOT DISTINCT FROM c.component_id AS kept
+        FROM d JOIN c ON c.r = d.r LEFT JOIN n ON n.r = d.r""",
 }

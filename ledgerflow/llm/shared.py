@@ -13,11 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import ledgerflow
-from ledgerflow.session import ensure_checkpoint_dir
+from ledgerflow.session import cut_for_join, ensure_checkpoint_dir
 
 # Texts are worked through in pieces of about this many characters, so the
 # memory of a Python worker follows the piece (or one very long text), not the
@@ -45,6 +45,33 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+HOT_ROWS = 4_096
+
+
+def hot_join(big: DataFrame, small: DataFrame, key: str, spread: Column, counted: DataFrame | None = None,
+             hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``big`` joined with ``small`` on ``key`` (unique in ``small``), hot keys dealt over several tasks.
+
+    The rows of a key that has more than ``hot_rows`` are numbered by ``spread``
+    (a whole number that a retried task finds again) into that many parts, and
+    the key's row of ``small`` is repeated for each.  There is at most one hot
+    key per ``hot_rows`` rows; they are broadcast if they measure small.
+    ``counted`` may name a narrower frame with the same keys to count.
+    """
+    hot = ((counted if counted is not None else big).groupBy(key).agg(F.count(F.lit(1)).alias("hot_n"))
+           .filter(F.col("hot_n") > hot_rows)
+           .select(key, F.ceil(F.col("hot_n") / hot_rows).cast("int").alias("hot_parts")))
+    hot = cut_for_join(hot)
+    if hot.isEmpty():
+        return big.join(small, key)
+    parts = F.coalesce("hot_parts", F.lit(1))
+    dealt = (big.withColumn("hot_spread", spread).join(hot, key, "left")
+             .withColumn("hot_part", F.pmod("hot_spread", parts).cast("int")).drop("hot_parts", "hot_spread"))
+    copied = (small.join(hot, key, "left")
+              .withColumn("hot_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot_parts"))
+    return dealt.join(copied, [key, "hot_part"]).drop("hot_part")
+
+
 _SHIPPED: set[str] = set()
 
 

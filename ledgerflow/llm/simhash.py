@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.shared import fresh, materialize, ship
+from ledgerflow.session import store
 
 WORDS = 3
 MAX_BITS = 2
@@ -255,16 +256,16 @@ def connected(links: DataFrame) -> DataFrame:
     of the longest chain.  Degrees are bounded by the bit budget, the jump is
     a plain join that AQE may split where many nodes share a root.
     """
-    both = materialize(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    state = materialize(both.groupBy("u").agg(F.min("v").alias("m"))
-                        .select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
+    both = store(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    state = store(both.groupBy("u").agg(F.min("v").alias("m"))
+                  .select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
     while True:
         near = (both.join(state.select(F.col("node").alias("v"), "root"), "v")
                 .groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near")))
         step = state.join(near, "node").select("node", F.col("root").alias("old"),
                                                F.least("root", "near").alias("mid"))
         jump = state.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        new = materialize(step.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("root")))
+        new = store(step.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("root")))
         moved = not new.filter("old <> root").isEmpty()
         state = new.select("node", "root")
         if not moved:
