@@ -25,8 +25,8 @@ All pairs of a bucket are never made.  Instead
 So no link between components is lost behind a large bucket, and groups of
 near copies cost a row a member and bucket.  A sketch is four bits of each
 minhash; a pair is set aside if fewer than ``AGREE`` of 32 agree (at 0.85 less
-than one pair in a million).  Links are always confirmed on the full sets,
-with integers.  Sets hold 64-bit hashes of shingles; equal hashes of different
+than one pair in a million).  Links are always confirmed on the full sets
+(built-in array functions, integers).  Sets hold 64-bit hashes of shingles; equal hashes of different
 shingles (2**-64 a pair) are not told apart.
 
 Nulls and corner cases: null, empty and blank texts have no shingles, link with
@@ -68,9 +68,9 @@ _FLIP, _TURN = (mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(c))
                 for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 _TURN |= np.uint64(1)
 
-FEATURES = "struct<n:bigint,node:binary,one:array<bigint>,two:array<bigint>,s1:bigint,s2:bigint,items:binary>"
+FEATURES = "struct<n:bigint,node:binary,one:array<bigint>,two:array<bigint>,s1:bigint,s2:bigint,items:array<bigint>>"
 _FEATURES = pa.struct([("n", pa.int64()), ("node", pa.binary()), ("one", pa.list_(pa.int64())),
-                       ("two", pa.list_(pa.int64())), ("s1", pa.int64()), ("s2", pa.int64()), ("items", pa.binary())])
+                       ("two", pa.list_(pa.int64())), ("s1", pa.int64()), ("s2", pa.int64()), ("items", pa.list_(pa.int64()))])
 
 
 # ---- sets and sketches ----------------------------------------------------
@@ -147,6 +147,17 @@ def agreeing(a1, a2, b1, b2) -> np.ndarray:
     return n
 
 
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(s) for s in sets]), pa.int32()), pa.array(flat))
+
+
+def _sets(lists: pa.ListArray) -> list[np.ndarray]:
+    flat = lists.flatten().to_numpy().view(np.uint64)
+    at = np.cumsum([0] + lists.value_lengths().to_pylist())
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
 def features_column(df: DataFrame, text_col: str, words: int = WORDS) -> Column:
     """Column: size, 128-bit name, half keys, sketch and hashes of each text's set."""
     ship(df.sparkSession)
@@ -167,7 +178,7 @@ def features_column(df: DataFrame, text_col: str, words: int = WORDS) -> Column:
             pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()),
             pa.array(pick(one), pa.list_(pa.int64())), pa.array(pick(two), pa.list_(pa.int64())),
             pa.array(pick(sk[:, 0]), pa.int64()), pa.array(pick(sk[:, 1]), pa.int64()),
-            pa.array([s.tobytes() for s in sets], pa.binary())], fields=list(_FEATURES))
+            _lists(sets)], fields=list(_FEATURES))
 
     @F.arrow_udf(FEATURES)
     def features(texts: pa.Array) -> pa.Array:
@@ -227,32 +238,19 @@ def star_pairs(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 # ---- full sets ------------------------------------------------------------
 
 
-def _common(a: bytes, b: bytes) -> int:
-    x = np.concatenate([np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)])
-    x.sort(kind="stable")  # two sorted runs: a merge
-    return int((x[1:] == x[:-1]).sum())
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (u, v) of ``pairs`` whose full sets reach the similarity."""
     pairs = store(pairs.select("u", "v").distinct())
     need = cut_for_join(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct())
     have = sets.join(need, "row", "left_semi").select("row", "items")
 
-    @F.arrow_udf("boolean")
-    def near(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a, b):
-            x, y = x.as_py(), y.as_py()
-            small, large = sorted((len(x) // 8, len(y) // 8))
-            both = _common(x, y) if 100 * small >= percent * large else 0
-            out.append(100 * both >= percent * (small + large - both))
-        return pa.array(out, pa.bool_())
-
     left = hot_join(pairs, have.select(F.col("row").alias("u"), F.col("items").alias("x")), "u", F.xxhash64("v"))
     both = hot_join(left, have.select(F.col("row").alias("v"), F.col("items").alias("y")), "v", F.xxhash64("u"),
                     counted=pairs)
-    return store(both.filter(near("x", "y")).select("u", "v"))
+    small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
+    common = F.when(100 * small >= percent * large, F.size(F.array_intersect("x", "y"))).otherwise(0)
+    return store(both.withColumn("k", common).filter(100 * F.col("k") >= percent * (small + large - F.col("k")))
+                 .select("u", "v"))
 
 
 def _labelled(df: DataFrame, col: str, labels: DataFrame, out: str) -> DataFrame:
@@ -279,9 +277,9 @@ def _frequent(sets: DataFrame, size: int) -> np.ndarray:
     def count(batches):
         h, n = np.empty(0, np.uint64), np.empty(0, np.int64)
         for b in batches:
-            raw = b"".join(b.column("items").to_pylist())
-            for lo in range(0, len(raw), 8 << 20):
-                got, m = np.unique(np.frombuffer(raw[lo:lo + (8 << 20)], np.uint64), return_counts=True)
+            every = b.column("items").flatten().to_numpy().view(np.uint64)
+            for lo in range(0, len(every), 1 << 20):
+                got, m = np.unique(every[lo:lo + (1 << 20)], return_counts=True)
                 more = m > 1 if len(got) > HELD else slice(None)
                 h, at = np.unique(np.r_[h, got[more]], return_inverse=True)
                 n = np.bincount(at, weights=np.r_[n, m[more]]).astype(np.int64)
@@ -366,9 +364,7 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, block: int = B
     @F.arrow_udf("array<bigint>")
     def first(items: pa.Array) -> pa.Array:
         by_hash, rank = sent.value
-        got = [prefix(np.frombuffer(x.as_py(), np.uint64), by_hash, rank, percent) for x in items]
-        flat = np.concatenate(got).view(np.int64) if got else np.empty(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in got]), pa.int32()), pa.array(flat))
+        return _lists([prefix(s, by_hash, rank, percent) for s in _sets(items)])
 
     dealt = store(sets.select("row", first("items").alias("p")).join(nodes, "row")
                         .select(F.explode("p").alias("h"), "row", "comp", "n", "s1", "s2"))
