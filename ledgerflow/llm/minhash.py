@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.shared import CHUNK_CHARS, chunks, hot_join, mix64, ship, word_hashes
+from ledgerflow.llm.shared import CHUNK_CHARS, chunks, hot_join, mix64, ship, small_batches, word_hashes
 from ledgerflow.llm.simhash import connected
 from ledgerflow.session import cut_for_join, store
 
@@ -386,6 +386,16 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, block: int = B
 def components(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT,
                block: int = BLOCK) -> DataFrame:
     """(id, n, component): each row's set size and the least id of its component."""
+    with small_batches(df.sparkSession):
+        docs, named = _components(df, id_col, text_col, words, percent, block)
+    with_set = hot_join(docs.filter("n > 0").select("id", "n", "node", "row"), named, "node", F.col("row"))
+    return (with_set.select("id", "n", "component")
+            .unionByName(docs.filter("n = 0").select("id", "n", F.col("id").alias("component"))))
+
+
+def _components(df: DataFrame, id_col: str, text_col: str, words: int, percent: int,
+                block: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with their set's name, (node, component) of every set)."""
     docs = store(
         df.select(F.col(f"`{id_col}`").alias("id"), features_column(df, text_col, words).alias("f"))
         .select("id", "f.*").withColumn("row", F.monotonically_increasing_id()))
@@ -422,6 +432,4 @@ def components(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, pe
     least = tops.groupBy("comp").agg(F.min("least").alias("component"))
     named = store(hot_join(tops.select("node", "comp", "row"), least, "comp", F.col("row"))
                         .select("node", "component"))
-    with_set = hot_join(docs.filter("n > 0").select("id", "n", "node", "row"), named, "node", F.col("row"))
-    return (with_set.select("id", "n", "component")
-            .unionByName(docs.filter("n = 0").select("id", "n", F.col("id").alias("component"))))
+    return docs, named

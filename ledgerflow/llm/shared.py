@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import os
 import tempfile
@@ -45,6 +46,22 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Jobs run inside exchange Arrow batches of at most ``rows`` rows with Python.
+
+    A worker's memory follows its batch; the session's own setting comes back
+    at the end.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 HOT_ROWS = 4_096
 
 
