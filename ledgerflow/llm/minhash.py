@@ -13,12 +13,12 @@ are dealt by key and node range, so the rows of a hot key spread over tasks.
 All pairs of a bucket are never made.  Instead
 
 1. every node of a bucket is compared with the bucket's first node (its
-   centre): by the minhash sketches in the same task, then on the full sets;
+   centre) by the minhash sketches, and once with a centre on the full sets;
 2. where that leaves a bucket in more than one component, its nodes are split
-   exactly by prefix filtering: in an order that puts shingles frequent among
-   these nodes last, two sets of the asked similarity share a shingle among
-   their first ``n - ceil(t * n) + 1``.  Nodes that share one, lie in different
-   components, fit in size and agree in sketch are compared on the full sets.
+   exactly by prefix filtering: with shingles ordered by falling rarity among
+   these nodes, two sets of the asked similarity share one among their first
+   ``n - ceil(t * n) + 1``.  Nodes that share one, lie in different components,
+   fit in size and place and agree in sketch are compared on the full sets.
    A shingle that more than ``BLOCK`` nodes of several components share is
    worked on in pairs of blocks, one task each.
 
@@ -58,8 +58,6 @@ HALF = 2
 HASHES = 2 * SIDE * HALF
 AGREE = 16
 BLOCK = 512
-FREQUENT = 65_536
-HELD = 262_144
 
 _BLANK = re.compile(r"[\x20\x09-\x0d]")
 _IS_WORD = np.ones(0x110000, dtype=bool)
@@ -152,12 +150,6 @@ def _lists(sets: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(s) for s in sets]), pa.int32()), pa.array(flat))
 
 
-def _sets(lists: pa.ListArray) -> list[np.ndarray]:
-    flat = lists.flatten().to_numpy().view(np.uint64)
-    at = np.cumsum([0] + lists.value_lengths().to_pylist())
-    return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
-
-
 def features_column(df: DataFrame, text_col: str, words: int = WORDS) -> Column:
     """Column: size, 128-bit name, half keys, sketch and hashes of each text's set."""
     ship(df.sparkSession)
@@ -268,52 +260,10 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 # ---- buckets of several components: prefix filtering ------------------------
 
 
-def _frequent(sets: DataFrame, size: int) -> np.ndarray:
-    """Hashes of about the ``size`` most frequent shingles, rarest first.
-
-    Every task counts all its shingles in a summary of bounded size.  The list
-    only steers the order that prefixes are taken in.
-    """
-    def count(batches):
-        h, n = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for b in batches:
-            every = b.column("items").flatten().to_numpy().view(np.uint64)
-            for lo in range(0, len(every), 1 << 20):
-                got, m = np.unique(every[lo:lo + (1 << 20)], return_counts=True)
-                more = m > 1 if len(got) > HELD else slice(None)
-                h, at = np.unique(np.r_[h, got[more]], return_inverse=True)
-                n = np.bincount(at, weights=np.r_[n, m[more]]).astype(np.int64)
-                if len(h) > HELD:
-                    top = np.argpartition(-n, HELD // 2)[:HELD // 2]
-                    h, n = h[top], n[top]
-        keep = np.argsort(-n, kind="stable")[:size]
-        keep = keep[n[keep] > 1]
-        yield pa.RecordBatch.from_pydict({"h": pa.array(h[keep].view(np.int64)), "n": pa.array(n[keep], pa.int64())})
-
-    got = (sets.select("items").mapInArrow(count, "h bigint, n bigint")
-           .groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(size).collect())
-    return np.array([r["h"] for r in got][::-1], dtype=np.int64).view(np.uint64)
-
-
-def prefix(items: np.ndarray, by_hash: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a sorted set in the common order: rare ones by hash, then the frequent ones."""
-    n = len(items)
-    size = n - -(-percent * n // 100) + 1
-    if not len(by_hash):
-        return items[:size]
-    at = np.minimum(np.searchsorted(by_hash, items), len(by_hash) - 1)
-    often = by_hash[at] == items
-    rare = items[~often]
-    if len(rare) >= size:
-        return rare[:size]
-    late = items[often][np.argsort(rank[at[often]])]
-    return np.concatenate([rare, late])[:size]
-
-
 def _met(percent: int):
-    """Rows sorted by group: pairs in different components that fit in size and agree in sketch."""
+    """Rows sorted by group: pairs in different components that fit in size and place and agree in sketch."""
     def pairs(t: pa.Table):
-        g, row, comp, n, s1, s2 = (t.column(c).to_numpy() for c in ("g", "row", "comp", "n", "s1", "s2"))
+        g, row, comp, n, left, s1, s2 = (t.column(c).to_numpy() for c in ("g", "row", "comp", "n", "left", "s1", "s2"))
         edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
         for lo, hi in zip(edge[:-1], edge[1:]):
             if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
@@ -322,7 +272,9 @@ def _met(percent: int):
             far = np.searchsorted(n[order] * percent, 100 * n[order], "right")  # sizes that may still link
             for a, i in enumerate(order):
                 j = order[a + 1:far[a]]
-                j = j[(comp[j] != comp[i])]
+                j = j[comp[j] != comp[i]]
+                # this shingle and the ones after it, if it is the first that they share
+                j = j[(100 + percent) * np.minimum(left[i], left[j]) >= percent * (n[i] + n[j])]
                 j = j[agreeing(s1[i:i + 1], s2[i:i + 1], s1[j], s2[j]) >= AGREE]
                 if len(j):
                     yield np.minimum(row[i], row[j]), np.maximum(row[i], row[j])
@@ -350,31 +302,32 @@ def _met(percent: int):
     return run
 
 
-def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK,
-                 frequent: int = FREQUENT) -> DataFrame:
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """(u, v) of nodes in different components that share a prefix shingle, fit in size and agree in sketch.
 
-    ``nodes`` has (row, comp, n, s1, s2), ``sets`` (row, items) of the same rows.
+    ``nodes`` has (row, comp, n, s1, s2), ``sets`` (row, items) of the same
+    rows.  Shingles are taken by falling rarity among these nodes; those of one
+    node only come first and can't be shared, so they are counted, not dealt.
     """
     spark = nodes.sparkSession
-    often = _frequent(sets, frequent)
-    order = np.argsort(often)
-    sent = spark.sparkContext.broadcast((often[order], order))  # at most ``frequent`` hashes
-
-    @F.arrow_udf("array<bigint>")
-    def first(items: pa.Array) -> pa.Array:
-        by_hash, rank = sent.value
-        return _lists([prefix(s, by_hash, rank, percent) for s in _sets(items)])
-
-    dealt = store(sets.select("row", first("items").alias("p")).join(nodes, "row")
-                        .select(F.explode("p").alias("h"), "row", "comp", "n", "s1", "s2"))
+    each = sets.select("row", F.explode("items").alias("h"))
+    shared = store(each.groupBy("h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"))
+    listed = (hot_join(each, shared, "h", F.col("row"))
+              .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("l")))  # at most a set
+    alone = F.col("n") - F.size("l")
+    room = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - alone
+    dealt = store(listed.join(nodes, "row").filter(room > 0)
+                  .select("row", "comp", "n", "s1", "s2", alone.alias("alone"),
+                          F.posexplode(F.slice("l", F.lit(1), room.cast("int"))).alias("at", "x"))
+                  .select("row", "comp", "n", "s1", "s2", F.col("x.h").alias("h"),
+                          (F.col("n") - F.col("alone") - F.col("at")).alias("left")))
     groups = (dealt.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
               .filter("c0 <> c1").select("h", F.ceil(F.col("k") / block).cast("int").alias("blocks")))
-    met = dealt.join(cut_for_join(groups), "h")
+    met = hot_join(dealt, groups, "h", F.col("row"))
     own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     met = (met.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
            .select(F.xxhash64("h", F.least("own", "with"), F.greatest("own", "with")).alias("g"),
-                   "row", "comp", "n", "s1", "s2"))
+                   "row", "comp", "n", "left", "s1", "s2"))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return (met.repartition(parts, "g").sortWithinPartitions("g")
             .mapInArrow(_met(percent), "u bigint, v bigint").distinct())
@@ -409,13 +362,10 @@ def _components(df: DataFrame, id_col: str, text_col: str, words: int, percent:
         links = more if links is None else links.unionByName(more)
         return links, connected(links)
 
-    # each node with one centre first; then what is still apart
+    # each node with one centre; buckets that this leaves in several components by prefixes
     once = stars.filter("ok").groupBy(F.col("b").alias("v")).agg(F.min("a").alias("u")).select("u", "v")
     links, labels = grown(None, confirmed(once.unionByName(cut.select(F.col("a").alias("u"), F.col("b").alias("v"))),
                                           sets, percent))
-    rest = _apart(stars.filter("ok"), labels).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    links, labels = grown(links, confirmed(rest, sets, percent))
-    # buckets of several components: their nodes by prefixes
     mixed = _apart(stars.select("a", "b"), labels).select("a")
     torn = _apart(cut, labels).select("a")
     torn = torn.unionByName(cut.join(torn.distinct(), "a", "left_semi").select(F.col("b").alias("a")))

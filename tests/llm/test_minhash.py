@@ -100,20 +100,15 @@ def test_a_large_group_of_copies_and_one_of_near_copies(spark):
     assert {c for d, _, c in got if d < 20_000} == {0} and (20_000, 198, 20_000) in got
 
 
-def test_similar_sets_share_a_prefix_shingle_and_agree_in_sketch():
+def test_similar_sets_agree_in_sketch():
     rng = np.random.default_rng(3)
     for _ in range(200):
         pool = np.unique(rng.integers(0, 2 ** 63, 300, dtype=np.uint64))
-        n = int(rng.integers(1, len(pool)))
-        a = pool[:n]
-        drop = int(n * 0.07)
+        a = pool[:int(rng.integers(1, len(pool)))]
+        drop = int(len(a) * 0.07)
         b = np.unique(np.r_[rng.permutation(a)[drop:], rng.integers(0, 2 ** 63, drop, dtype=np.uint64)])
-        by_hash = np.unique(rng.permutation(a)[:n // 2])
-        rank = rng.permutation(len(by_hash))
-        x, y = (M.prefix(s, by_hash, rank, 85) for s in (a, b))
         both = len(np.intersect1d(a, b))
         if 100 * both >= 85 * (len(a) + len(b) - both):
-            assert len(np.intersect1d(x, y))
             s = M.sketches(M.minhashes([a, b]))
             assert M.agreeing(s[:1, 0], s[:1, 1], s[1:, 0], s[1:, 1])[0] >= M.AGREE
 
