@@ -56,8 +56,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's token ids and of the text they decode to."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    ids = docs.select("doc_id", transducer.ids_column(docs, "text").alias("ids"))
-    both = ids.select("doc_id", "ids", transducer.text_column(ids, "ids").alias("decoded"))
+    both = transducer.round_trip(docs, "text", ["doc_id"]).select("doc_id", "bpe.ids", "bpe.decoded")
     return both.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
