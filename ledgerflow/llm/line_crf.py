@@ -151,6 +151,11 @@ class Field:
     def __init__(self, w: np.ndarray, t: np.ndarray):
         self.w, self.t = w, t
 
+    @property
+    def fitted(self) -> bool:
+        """Whether there were labels of both kinds to learn from."""
+        return bool(self.w.any() or self.t.any())
+
     @classmethod
     def fit(cls, own: list[np.ndarray], labels: np.ndarray) -> Field:
         """Gradient ascent on the labels' conditional likelihood, classes weighing alike."""

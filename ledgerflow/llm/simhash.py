@@ -23,8 +23,10 @@ Linked fingerprints are then grouped by repeated minimum exchange.
 
 Nulls and corner cases: a null or empty text has no words and fingerprint zero,
 which links like any other; repeated rows count as copies; rows with a null id
-take part, and a component of null ids only has a null component id.  Other
-columns are not read by ``fingerprints``; ``components`` keeps all columns.
+take part, and a component of null ids only has a null component id.  Texts of
+any length are taken whole, ties go to the smaller id, an empty table gives an
+empty table.  ``components`` reads two columns and returns three; ``keep_one``
+returns all columns of its table, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.shared import fresh, materialize, ship
-from ledgerflow.session import store
+from ledgerflow.llm.shared import fresh, hot_join, materialize, ship
+from ledgerflow.session import cut_for_join, store
 
 WORDS = 3
 MAX_BITS = 2
@@ -272,35 +274,58 @@ def connected(links: DataFrame) -> DataFrame:
             return state
 
 
+def _groups(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root, component): every fingerprint's group and the least id in it."""
+    least = store(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = connected(link_pairs(least.select("fp"), max_bits))
+    linked = store(least.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+                   .select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+    of_root = linked.groupBy("root").agg(F.min("least").alias("component"))
+    return store(linked.select("fp", "root").join(of_root, "root"))
+
+
 def components(df: DataFrame, id_col: str, text_col: str, words: int = WORDS,
                max_bits: int = MAX_BITS) -> DataFrame:
     """(id, fp, component): every row's fingerprint and its component's least id.
 
     ``fp`` is the signed 64-bit fingerprint.  One row per row of ``df``.
     """
-    fps = materialize(df.select(F.col(f"`{id_col}`").alias("id"),
-                                fingerprint_column(df, text_col, words).alias("fp")))
-    least = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected(link_pairs(least.select("fp"), max_bits))
-    # least id of each component, then back to its fingerprints
-    linked = least.join(roots, least["fp"] == roots["node"]).select("fp", "root", "least")
-    of_root = linked.groupBy("root").agg(F.min("least").alias("component"))
-    of_fp = linked.select("fp", "root").join(of_root, "root").select(F.col("fp").alias("f"), "component")
-    labels = materialize(least.join(of_fp, least["fp"] == of_fp["f"], "left")
-                         .select("fp", F.coalesce("component", "least").alias("component")))
-    return fps.join(labels, "fp").select("id", "fp", "component")
+    fps = store(df.select(F.col(f"`{id_col}`").alias("id"),
+                          fingerprint_column(df, text_col, words).alias("fp")))
+    labels = _groups(fps, max_bits).select("fp", "component")
+    return hot_join(fps, labels, "fp", F.monotonically_increasing_id()).select("id", "fp", "component")
 
 
 def keep_one(df: DataFrame, id_col: str, text_col: str, words: int = WORDS,
              max_bits: int = MAX_BITS) -> DataFrame:
     """``df`` with one row of each component: that of the least id.
 
-    Repeated rows of one id are copies of each other and one stays.  Rows with
-    a null id cannot be told apart by it and stay as they are.
+    Rows are told apart by id and text (two 64-bit hashes), so a row that only
+    shares its id with another stays unless its own group has a lesser one; of
+    rows of the least id and several texts that of the least hashes stays, of
+    rows equal in both the one whose columns come first as JSON.  Rows with a
+    null id link others but stay as they are.  The groups are worked out on ids
+    and hashes; whole rows meet only the list of those that go.
     """
-    row = fresh(df, "row_id")
-    found = components(df, id_col, text_col, words, max_bits)
-    ids = found.filter("id = component").select(F.col("id").alias(row)).distinct()
-    key = F.col(f"`{id_col}`")
-    kept = df.filter(key.isNotNull()).dropDuplicates([id_col]).join(ids, key == F.col(row), "left_semi")
-    return kept.unionByName(df.filter(key.isNull()))
+    keys = [fresh(df, "row_id"), fresh(df, "row_a"), fresh(df, "row_b")]
+    text = F.col(f"`{text_col}`")
+    keyed = (df.withColumn(keys[0], F.col(f"`{id_col}`")).withColumn(keys[1], F.xxhash64(text))
+             .withColumn(keys[2], F.xxhash64(F.lit(1), text)))
+    fps = store(keyed.select(*[F.col(k).alias(n) for k, n in zip(keys, ("id", "a", "b"))],
+                             fingerprint_column(df, text_col, words).alias("fp")))
+    labels = _groups(fps, max_bits).select("fp", "root")
+    each = store(fps.filter("id is not null").groupBy("id", "a", "b", "fp").agg(F.count(F.lit(1)).alias("n")))
+    each = store(hot_join(each, labels, "fp", F.monotonically_increasing_id()))
+    first = each.groupBy("root").agg(F.min(F.struct("id", "a", "b")).alias("first"))
+    each = hot_join(each, first, "root", F.monotonically_increasing_id())
+    stays = F.struct("id", "a", "b") == F.col("first")
+    named = store(each.select(*[F.col(n).alias(k) for k, n in zip(keys, ("id", "a", "b"))],
+                              stays.alias("stays"), (F.col("n") > 1).alias("again")))
+    out = keyed.join(cut_for_join(named.filter("not stays").select(*keys)), keys, "left_anti")
+    again = cut_for_join(named.filter("stays and again").select(*keys))
+    if not again.isEmpty():
+        whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        one = (out.join(again, keys, "left_semi").groupBy(*keys).agg(F.min_by(whole, F.to_json(whole)).alias(keys[0] + "w"))
+               .select(F.col(keys[0] + "w").alias("w")).select("w.*"))
+        return out.join(again, keys, "left_anti").drop(*keys).unionByName(one)
+    return out.drop(*keys)

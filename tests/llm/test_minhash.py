@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import minhash as M
-from tests.llm.cases import LONG, TEXTS, documents, sentence
+from cases import LONG, TEXTS, documents, sentence
 
 
 def shingles(text, words=3):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm import periodic as P
 from ledgerflow.llm import queries as Q
-from tests.llm.cases import LONG, documents
+from cases import LONG, documents
 
 
 def slow(w):

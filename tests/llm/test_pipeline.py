@@ -43,6 +43,17 @@ def test_run_equals_the_stages_by_hand(spark):
     assert all(r.decodes and r.n_tokens == len(r.ids) for r in got)
 
 
+def test_repeated_ids_and_missing_labels_lose_no_rows(spark, tmp_path):
+    rows = [(1, "one text of this id is here for good measure and stays"), (1, LONG[:3000]), (2, None), (None, "no id at all")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for quality in ([], [(1, 1, 0)], [(1, None, 0)]):
+        folder = tmp_path / f"labels-{len(quality)}-{bool(quality and quality[0][1])}"
+        spark.createDataFrame(quality, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        assert P.quality(spark, docs, str(folder)).count() == 4
+    assert sorted(map(tuple, P.near_duplicates(spark, docs, str(tmp_path)).collect()), key=str) == sorted(rows, key=str)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()

@@ -5,6 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from cases import documents
+from ledgerflow.llm import queries as Q
 from ledgerflow.llm import simhash as S
 
 
@@ -92,3 +93,26 @@ def test_keep_one_keeps_columns_and_one_row_a_group(spark):
     comp = {c for i, _, c in slow_components([(r.doc_id, r.text) for r in df.collect()]) if i is not None}
     assert kept == sorted(comp)
     assert out.filter(F.col("doc_id").isNull()).count() == 1
+
+
+def test_keep_one_keeps_other_texts_of_an_id(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"{x}{rng.randrange(900)}" for _ in range(80)) for x in "abc")
+    rows = [(1, a, "x"), (1, b, "x"), (2, c, "x"), (3, c, "y"), (2, c, "w"), (None, a, "n"), (4, a, "x")]
+    schema = "id bigint, t string, row_id string"
+    for _ in range(2):
+        df = spark.createDataFrame(rows, schema).repartition(7)
+        got = sorted(map(tuple, S.keep_one(df, "id", "t").collect()), key=str)
+        assert got == sorted([(1, a, "x"), (1, b, "x"), (2, c, "w"), (None, a, "n")], key=str)
+        rng.shuffle(rows)
+    assert S.keep_one(df.limit(0), "id", "t").collect() == []
+
+
+def test_query_columns_equal_brute_force(spark, tmp_path):
+    rng = random.Random(13)
+    base = [f"t{rng.randrange(300)}" for _ in range(300)]
+    rows = [(i, " ".join(base[:i] + [f"n{i}"] + base[i + 1:]) if i % 3 else " ".join(sorted(base[i:i + 40])))
+            for i in range(45)] + [(100, None), (101, ""), (102, "A b"), (103, "a B")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, Q.op7_simhash(spark, str(tmp_path)).select("doc_id", "fingerprint", "component_id").collect()))
+    assert got == sorted((i, f"{f:016x}", c) for i, f, c in slow_components(rows))
