@@ -22,15 +22,24 @@ from ledgerflow.session import ensure_checkpoint_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field scores as good (null and empty texts go)."""
+    """Documents that the line field scores as good (null and empty texts go).
+
+    Without labels of both kinds nothing can be told, and all rows stay.
+    """
     score = fresh(docs, "quality_score")
     field = quality_field(spark, docs, sf_dir)
+    if not field.fitted:
+        return docs
     return (docs.withColumn(score, line_crf.score_column(docs, "text", field))
             .filter(F.col(score) >= line_crf.THRESHOLD).drop(score))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: that of the smallest id."""
+    """One document of each SimHash group: that of the smallest id.
+
+    A row that shares its id with a row of another text is a document of its
+    own; rows with a null id stay.
+    """
     return simhash.keep_one(docs, "doc_id", "text")
 
 
@@ -52,10 +61,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it again."""
-    ids = docs.select("doc_id", "text", transducer.ids_column(docs, "text").alias("ids"))
-    both = ids.select("doc_id", "text", "ids", transducer.text_column(ids, "ids").alias("decoded"))
-    return both.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"),
-                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("decodes"))
+    both = transducer.round_trip(docs, "text", ["doc_id"], with_text=False)
+    return both.select("doc_id", "bpe.ids", F.size("bpe.ids").cast("bigint").alias("n_tokens"),
+                       F.col("bpe.same").alias("decodes"))
 
 
 STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_duplicates),
