@@ -13,7 +13,8 @@ are dealt by key and node range, so the rows of a hot key spread over tasks.
 All pairs of a bucket are never made.  Instead
 
 1. every node of a bucket is compared with the bucket's first node (its
-   centre) by the minhash sketches, and once with a centre on the full sets;
+   centre) by the minhash sketches, and on the full sets with up to ``WAVES``
+   centres that agree, as long as it is in another component than they are;
 2. where that leaves a bucket in more than one component, its nodes are split
    exactly by prefix filtering: with shingles ordered by falling rarity among
    these nodes, two sets of the asked similarity share one among their first
@@ -58,6 +59,7 @@ HALF = 2
 HASHES = 2 * SIDE * HALF
 AGREE = 16
 BLOCK = 512
+WAVES = 3
 
 _BLANK = re.compile(r"[\x20\x09-\x0d]")
 _IS_WORD = np.ones(0x110000, dtype=bool)
@@ -260,10 +262,13 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 # ---- buckets of several components: prefix filtering ------------------------
 
 
+_MET = ["g", "row", "comp", "n", "left", "p1", "p2", "s1", "s2"]
+
+
 def _met(percent: int):
     """Rows sorted by group: pairs in different components that fit in size and place and agree in sketch."""
     def pairs(t: pa.Table):
-        g, row, comp, n, left, s1, s2 = (t.column(c).to_numpy() for c in ("g", "row", "comp", "n", "left", "s1", "s2"))
+        g, row, comp, n, left, p1, p2, s1, s2 = (t.column(c).to_numpy() for c in _MET)
         edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
         for lo, hi in zip(edge[:-1], edge[1:]):
             if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
@@ -273,6 +278,8 @@ def _met(percent: int):
             for a, i in enumerate(order):
                 j = order[a + 1:far[a]]
                 j = j[comp[j] != comp[i]]
+                # a shingle just before this one is shared as well: they met there
+                j = j[(p1[j] != p1[i]) & (p1[j] != p2[i]) & (p2[j] != p1[i]) & (p2[j] != p2[i])]
                 # this shingle and the ones after it, if it is the first that they share
                 j = j[(100 + percent) * np.minimum(left[i], left[j]) >= percent * (n[i] + n[j])]
                 j = j[agreeing(s1[i:i + 1], s2[i:i + 1], s1[j], s2[j]) >= AGREE]
@@ -316,18 +323,22 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, block: int = B
               .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("l")))  # at most a set
     alone = F.col("n") - F.size("l")
     room = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1 - alone
+
+    def before(i: Column, back: int) -> Column:  # of the first ones, a number no other row has
+        return F.coalesce(F.get("l", i - back)["h"], 2 * F.col("row") + back - 1)
+
+    places = F.transform(F.slice("l", F.lit(1), room.cast("int")), lambda x, i: F.struct(
+        x["h"].alias("h"), i.alias("at"), before(i, 1).alias("p1"), before(i, 2).alias("p2")))
     dealt = store(listed.join(nodes, "row").filter(room > 0)
-                  .select("row", "comp", "n", "s1", "s2", alone.alias("alone"),
-                          F.posexplode(F.slice("l", F.lit(1), room.cast("int"))).alias("at", "x"))
-                  .select("row", "comp", "n", "s1", "s2", F.col("x.h").alias("h"),
-                          (F.col("n") - F.col("alone") - F.col("at")).alias("left")))
+                  .select("row", "comp", "n", "s1", "s2", alone.alias("alone"), F.explode(places).alias("x"))
+                  .select("row", "comp", "n", "s1", "s2", "x.h", "x.p1", "x.p2",
+                          (F.col("n") - F.col("alone") - F.col("x.at")).alias("left")))
     groups = (dealt.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
               .filter("c0 <> c1").select("h", F.ceil(F.col("k") / block).cast("int").alias("blocks")))
     met = hot_join(dealt, groups, "h", F.col("row"))
     own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
     met = (met.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-           .select(F.xxhash64("h", F.least("own", "with"), F.greatest("own", "with")).alias("g"),
-                   "row", "comp", "n", "left", "s1", "s2"))
+           .select(F.xxhash64("h", F.least("own", "with"), F.greatest("own", "with")).alias("g"), *_MET[1:]))
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return (met.repartition(parts, "g").sortWithinPartitions("g")
             .mapInArrow(_met(percent), "u bigint, v bigint").distinct())
@@ -362,10 +373,15 @@ def _components(df: DataFrame, id_col: str, text_col: str, words: int, percent:
         links = more if links is None else links.unionByName(more)
         return links, connected(links)
 
-    # each node with one centre; buckets that this leaves in several components by prefixes
-    once = stars.filter("ok").groupBy(F.col("b").alias("v")).agg(F.min("a").alias("u")).select("u", "v")
-    links, labels = grown(None, confirmed(once.unionByName(cut.select(F.col("a").alias("u"), F.col("b").alias("v"))),
-                                          sets, percent))
+    # a node with one centre a wave; buckets that this leaves in several components by prefixes
+    agree, tried = stars.filter("ok").select("a", "b"), cut
+    links = labels = None
+    for _ in range(WAVES):
+        left = agree if labels is None else _apart(agree, labels).join(tried, ["a", "b"], "left_anti")
+        wave = store(left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        tried = tried.unionByName(wave)
+        pairs = wave if labels is not None else wave.unionByName(cut)
+        links, labels = grown(links, confirmed(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), sets, percent))
     mixed = _apart(stars.select("a", "b"), labels).select("a")
     torn = _apart(cut, labels).select("a")
     torn = torn.unionByName(cut.join(torn.distinct(), "a", "left_semi").select(F.col("b").alias("a")))
@@ -373,13 +389,12 @@ def _components(df: DataFrame, id_col: str, text_col: str, words: int, percent:
     inside = stars.join(centres, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("row"))
     inside = store(inside.unionByName(centres.select(F.col("a").alias("row"))).distinct())
     few = cut_for_join(inside)
-    part = store(_labelled(nodes.select("row", "n", "s1", "s2").join(few, "row", "left_semi"),
-                                 "row", labels, "comp"))
+    part = store(_labelled(nodes.select("row", "n", "s1", "s2").join(few, "row", "left_semi"), "row", labels, "comp"))
     more = prefix_pairs(part, sets.join(few, "row", "left_semi"), percent, block)
     links, labels = grown(links, confirmed(more, sets, percent))
 
     tops = _labelled(nodes.select("row", "node", "least"), "row", labels, "comp")
     least = tops.groupBy("comp").agg(F.min("least").alias("component"))
     named = store(hot_join(tops.select("node", "comp", "row"), least, "comp", F.col("row"))
-                        .select("node", "component"))
+                  .select("node", "component"))
     return docs, named
