@@ -16,7 +16,10 @@ round.  The law is ``bytes``: shard sizes are near equal.
 
 Size is the text's UTF-8 bytes plus 1 (null: none plus 1).  Null texts hash like
 empty ones, null ids come first among equal texts.  Rows equal in text and id
-cannot be told apart and are not cut.  An empty table gives an empty result.
+are cut, where their bytes outweigh the tolerance, by a hash of their place in
+the stored table.  An empty table gives an empty result.  Column names are
+compared as Spark does, without case; where one of the table's is the name of a
+result or of a key, the carried columns come as a struct ``row``.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.shared import fresh, materialize
+from ledgerflow.llm.shared import materialize
 
 PROBE_BITS = 10
 PROBES = 1 << PROBE_BITS
@@ -97,11 +100,17 @@ def _search(rows: DataFrame, key: str, targets: dict, tolerance: float) -> dict:
     return settled
 
 
-def splitters(rows: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, int | None]]:
-    """Boundaries (first key, second key or None) of a table (k1, k2, size).
+def _signed(probe: int) -> int:
+    """The key that a 64-bit prefix stands for."""
+    signed = probe ^ (1 << 63)
+    return signed - (1 << 64) if signed >> 63 else signed
 
-    A row is below boundary (a, b) when k1 < a, or k1 = a and b is given and
-    k2 < b (keys as unsigned integers in the order of the signed ones).
+
+def splitters(rows: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, ...]]:
+    """Boundaries of a table (k1, k2, k3, size): a first key, and a second and third where needed.
+
+    Keys are unsigned integers in the order of the signed ones; a row is below
+    a boundary if its keys, as many as the boundary has, come before it.
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
     targets = {s: total * s / n_shards for s in range(1, n_shards)}
@@ -109,34 +118,33 @@ def splitters(rows: DataFrame, n_shards: int, tolerance: float = TOLERANCE) -> l
     out = {}
     for s, (probe, bits, below, met) in _search(rows, "k1", targets, slack).items():
         if met:
-            out[s] = (probe << (64 - bits), None)
+            out[s] = (probe << (64 - bits),)
             continue
-        # the copies of one text outweigh the tolerance: cut among them by id
-        signed = (probe ^ (1 << 63))
-        signed -= (1 << 64) if signed >> 63 else 0
-        copies = rows.filter(F.col("k1") == F.lit(signed))
-        cut = _search(copies, "k2", {s: targets[s] - below}, slack)[s]
-        out[s] = (probe, cut[0] << (64 - cut[1]))
+        # the copies of one text outweigh the tolerance: cut among them by id, then by place
+        copies, want, keys = rows.filter(F.col("k1") == F.lit(_signed(probe))), targets[s] - below, [probe]
+        for key in ("k2", "k3"):
+            at, used, below, met = _search(copies, key, {s: want}, slack)[s]
+            keys.append(at << (64 - used))
+            if met:
+                break
+            copies, want = copies.filter(F.col(key) == F.lit(_signed(at))), want - below
+        out[s] = tuple(keys)
     return [out[s] for s in sorted(out)]
 
 
-def shard_of(bounds: list[tuple[int, int | None]]) -> F.Column:
-    """Column: number of boundaries at or below a row's keys k1, k2."""
-    def literal(unsigned: int):
-        return F.lit(unsigned + _FLIP).cast("bigint")
+def shard_of(bounds: list[tuple[int, ...]]) -> F.Column:
+    """Column: number of boundaries at or below a row's keys k1, k2, k3."""
+    def reached(bound: tuple[int, ...], names: tuple[str, ...]) -> F.Column:
+        if bound[0] >> 64:  # above every key
+            return F.lit(False)
+        key, at = F.col(names[0]), F.lit(bound[0] + _FLIP).cast("bigint")
+        if len(bound) == 1:
+            return key >= at
+        return (key > at) | ((key == at) & reached(bound[1:], names[1:]))
 
     out = F.lit(0)
-    for a, b in bounds:
-        if a >> 64:  # above every key
-            continue
-        k1, k2 = F.col("k1"), F.col("k2")
-        if b is None:
-            at = k1 >= literal(a)
-        elif b >> 64:
-            at = k1 > literal(a)
-        else:
-            at = (k1 > literal(a)) | ((k1 == literal(a)) & (k2 >= literal(b)))
-        out = out + at.cast("int")
+    for bound in bounds:
+        out = out + reached(bound, ("k1", "k2", "k3")).cast("int")
     return out
 
 
@@ -150,16 +158,16 @@ def shard(df: DataFrame, text_col: str, id_col: str, n_shards: int = 8,
     carry = df.columns if carry is None else carry
     text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     k1, k2 = keys_of(text, ident)
-    names = [fresh(df, x) for x in ("k1", "k2", "size", "row_at", "part")]
-    if names != ["k1", "k2", "size", "row_at", "part"] or "shard" in df.columns or "slot" in df.columns:
+    if {"k1", "k2", "k3", "size", "row_at", "part", "n", "first", "before", "shard", "slot"} & {c.lower() for c in df.columns}:
         df = df.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
                        k1.alias("k1"), k2.alias("k2"), size_of(text).alias("size"))
         back = [F.col("row")]
     else:
         df = df.select(*[F.col(f"`{c}`") for c in carry], k1.alias("k1"), k2.alias("k2"), size_of(text).alias("size"))
         back = [F.col(f"`{c}`") for c in carry]
-    rows = materialize(df)
-    narrow = rows.select("k1", "k2", "size")
+    # places in the checkpoint stay the same in every job and retry
+    rows = materialize(df).withColumn("k3", F.xxhash64(F.monotonically_increasing_id()))
+    narrow = rows.select("k1", "k2", "k3", "size")
     bounds = splitters(narrow, n_shards, tolerance)
     rows = rows.withColumn("shard", shard_of(bounds))
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),

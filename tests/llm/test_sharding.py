@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -64,3 +65,34 @@ def test_same_shards_again(spark):
     for r in Q.op8_sharding(spark, sf).collect():
         data = texts[r.doc_id].encode()
         assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(data) + 1, zlib.crc32(data), "bytes", None)
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    rows = [(7, "the very same text " * 20, "mine")] * 500 + [(i, f"text {i} " * 48, "mine") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, Shard string").repartition(9)
+    got = H.shard(df, "text", "doc_id", 8).collect()
+    size = Counter()
+    slots = defaultdict(list)
+    for r in got:
+        size[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        assert r["row"]["Shard"] == "mine"
+    longest = max(len(t) + 1 for _, t, _ in rows)
+    target = sum(size.values()) / 8
+    assert len(got) == 1000 and set(size) == set(range(8))
+    assert all(abs(x - target) <= 0.004 * target + longest for x in size.values())
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert H.shard(df.withColumnRenamed("Shard", "SLOT"), "text", "doc_id", 2).count() == 1000
+
+
+def test_splitters_against_a_sorted_list(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([rng.getrandbits(63) - (1 << 62), 5]), rng.choice([1, 2, rng.getrandbits(40)]), k, rng.randrange(1, 90))
+            for k in range(3000)]
+    df = spark.createDataFrame(rows, "k1 bigint, k2 bigint, k3 bigint, size bigint")
+    total = sum(r[3] for r in rows)
+    bounds = H.splitters(df, 6)
+    assert bounds == sorted(bounds)
+    for s, bound in enumerate(bounds, 1):
+        below = sum(r[3] for r in rows if tuple(k + (1 << 63) for k in r[:len(bound)]) < bound)
+        assert abs(below - total * s / 6) <= max(H.TOLERANCE * total / 6, 90)
