@@ -1,20 +1,27 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton finds anchors in a text: the at-sign, digits, the
-plus sign, URL schemes and cue words of identifiers.  From an anchor the span
-is widened to the run of characters its kind may hold, and a deterministic
-parser looks at that run only.  A match never leaves its run and every match
-holds an anchor, so within each run the parser's matches are those it would
-find in the whole text.
+plus sign, URL schemes and cue words of identifiers.  From an at-sign the span
+grows left over the letters of a local part and right over the labels of a
+domain.  From the other anchors it is widened to the run of characters its kind
+may hold, and a deterministic parser looks at that run only.  A match never
+leaves its run and every match holds an anchor, so the matches are those of the
+patterns over the whole text.  Each kind's runs follow one another, so the work
+is linear in the text, also for one run of a million letters or digits.
 
 Kinds, in order: ``email``, ``ip``, ``card`` and ``phone`` are fixed by pattern
 and check (below); ``url`` is an address that begins with a scheme; ``account``
 is an identifier behind a cue (``token``, ``account``, ``iban`` ...), an
 optional separator and optional quotes: at least six letters, digits or joining
-signs, a digit among them.  Spans are code points, end exclusive.
+signs, a digit among them.  Behind ``iban`` the number may stand in groups; then
+its check digits say where it ends, and a grouped number that fails them at every
+group is read as the others are.  Spans are code points, end exclusive.
 
 A null text has no spans, like an empty one.  Texts of any length are taken
-whole; memory follows the longest text of a batch.
+whole; memory follows the longest text of a batch.  Spans of different kinds may
+overlap (an address in a URL is both), those of one kind never do.  A row's spans
+follow from its own text: repeated rows get equal ones, an empty table gives an
+empty one, and other columns, whatever their names, are left as they are.
 """
 
 from __future__ import annotations
@@ -41,15 +48,21 @@ SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 CUES = ("token", "account", "acct", "iban", "passport", "ssn", "api_key", "apikey", "secret", "password", "licence no", "license no")
 
 _URL = re.compile(r"(?i:https?|ftp)://[^\s\"'<>()\[\]{}|\\^`]+|(?i:mailto):[^\s\"'<>()]+")
-_BEHIND = re.compile(r"(?:[ \t]*(?:number|no\.?|id))?[ \t]*[:=#]?[ \t]*([\"']?)([A-Za-z0-9][A-Za-z0-9_-]{4,}[A-Za-z0-9])(?:\1)", re.I)
-
-_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
+_TO_VALUE = r"[ \t]*+(?:(?:number|no\.?|id)[ \t]*+)?[:=#]?[ \t]*+([\"']?)"
+_BEHIND = re.compile(_TO_VALUE + r"([A-Za-z0-9][A-Za-z0-9_-]{4,}[A-Za-z0-9])(?:\1)", re.I)
+_IBAN = re.compile(_TO_VALUE + r"([A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]){11,30})(?![A-Z0-9])", re.I)
+_GROUP_END = re.compile(r"[A-Za-z0-9](?=[ -]|$)")
+
+_LOCAL = frozenset("._%+-ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# a match begins where its first group of digits does: a later start in the
+# group fails where the first one failed
+_IP_FROM_GROUP = re.compile(r"(?<![0-9])" + IP.pattern)
 _IP_RUN = re.compile(r"[0-9.]+")
 _CARD_RUN = re.compile(r"[0-9 -]+")
 _PHONE_RUN = re.compile(r"[+ ().0-9-]+")
 _BACK = {}
-for _name, _chars in (("email", "._%+@-ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
-                      ("ip", ".0123456789"), ("card", " -0123456789"), ("phone", "+ ().-0123456789")):
+for _name, _chars in (("ip", ".0123456789"), ("card", " -0123456789"), ("phone", "+ ().-0123456789")):
     _BACK[_name] = frozenset(_chars)
 
 
@@ -93,8 +106,22 @@ def _good_phone(s: str) -> bool:
     return 10 <= sum(ch.isdigit() for ch in s) <= 15
 
 
+def good_iban(s: str) -> bool:
+    """Check digits of an account number: its letters as 10 to 35, the first four moved last, 1 modulo 97."""
+    s = s.replace(" ", "").replace("-", "").upper()
+    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
+def _iban_end(text: str, start: int, end: int) -> int | None:
+    """End of the longest valid number from ``start`` that ends with a group, of 34 signs at most."""
+    for m in reversed(list(_GROUP_END.finditer(text[start:end]))):
+        if good_iban(text[start:start + m.end()]):
+            return start + m.end()
+    return None
+
+
 _PARSERS = {
-    "email": (EMAIL, _EMAIL_RUN, None), "ip": (IP, _IP_RUN, _good_ip),
+    "ip": (_IP_FROM_GROUP, _IP_RUN, _good_ip),
     "card": (CARD, _CARD_RUN, _good_card), "phone": (PHONE, _PHONE_RUN, _good_phone),
 }
 
@@ -123,6 +150,15 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
             if good is None or good(m.group()):
                 out.append((m.start(), k, m.end()))
 
+    def email(at: int) -> None:
+        lo, upto_last = at, upto["email"]
+        while lo > upto_last and text[lo - 1] in _LOCAL:
+            lo -= 1
+        upto["email"] = at + 1
+        if lo < at and (m := _DOMAIN.match(text, at + 1)):
+            out.append((lo, 0, m.end()))
+            upto["email"] = m.end()
+
     for last, (what, n) in _ANCHORS.iter(low):
         at = last - n + 1
         if what == "d":
@@ -131,7 +167,7 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
             if at >= upto["card"]:
                 expand("card", at)
         elif what == "@":
-            expand("email", at)
+            email(at)
         elif what == "+":
             expand("phone", at)
         elif what == "s":
@@ -143,10 +179,15 @@ def find(text: str | None) -> list[tuple[int, int, int]]:
                     out.append((at, 4, end))
                     upto["url"] = end
         elif at >= upto["account"] and not text[max(0, at - 1):at].isalnum():
-            if (m := _BEHIND.match(text, last + 1)) and any(c.isdigit() for c in m.group(2)):
-                if not text[last + 1:last + 2].isalnum():
-                    out.append((m.start(2), 5, m.end(2)))
-                    upto["account"] = m.end(2)
+            if text[last + 1:last + 2].isalnum():
+                continue
+            if low.startswith("iban", at) and (m := _IBAN.match(text, last + 1)) and (
+                    end := _iban_end(text, m.start(2), m.end(2))):
+                out.append((m.start(2), 5, end))
+                upto["account"] = end
+            elif (m := _BEHIND.match(text, last + 1)) and any(c.isdigit() for c in m.group(2)):
+                out.append((m.start(2), 5, m.end(2)))
+                upto["account"] = m.end(2)
     out.sort()
     return out
 

@@ -115,7 +115,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = pii.KINDS[:pii.BASE]
     return found.select(
-        "doc_id", *[F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in base],
+        "doc_id", *[F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in pii.KINDS],
+        F.size("s").cast("bigint").alias("n_spans"),
         F.sha2(said(of(*base)).cast("binary"), 256).alias("base_sha256"), said(F.col("s")).alias("spans"))
 
 
