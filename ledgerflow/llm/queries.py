@@ -215,17 +215,18 @@ ORACLES = {
     "op12_centroids": _centroid_sql(),
     "op5_topk": """
         WITH v AS (
-            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q
+            SELECT row_number() OVER () AS r, vec_id,
+                   list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
         s AS (
-            SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+            SELECT a.r, a.vec_id AS query_id, b.vec_id AS vec_id,
                    CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
             FROM v AS a JOIN v AS b ON len(a.q) = len(b.q) AND a.vec_id <> b.vec_id
             WHERE a.vec_id % 20 = 0),
         r AS (
-            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank
             FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op6_urls": """

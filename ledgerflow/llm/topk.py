@@ -8,12 +8,14 @@ The blocks follow one another, so neither the driver nor a task ever holds more
 than one block of queries.
 
 Products are exact: integer vectors are multiplied as doubles when no sum can
-reach 2^53, else as 64-bit integers.
+reach 2^53, as 64-bit integers when none can reach 2^63, else as integers of any
+length; a score or a component that 64 bits cannot hold raises an error.
 
 Vectors that are null, hold null or non-finite components, or have no id take
-no part.  Vectors meet only those of equal length.  Repeated rows (same id and
-vector) count once; a candidate with the query's id is its own.  Ties go to the
-smaller id.  With fewer than ``k`` candidates all are returned.
+no part.  Vectors meet only those of equal length.  Every row is a candidate of
+its own, and every query row gets a list of its own, so repeated rows repeat in
+the result; rows with the query's id are its own and no candidates.  Ties go to
+the smaller id.  With fewer than ``k`` candidates all are returned.
 """
 
 from __future__ import annotations
@@ -32,19 +34,27 @@ K = 20
 BLOCK_BYTES = 32 << 20
 TILE = 4_096
 FAN_IN = 16
-_LISTS = "query_id bigint, part bigint, ids binary, scores binary"
-_SCHEMA = pa.schema([("query_id", pa.int64()), ("part", pa.int64()), ("ids", pa.binary()), ("scores", pa.binary())])
+_LISTS = "query bigint, query_id bigint, part bigint, ids binary, scores binary"
+_SCHEMA = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("part", pa.int64()), ("ids", pa.binary()), ("scores", pa.binary())])
 
 
 def quantized(vec, factor: int = 64):
-    """floor(factor * x) per component as doubles; null for vectors that take no part."""
-    q = F.transform(vec, lambda x: F.floor(x.cast("double") * factor).cast("bigint"))
+    """floor(factor * x) per component as doubles; null for vectors that take no part.
+
+    A component past 64 bits raises an error.
+    """
+    def whole(x):
+        y = F.floor(x.cast("double") * factor)
+        return F.when(F.abs(x.cast("double") * factor) < 2.0 ** 63, y).otherwise(
+            F.raise_error(F.lit("a component does not fit in 64 bits")).cast("bigint"))
+
+    q = F.transform(vec, whole)
     good = vec.isNotNull() & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.when(good, q)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of one query, by score, then smaller id; repeated ids keep their best."""
+    """The k best of one query, by score, then smaller id."""
     if len(ids) > k:
         cut = np.partition(scores, len(scores) - k)[len(scores) - k]
         near = scores >= cut
@@ -57,14 +67,19 @@ def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     top = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
     if top < 2 ** 53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T
+    if top < 2 ** 63:
+        return q @ c.T
+    exact = q.astype(object) @ c.astype(object).T
+    if exact.size and max(exact.max(), -exact.min()) >= 2 ** 63:
+        raise OverflowError("a score does not fit in 64 bits")
+    return exact.astype(np.int64)
 
 
 def _tiles(sent, k: int):
     """mapInArrow over a shard of candidates: the shard's best lists of a block."""
     def run(batches):
-        blocks = {dim: (ids, np.frombuffer(raw, dtype=np.int64).reshape(len(ids), dim))
-                  for dim, (ids, raw) in sent.value.items()}
+        blocks = {dim: (np.array(ids), np.frombuffer(raw, dtype=np.int64).reshape(len(ids), dim))
+                  for dim, (_, ids, raw) in sent.value.items()}
         best = {dim: (np.full((len(ids), k), np.iinfo(np.int64).min), np.full((len(ids), k), -1))
                 for dim, (ids, _) in blocks.items()}
         filled = {dim: np.zeros((len(ids), k), dtype=bool) for dim, (ids, _) in blocks.items()}
@@ -92,24 +107,25 @@ def _tiles(sent, k: int):
                         s = np.concatenate([s0[sl], _product(q[sl], c[lo:lo + TILE])], axis=1)
                         i = np.concatenate([i0[sl], np.broadcast_to(ci, (s.shape[0], len(ci)))], axis=1)
                         ok = np.concatenate([f0[sl], np.broadcast_to(True, (s.shape[0], len(ci)))], axis=1)
-                        ok = ok & (i != np.asarray(qid)[sl][:, None]) | False
+                        ok &= i != qid[sl][:, None]
                         s = np.where(ok, s, np.iinfo(np.int64).min)
                         # partial selection, then exact order among all that tie with the last
                         cut = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k][:, None]
-                        rank_i = np.where(ok, i, np.iinfo(np.int64).max)
-                        for r in range(s.shape[0]):
-                            near = np.flatnonzero((s[r] >= cut[r]) & ok[r])
-                            o = near[np.lexsort((rank_i[r][near], -s[r][near]))[:k]]
-                            n = len(o)
-                            s0[qlo + r, :n], i0[qlo + r, :n] = s[r][o], i[r][o]
-                            f0[qlo + r] = np.arange(k) < n
-        out = {"query_id": [], "part": [], "ids": [], "scores": []}
+                        row, col = np.nonzero((s >= cut) & ok)
+                        order = np.lexsort((i[row, col], -s[row, col], row))
+                        row, col = row[order], col[order]
+                        place = np.arange(len(row)) - np.searchsorted(row, row)
+                        row, col, place = row[place < k], col[place < k], place[place < k]
+                        s0[qlo + row, place], i0[qlo + row, place] = s[row, col], i[row, col]
+                        f0[qlo + row, place] = True
+        out = {"query": [], "query_id": [], "part": [], "ids": [], "scores": []}
         for dim, (qid, _) in blocks.items():
             s0, i0 = best[dim]
-            for r, q in enumerate(qid):
+            for r, q in enumerate(sent.value[dim][0]):
                 f = filled[dim][r]
                 if f.any():
-                    out["query_id"].append(int(q))
+                    out["query"].append(q)
+                    out["query_id"].append(int(qid[r]))
                     out["part"].append(part)
                     out["ids"].append(i0[r][f].tobytes())
                     out["scores"].append(s0[r][f].tobytes())
@@ -130,10 +146,10 @@ def _merge(lists: DataFrame, k: int) -> DataFrame:
             os_.append(s.tobytes())
         return pa.StructArray.from_arrays([pa.array(oi, pa.binary()), pa.array(os_, pa.binary())], ["ids", "scores"])
 
-    got = (lists.groupBy("query_id", "part")  # FAN_IN lists of k entries at most
+    got = (lists.groupBy("query", "query_id", "part")  # FAN_IN lists of k entries at most
            .agg(F.collect_list(F.struct("ids", "scores")).alias("l")))
     return (got.withColumn("m", merged(F.col("l")["ids"], F.col("l")["scores"]))
-            .select("query_id", "part", "m.ids", "m.scores"))
+            .select("query", "query_id", "part", "m.ids", "m.scores"))
 
 
 def search(vectors: DataFrame, id_col: str, vec: F.Column, is_query: F.Column, k: int = K,
@@ -146,22 +162,24 @@ def search(vectors: DataFrame, id_col: str, vec: F.Column, is_query: F.Column, k
     ship(spark)
     rows = (vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), vec.alias("q"),
                            F.coalesce(is_query, F.lit(False)).alias("is_query"))
-            .filter("id is not null and q is not null").distinct())
-    rows = materialize(rows)
+            .filter("id is not null and q is not null")
+            .withColumn("query", F.monotonically_increasing_id()))
+    rows = materialize(rows)  # fixes the rows' numbers, too
     size = rows.filter("is_query").agg(F.sum(F.size("q") * 8 + 8).alias("b")).first()["b"] or 0
     n_blocks = max(1, math.ceil(size / block_bytes * 1.25)) if size > block_bytes else 1
-    numbered = rows.filter("is_query").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
+    numbered = rows.filter("is_query").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(n_blocks)))
     parts = rows.rdd.getNumPartitions()
     shards = rows.select("id", "q", F.spark_partition_id().cast("bigint").alias("part"))
     found = []
     for n in range(n_blocks):
         block: dict = {}
-        for r in numbered.filter(F.col("block") == n).select("id", "q").toLocalIterator():
-            block.setdefault(len(r["q"]), ([], []))
-            block[len(r["q"])][0].append(r["id"])
-            block[len(r["q"])][1].append(np.array(r["q"], dtype=np.int64))
+        for r in numbered.filter(F.col("block") == n).select("query", "id", "q").toLocalIterator():
+            queries, ids, qs = block.setdefault(len(r["q"]), ([], [], []))
+            queries.append(r["query"])
+            ids.append(r["id"])
+            qs.append(np.array(r["q"], dtype=np.int64))
         sent = spark.sparkContext.broadcast(
-            {d: (ids, np.concatenate(v).tobytes() if d else b"") for d, (ids, v) in block.items()})
+            {d: (queries, ids, np.concatenate(qs).tobytes() if d else b"") for d, (queries, ids, qs) in block.items()})
         lists = shards.mapInArrow(_tiles(sent, k), _LISTS)
         width = parts
         while True:  # tree of merges

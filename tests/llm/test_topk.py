@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import topk as K
@@ -8,8 +9,8 @@ from ledgerflow.llm import topk as K
 
 def slow(rows, k):
     """(query, rank, id, score) of quantized vectors, ids that 20 divides as queries."""
-    own = sorted({(i, tuple(math.floor(64 * x) for x in v)) for i, v in rows
-                  if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)})
+    own = sorted((i, tuple(math.floor(64 * x) for x in v)) for i, v in rows
+                 if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v))
     out = []
     for i, q in own:
         if i % 20 == 0:
@@ -35,11 +36,26 @@ def test_equals_brute_force_with_ties_and_odd_rows(spark):
     assert run(df, block_bytes=200) == want          # many blocks of queries
     assert run(df.repartition(40)) == want           # a tree of merges
     assert run(df, k=200) == slow(rows, 200)         # fewer candidates than asked for
+    assert sum(x[:2] == (0, 1) for x in want) == 2   # a repeated query row has a list of its own
+
+
+def test_equal_scores_everywhere(spark):
+    rows = [(i, [0.5, 0.5]) for i in range(60)] * 2
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5)
+    assert run(df, 7) == slow(rows, 7)
 
 
 def test_large_components_and_empty_tables(spark):
     rows = [(0, [2.0 ** 24, 1.0]), (1, [2.0 ** 24, 3.0]), (2, [2.0 ** 24 - 1, 3.0]), (20, [-2.0 ** 24, 0.5])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     assert run(df, 3) == slow(rows, 3)
+    big = [(0, [2.0 ** 27, 2.0 ** 25]), (1, [2.0 ** 27, -2.0 ** 27]), (2, [2.0 ** 23, 2.0 ** 23])]
+    past = spark.createDataFrame(big, "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):  # 2^33 * 2^33
+        run(past)
+    near = [(0, [2.0 ** 25, -2.0 ** 25 + 1]), (1, [2.0 ** 25, 2.0 ** 25]), (2, [-2.0 ** 25, 5.0])]
+    assert run(spark.createDataFrame(near, "vec_id bigint, embedding array<double>")) == slow(near, 20)
+    with pytest.raises(Exception, match="64 bits"):
+        run(spark.createDataFrame([(0, [3e38]), (1, [1.0])], "vec_id bigint, embedding array<double>"))
     assert run(df.limit(0)) == []
     assert run(df.filter("vec_id = 1")) == []
