@@ -542,27 +542,134 @@ def soft_delete_users(current: DataFrame, requests: DataFrame, as_of) -> Applied
 
 # -- deletes ---------------------------------------------------------------------
 
-RETURN_CHILDREN = ["messages", "documents", "expenses", "income_sources", "payments"]
+@dataclass
+class Deletion:
+    """What a delete of root rows does under the declared foreign keys.
+
+    ``state``: the tables without the deleted rows; ``gone``: (table_name,
+    record_id) of every deleted row (rows of tables without an id go by their
+    parent's key); ``blocked``: (root_id, blocked_by) of the roots that stay.
+    """
+
+    state: dict[str, DataFrame]
+    gone: DataFrame
+    blocked: DataFrame
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def delete_rows(tables: dict[str, DataFrame], root: str, ids: DataFrame, fks=None) -> Deletion:
+    """Delete rows of ``root`` (``ids``: one column) as one statement each.
+
+    ``fks`` are (child, column, parent, cascades) edges, by default the declared
+    ones; edges of tables or columns not given are left out.  Cascading edges
+    are followed from the asked rows outwards, a frontier of newly reached
+    (root, row) pairs at a time, until no frontier is left; a pair is reached
+    once, so cycles end.  Only tables that others refer to need their rows
+    named; the rest go by the columns that point at named rows.
+
+    A row that refers to a reached row through another edge, and does not go
+    with the same root itself, blocks that root: it stays with all that would
+    have gone with it.  A row that several roots reach goes if one of them does.
+
+    Each round joins the narrow (key, reference) columns of the children with
+    the frontier, which is checkpointed and broadcast only if it measured small.
+    NULL references point at nothing; asked ids without a row are ignored.
+    """
+    edges = [e for e in (fks or SC.FOREIGN_KEYS)
+             if e[0] in tables and e[2] in tables and e[1] in tables[e[0]].columns]
+    named = {root} | {parent for _, _, parent, _ in edges}
+
+    def text(c: str) -> Column:
+        return S(c).cast("string")
+
+    asked = ids.select(S(ids.columns[0]).cast("string").alias("k")).distinct()
+    start = (tables[root].select(text("id").alias("k")).join(asked, "k", "left_semi").distinct()
+             .select(S("k").alias("uid"), "k"))
+    reached: dict[str, list[DataFrame]] = {}
+    frontier = {root: cut_for_join(start)}
+    while frontier:
+        for t, rows in frontier.items():
+            reached.setdefault(t, []).append(rows)
+        steps: dict[str, list[DataFrame]] = {}
+        for child, col, parent, cascades in edges:
+            if cascades and child in named and parent in frontier:
+                steps.setdefault(child, []).append(
+                    tables[child].select(text("id").alias("k"), text(col).alias("__ref"))
+                    .join(frontier[parent].select("uid", S("k").alias("__up")), S("__ref") == S("__up"))
+                    .select("uid", "k"))
+        frontier = {}
+        for child, parts in steps.items():
+            new = _all(parts)
+            if child in reached:
+                new = new.join(_all(reached[child]), ["uid", "k"], "left_anti")
+            if len(parts) > 1 or child in reached:
+                new = new.distinct()
+            new, size = cut_and_measure(new)
+            if size:
+                frontier[child] = F.broadcast(new) if size <= BROADCAST_BYTES else new
+
+    # every reached row with its root, and the references that may block it
+    owners = cut_for_join(_all([_all(rows).select(F.lit(t).alias("kind"), "k", "uid")
+                                for t, rows in reached.items()]))
+    goes_by = {t: [("id", t)] if t in named else
+               [(col, parent) for child, col, parent, cascades in edges
+                if cascades and child == t and parent in reached] for t in tables}
+    width = max(len(x) for x in goes_by.values())
+    refs = []
+    for t, df in tables.items():
+        entries = [F.struct(F.lit(f"{t}.{col}").alias("blocked_by"), F.lit(parent).alias("rkind"),
+                            text(col).alias("ref"))
+                   for child, col, parent, cascades in edges
+                   if child == t and not cascades and parent in reached]
+        if entries:
+            own = goes_by[t] + [(None, None)] * (width - len(goes_by[t]))
+            at = [F.struct(F.lit(parent).cast("string").alias("kind"),
+                           (text(col) if col else F.lit(None).cast("string")).alias("k")).alias(f"at{i}")
+                  for i, (col, parent) in enumerate(own)]
+            refs.append(df.select(F.explode(F.array(*entries)).alias("r"), *at)
+                        .select("r.*", *[f"at{i}" for i in range(width)]).filter(S("ref").isNotNull()))
+    if refs:
+        hits = _all(refs).join(owners, (S("rkind") == S("kind")) & (S("ref") == S("k"))).drop("kind", "k")
+        for i in range(width):
+            own = owners.select(S("kind").alias("__kind"), S("k").alias("__k"), S("uid").alias("__uid"))
+            hits = hits.join(own, (S(f"at{i}.kind") == S("__kind")) & (S(f"at{i}.k") == S("__k"))
+                             & (S("uid") == S("__uid")), "left_anti")
+        blocked = hits.select("uid", "blocked_by").distinct()
+    else:
+        blocked = start.select("uid", F.lit("").alias("blocked_by")).limit(0)
+    blocked = cut_lineage(blocked)
+    stays = blocked.select("uid").distinct()
+    doomed = {t: cut_for_join(_all(rows).join(stays, "uid", "left_anti").select("k").distinct())
+              for t, rows in reached.items()}
+
+    state, gone = {}, []
+    for t, df in tables.items():
+        left = df
+        for col, parent in goes_by[t]:
+            if parent in doomed:
+                keys = doomed[parent].select(S("k").cast(df.schema[col].dataType).alias("__k"))
+                if t not in named:
+                    gone.append(left.join(keys, S(col) == S("__k"), "left_semi")
+                                .select(F.lit(t).alias("table_name"),
+                                        text("id" if "id" in df.columns else col).alias("record_id")))
+                left = left.join(keys, S(col) == S("__k"), "left_anti")
+        state[t] = left
+    gone += [keys.select(F.lit(t).alias("table_name"), S("k").alias("record_id"))
+             for t, keys in doomed.items()]
+    root_type = tables[root].schema["id"].dataType
+    return Deletion(state, _all(gone), blocked.select(S("uid").cast(root_type).alias("root_id"), "blocked_by"))
 
 
 def delete_returns(tables: dict[str, DataFrame], ids: DataFrame) -> tuple[dict, DataFrame]:
     """Delete returns and their children; a return with reviews is blocked.
 
     ``ids``: one column of return ids.  Returns (new tables, blocked ids).
-    Every step is a semi / anti join on the return id.
     """
-    req = ids.select(S(ids.columns[0]).alias("__rid")).distinct()
-    blocked = cut_lineage(req.join(tables["reviews"].select(S("tax_return_id").alias("__rv")),
-                                   S("__rid") == S("__rv"), "left_semi"))
-    # the delete set is read once per table: checkpoint it, and broadcast it
-    # when it measured small so the big tables are filtered without a shuffle
-    go = cut_for_join(req.join(blocked, "__rid", "left_anti"))
-    out = dict(tables)
-    for child in RETURN_CHILDREN:
-        if child in tables:
-            out[child] = tables[child].join(go, S("tax_return_id") == S("__rid"), "left_anti")
-    out["tax_returns"] = tables["tax_returns"].join(go, S("id") == S("__rid"), "left_anti")
-    return out, blocked.select(S("__rid").alias("id"))
+    done = delete_rows(tables, "tax_returns", ids)
+    return done.state, done.blocked.select(S("root_id").alias("id")).distinct()
 
 
 def delete_documents(docs: DataFrame, requests: DataFrame, grants: DataFrame) -> Applied:
@@ -578,96 +685,14 @@ def delete_documents(docs: DataFrame, requests: DataFrame, grants: DataFrame) ->
     return Applied(docs.join(ok, S("id") == S("__del"), "left_anti"), rejects)
 
 
-# References without a cascade (table -> column, what it refers to).
-BLOCKING_REFERENCES = {
-    "tax_returns": [("accountant_id", "accountant")],
-    "documents": [("uploaded_by", "user")],
-    "messages": [("sender_id", "user"), ("recipient_id", "user")],
-    "payments": [("customer_id", "customer")],
-    "reviews": [("customer_id", "customer"), ("accountant_id", "accountant"),
-                ("tax_return_id", "return")],
-    "contact_inquiries": [("assigned_to", "user")],
-    "notifications": [("user_id", "user")],
-    "audit_logs": [("user_id", "user")],
-}
-
-
-def _anti(df: DataFrame, col: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``col`` is not in the prepared key set."""
-    return df.join(keys, S(col) == S("__k"), "left_anti")
-
-
 def cascade_users(tables: dict[str, DataFrame], user_ids: DataFrame
                   ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Delete users with the database's foreign-key rules.
+    """Delete users with the declared foreign-key rules (:func:`delete_rows`).
 
-    Cascading references go with the user: its customer / accountant
-    profile, the customer's returns and their children.  A row that refers
-    to a deleted row through a non-cascading reference blocks the delete of
-    that user (the database would refuse the statement); blocked users and
-    the blocking table are reported, and everything else is deleted.
+    Returns (new tables, blocked users with the reference that blocks them).
     """
-    users0 = cut_for_join(user_ids.select(S(user_ids.columns[0]).alias("k")).distinct())
-    # What would go with each user.  These key sets are read by every later
-    # step, so they are checkpointed once (reliable storage: a lost executor
-    # re-reads them instead of re-running the joins) and measured there.
-    cust = cut_for_join(tables["customers"].join(users0, S("user_id") == S("k"), "inner").select(
-        S("id").alias("cid"), S("user_id").alias("uid")))
-    acc = cut_for_join(tables["accountants"].join(users0, S("user_id") == S("k"), "inner").select(
-        S("id").alias("aid"), S("user_id").alias("uid")))
-    rets = cut_for_join(tables["tax_returns"].join(cust, S("customer_id") == S("cid"), "inner")
-                        .select(S("id").alias("rid"), "uid"))
-
-    # who stands behind a reference: (kind, key) -> user
-    def owners(df, kind, key):
-        return df.select(F.lit(kind).alias("kind"), S(key).cast("string").alias("okey"), "uid")
-
-    owner = (owners(users0.withColumn("uid", S("k")), "user", "k")
-             .unionByName(owners(cust, "customer", "cid")).unionByName(owners(acc, "accountant", "aid"))
-             .unionByName(owners(rets, "return", "rid")))
-    owner = cut_for_join(owner)
-
-    # one scan per table: its references exploded, one join for all of them
-    found = []
-    for table, refs in BLOCKING_REFERENCES.items():
-        if table not in tables:
-            continue
-        df = tables[table]
-        entries = [F.struct(F.lit(f"{table}.{col}").alias("blocked_by"), F.lit(kind).alias("rkind"),
-                            S(col).cast("string").alias("ref"))
-                   for col, kind in refs if col in df.columns]
-        if not entries:
-            continue
-        goes_with = table in RETURN_CHILDREN and "tax_return_id" in df.columns
-        at = S("tax_return_id").cast("string") if goes_with else F.lit(None).cast("string")
-        found.append(df.select(F.explode(F.array(*entries)).alias("r"), at.alias("at"))
-                     .select("r.*", "at").filter(S("ref").isNotNull()))
-    every = reduce(lambda a, b: a.unionByName(b), found)
-    hits = every.join(owner, (S("rkind") == S("kind")) & (S("ref") == S("okey")), "inner")
-    # a row that itself goes with the user's own returns blocks nothing
-    own = rets.select(S("rid").cast("string").alias("__at"), S("uid").alias("__own"))
-    blocked = cut_lineage(hits.join(own, (S("at") == S("__at")) & (S("uid") == S("__own")), "left_anti")
-                          .select("uid", "blocked_by").distinct())
-
-    go_users = cut_for_join(users0.join(blocked.select(S("uid").alias("k")), "k", "left_anti"))
-    go_cust = cust.join(go_users, S("uid") == S("k"), "left_semi").select("cid")
-    go_acc = acc.join(go_users, S("uid") == S("k"), "left_semi").select("aid")
-    go_rets = cut_for_join(rets.join(go_users, S("uid") == S("k"), "left_semi").select("rid"))
-
-    out = dict(tables)
-    keysets = {"users": go_users, "customers": go_cust, "accountants": go_acc,
-               "tax_returns": go_rets}
-    # anti joins ignore repeats, so the key sets need no distinct
-    keysets = {n: k.select(S(k.columns[0]).alias("__k")) for n, k in keysets.items()}
-    k_rets = keysets["tax_returns"]
-    out["users"] = _anti(tables["users"], "id", keysets["users"])
-    out["customers"] = _anti(tables["customers"], "id", keysets["customers"])
-    out["accountants"] = _anti(tables["accountants"], "id", keysets["accountants"])
-    out["tax_returns"] = _anti(tables["tax_returns"], "id", k_rets)
-    for child in RETURN_CHILDREN:
-        if child in tables:
-            out[child] = _anti(tables[child], "tax_return_id", k_rets)
-    return out, blocked.select(S("uid").alias("user_id"), "blocked_by")
+    done = delete_rows(tables, "users", user_ids)
+    return done.state, done.blocked.select(S("root_id").alias("user_id"), "blocked_by")
 
 
 # -- audit -------------------------------------------------------------------------

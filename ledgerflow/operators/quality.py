@@ -3,9 +3,9 @@
 Row rules (NOT NULL, enums, ranges, lengths, formats) run as one pass per
 table: every rule becomes a ``when(bad, struct(...))`` entry of an array, the
 NULL entries are dropped and the rest exploded - one scan, no shuffle.
-Set rules (unique keys, foreign keys) first reduce to distinct key values
-with counts (a partial aggregate, so a key held by a third of the rows is one
-partial row per task) and only then join.
+Set rules first reduce to distinct values with counts (a partial aggregate, so a
+value held by a third of the rows is one partial row per task) and only then
+join: foreign keys their references, unique keys fixed-width prints of the keys.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import js_trim
+from ..session import cut_for_join
 from ..sources import schemas as SC
 from .util import present
 
@@ -177,22 +178,66 @@ def dq_uuid(tables, table="users", col="id"):
 
 # -- set rules ---------------------------------------------------------------------
 
+def _key_sets(tables: dict[str, DataFrame], keys) -> list[tuple[str, list[str]]]:
+    return [(t, cols) for t, df in tables.items() for cols in keys.get(t, [])
+            if all(c in df.columns for c in cols)]
+
+
+def _keys_of(df: DataFrame, sets: list[tuple[int, list[str]]], values: bool) -> DataFrame:
+    """(set_no, print[, value]) of every key of every row, from one scan of the table.
+
+    ``print`` is a 64-bit hash of the key's parts.  A key with a NULL part is no key.
+    """
+    entries = []
+    for no, cols in sets:
+        parts = F.array(*[S(c).cast("string") for c in cols])
+        fields = [F.lit(no).alias("set_no"), F.xxhash64(parts).alias("print")]
+        if values:
+            fields.append(parts.alias("value"))
+        entries.append(F.when(reduce(lambda a, b: a & b, [S(c).isNotNull() for c in cols]),
+                              F.struct(*fields)))
+    return df.select(F.explode(F.array(*entries)).alias("k")).filter(S("k").isNotNull()).select("k.*")
+
+
+def repeated_prints(tables: dict[str, DataFrame], sets: list[tuple[str, list[str]]]) -> DataFrame:
+    """(set_no, print) that more than one row has.
+
+    Each task first counts its own rows per print, so a key held by a third of
+    the rows is one row per task; keys themselves are never exchanged.
+    """
+    prints = _union([_keys_of(df, [(n, c) for n, (t, c) in enumerate(sets) if t == name], False)
+                     for name, df in tables.items() if any(t == name for t, _ in sets)])
+    return (prints.groupBy("set_no", "print").agg(F.count(F.lit(1)).alias("n"))
+            .filter(S("n") > 1).select("set_no", "print"))
+
+
 def dq_unique(tables: dict[str, DataFrame], keys: dict[str, list[list[str]]] | None = None
               ) -> DataFrame:
-    """Key values held by more than one row: (table, key_columns, key_value, n)."""
-    keys = keys or SC.UNIQUE
+    """Key values held by more than one row: (table, key_columns, key_value, n).
+
+    Two passes, each one scan a table for all its keys.  The first counts
+    fixed-width prints of the keys and keeps those that repeat.  The second
+    counts the keys themselves, exactly, but only of rows whose print repeats:
+    of almost unique ids hardly any row is exchanged, and two keys that share
+    a print by chance are told apart.  The repeating prints are checkpointed
+    and broadcast only if they measured small.
+    """
+    sets = _key_sets(tables, keys or SC.UNIQUE)
+    again = cut_for_join(repeated_prints(tables, sets))
     frames = []
-    for t, df in tables.items():
-        for cols in keys.get(t, []):
-            if not all(c in df.columns for c in cols):
-                continue
-            kv = F.concat_ws("|", *[S(c).cast("string") for c in cols])
-            frames.append(
-                df.filter(reduce(lambda a, b: a & b, [S(c).isNotNull() for c in cols]))
-                .groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).filter(S("n") > 1)
-                .select(F.lit(t).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"),
-                        kv.alias("key_value"), "n"))
-    return _union(frames)
+    for name, df in tables.items():
+        own = [(n, c) for n, (t, c) in enumerate(sets) if t == name]
+        if own:
+            frames.append(_keys_of(df, own, True).join(again, ["set_no", "print"], "left_semi"))
+    counts = (_union(frames).groupBy("set_no", "value").agg(F.count(F.lit(1)).alias("n"))
+              .filter(S("n") > 1))
+
+    def of_set(texts: list[str]) -> Column:
+        return F.array(*[F.lit(x) for x in texts])[S("set_no")]
+
+    return counts.select(of_set([t for t, _ in sets]).alias("table_name"),
+                         of_set([",".join(c) for _, c in sets]).alias("key_columns"),
+                         F.array_join("value", "|").alias("key_value"), "n")
 
 
 def dq_foreign_key(tables: dict[str, DataFrame], fks=None) -> DataFrame:

@@ -420,40 +420,63 @@ def soft_delete_users(d: Domain):
 DELETE_IDS_SQL = """SELECT id FROM tax_returns WHERE status = 'cancelled' OR (status = 'filed' AND tax_year = '1995-96')"""
 
 
+def _left_and_gone_sql(tables: dict[str, tuple[str, str]], gone: dict[str, str], blocked: str) -> str:
+    """Rows left per table, each deleted row by its key, and what is blocked.
+
+    ``tables``: name -> (view, key); ``gone``: name -> condition of a deleted row.
+    """
+    parts = []
+    for name, (view, key) in tables.items():
+        cond = gone.get(name, "false")
+        parts.append(f"SELECT '{name}' AS table_name, CAST(NULL AS VARCHAR) AS record_id, 'left' AS outcome, "
+                     f"COUNT(*) AS n_rows FROM {view} WHERE NOT COALESCE({cond}, false)")
+        if name in gone:
+            parts.append(f"SELECT '{name}', CAST({key} AS VARCHAR), 'deleted', COUNT(*) FROM {view} "
+                         f"WHERE {cond} GROUP BY {key}")
+    return "\nUNION ALL ".join(parts + [blocked])
+
+
+def _left_and_gone(done: C.Deletion, root: str):
+    """The same rows from a :class:`Deletion`."""
+    parts = [df.agg(F.count(F.lit(1)).alias("n_rows"))
+             .select(F.lit(t).alias("table_name"), F.lit(None).cast("string").alias("record_id"),
+                     F.lit("left").alias("outcome"), "n_rows") for t, df in done.state.items()]
+    parts.append(done.gone.groupBy("table_name", "record_id").agg(F.count(F.lit(1)).alias("n_rows"))
+                 .select("table_name", "record_id", F.lit("deleted").alias("outcome"), "n_rows"))
+    parts.append(done.blocked.select(
+        F.lit(root).alias("table_name"), S("root_id").cast("string").alias("record_id"),
+        F.concat(F.lit("blocked by "), S("blocked_by")).alias("outcome"),
+        F.lit(1).cast("bigint").alias("n_rows")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+OF_RETURN = {"income_sources": ("income_sources", "tax_return_id"), "expenses": ("expenses", "tax_return_id"),
+             "documents": ("documents_meta", "id"), "messages": ("messages", "id")}
+
+
 @register("delete_returns", views=("tax_returns", "reviews", "income_sources", "expenses",
                                    "documents_meta", "messages"), oracle=f"""
 WITH req AS ({DELETE_IDS_SQL}),
 blocked AS (SELECT id FROM req WHERE id IN (SELECT tax_return_id FROM reviews)),
 go AS (SELECT id FROM req WHERE id NOT IN (SELECT id FROM blocked))
-SELECT 'tax_returns' AS table_name, COUNT(*) AS rows_after FROM tax_returns WHERE id NOT IN (SELECT id FROM go)
-UNION ALL SELECT 'income_sources', COUNT(*) FROM income_sources WHERE tax_return_id NOT IN (SELECT id FROM go)
-UNION ALL SELECT 'expenses', COUNT(*) FROM expenses WHERE tax_return_id NOT IN (SELECT id FROM go)
-UNION ALL SELECT 'documents', COUNT(*) FROM documents_meta WHERE tax_return_id NOT IN (SELECT id FROM go)
-UNION ALL SELECT 'messages', COUNT(*) FROM messages WHERE tax_return_id NOT IN (SELECT id FROM go)
-UNION ALL SELECT 'blocked_returns', COUNT(*) FROM blocked""")
+""" + _left_and_gone_sql(
+    {"tax_returns": ("tax_returns", "id"), "reviews": ("reviews", "id"), **OF_RETURN},
+    {"tax_returns": "id IN (SELECT id FROM go)",
+     **{t: "tax_return_id IN (SELECT id FROM go)" for t in OF_RETURN}},
+    "SELECT 'tax_returns', CAST(id AS VARCHAR), 'blocked by reviews.tax_return_id', 1 FROM blocked"))
 def delete_returns(d: Domain):
     """Cancelled returns and the filed 1995-96 ones are deleted with their
-    children; returns that have reviews are blocked.  Rows left per table."""
+    children; returns that have reviews are blocked.  Every deleted row by its
+    key, every blocked return, and the rows left per table."""
     tr = d.tax_returns
     ids = tr.filter((S("status") == "cancelled")
                     | ((S("status") == "filed") & (S("tax_year") == "1995-96"))).select("id")
     tables = {"tax_returns": tr, "reviews": d.reviews, "income_sources": d.income_sources,
               "expenses": d.expenses, "documents": d.documents, "messages": d.messages}
-    out, blocked = C.delete_returns(tables, ids)
-    return _row_counts(out, ["tax_returns", "income_sources", "expenses", "documents",
-                             "messages"], extra={"blocked_returns": blocked})
-
-
-def _row_counts(tables: dict, names: list[str], extra: dict | None = None):
-    parts = [tables[n].agg(F.count(F.lit(1)).alias("rows_after"))
-             .select(F.lit(n).alias("table_name"), "rows_after") for n in names]
-    for n, df in (extra or {}).items():
-        parts.append(df.agg(F.count(F.lit(1)).alias("rows_after"))
-                     .select(F.lit(n).alias("table_name"), "rows_after"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _left_and_gone(C.delete_rows(tables, "tax_returns", ids), "tax_returns")
 
 
 CASCADE_SQL = """
@@ -462,26 +485,27 @@ cu AS (SELECT c.id AS cid, c.user_id AS uid FROM customers c JOIN req ON c.user_
 ac AS (SELECT a.id AS aid, a.user_id AS uid FROM accountants a JOIN req ON a.user_id = req.uid),
 rt AS (SELECT t.id AS rid, cu.uid FROM tax_returns t JOIN cu ON t.customer_id = cu.cid),
 blk AS (
-  SELECT DISTINCT ac.uid FROM tax_returns t JOIN ac ON t.accountant_id = ac.aid
-  UNION SELECT dm.uploaded_by FROM documents_meta dm WHERE dm.uploaded_by IN (SELECT uid FROM req)
+  SELECT DISTINCT ac.uid, 'tax_returns.accountant_id' AS ref FROM tax_returns t JOIN ac ON t.accountant_id = ac.aid
+          WHERE NOT EXISTS (SELECT 1 FROM rt WHERE rt.rid = t.id AND rt.uid = ac.uid)
+  UNION SELECT dm.uploaded_by, 'documents.uploaded_by' FROM documents_meta dm WHERE dm.uploaded_by IN (SELECT uid FROM req)
           AND NOT EXISTS (SELECT 1 FROM rt WHERE rt.rid = dm.tax_return_id AND rt.uid = dm.uploaded_by)
-  UNION SELECT p.who FROM (SELECT tax_return_id, unnest([sender_id, recipient_id]) AS who FROM messages) p
-        WHERE p.who IN (SELECT uid FROM req)
-          AND NOT EXISTS (SELECT 1 FROM rt WHERE rt.rid = p.tax_return_id AND rt.uid = p.who)
-  UNION SELECT DISTINCT cu.uid FROM reviews r JOIN cu ON r.customer_id = cu.cid
-  UNION SELECT DISTINCT rt.uid FROM reviews r JOIN rt ON r.tax_return_id = rt.rid
-  UNION SELECT DISTINCT req.uid FROM contact_inquiries ci JOIN req ON ci.assigned_to = req.uid),
+  UNION SELECT p.sender_id, 'messages.sender_id' FROM messages p WHERE p.sender_id IN (SELECT uid FROM req)
+          AND NOT EXISTS (SELECT 1 FROM rt WHERE rt.rid = p.tax_return_id AND rt.uid = p.sender_id)
+  UNION SELECT p.recipient_id, 'messages.recipient_id' FROM messages p WHERE p.recipient_id IN (SELECT uid FROM req)
+          AND NOT EXISTS (SELECT 1 FROM rt WHERE rt.rid = p.tax_return_id AND rt.uid = p.recipient_id)
+  UNION SELECT DISTINCT cu.uid, 'reviews.customer_id' FROM reviews r JOIN cu ON r.customer_id = cu.cid
+  UNION SELECT DISTINCT rt.uid, 'reviews.tax_return_id' FROM reviews r JOIN rt ON r.tax_return_id = rt.rid
+  UNION SELECT DISTINCT req.uid, 'contact_inquiries.assigned_to' FROM contact_inquiries ci JOIN req ON ci.assigned_to = req.uid),
 go AS (SELECT uid FROM req WHERE uid NOT IN (SELECT uid FROM blk)),
 go_r AS (SELECT rid FROM rt WHERE uid IN (SELECT uid FROM go))
-SELECT 'users' AS table_name, COUNT(*) AS rows_after FROM users WHERE id NOT IN (SELECT uid FROM go)
-UNION ALL SELECT 'customers', COUNT(*) FROM customers WHERE user_id NOT IN (SELECT uid FROM go)
-UNION ALL SELECT 'accountants', COUNT(*) FROM accountants WHERE user_id NOT IN (SELECT uid FROM go)
-UNION ALL SELECT 'tax_returns', COUNT(*) FROM tax_returns WHERE id NOT IN (SELECT rid FROM go_r)
-UNION ALL SELECT 'income_sources', COUNT(*) FROM income_sources WHERE tax_return_id NOT IN (SELECT rid FROM go_r)
-UNION ALL SELECT 'expenses', COUNT(*) FROM expenses WHERE tax_return_id NOT IN (SELECT rid FROM go_r)
-UNION ALL SELECT 'documents', COUNT(*) FROM documents_meta WHERE tax_return_id NOT IN (SELECT rid FROM go_r)
-UNION ALL SELECT 'messages', COUNT(*) FROM messages WHERE tax_return_id NOT IN (SELECT rid FROM go_r)
-UNION ALL SELECT 'blocked_users', COUNT(*) FROM blk"""
+""" + _left_and_gone_sql(
+    {"users": ("users", "id"), "customers": ("customers", "id"), "accountants": ("accountants", "id"),
+     "tax_returns": ("tax_returns", "id"), "reviews": ("reviews", "id"),
+     "contact_inquiries": ("contact_inquiries", "id"), **OF_RETURN},
+    {"users": "id IN (SELECT uid FROM go)", "customers": "user_id IN (SELECT uid FROM go)",
+     "accountants": "user_id IN (SELECT uid FROM go)", "tax_returns": "id IN (SELECT rid FROM go_r)",
+     **{t: "tax_return_id IN (SELECT rid FROM go_r)" for t in OF_RETURN}},
+    "SELECT 'users', CAST(uid AS VARCHAR), 'blocked by ' || ref, 1 FROM blk")
 
 
 @register("cascade_users", views=("users", "customers", "accountants", "tax_returns", "reviews",
@@ -490,14 +514,12 @@ UNION ALL SELECT 'blocked_users', COUNT(*) FROM blk"""
 def cascade_users(d: Domain):
     """Delete every unverified user with the foreign-key rules: profiles,
     returns and their children cascade; users still referenced through a
-    non-cascading key are blocked.  Rows left per table, blocked users."""
+    non-cascading key are blocked.  Every deleted row by its key, every block
+    with the reference behind it, and the rows left per table."""
     tables = {"users": d.users, "customers": d.customers, "accountants": d.accountants,
               "tax_returns": d.tax_returns, "reviews": d.reviews,
               "income_sources": d.income_sources, "expenses": d.expenses,
               "documents": d.documents, "messages": d.messages,
               "contact_inquiries": d.inquiries}
     req = d.users.filter(~S("is_verified")).select("id")
-    out, blocked = C.cascade_users(tables, req)
-    return _row_counts(out, ["users", "customers", "accountants", "tax_returns",
-                             "income_sources", "expenses", "documents", "messages"],
-                       extra={"blocked_users": blocked.select("user_id").distinct()})
+    return _left_and_gone(C.delete_rows(tables, "users", req), "users")
