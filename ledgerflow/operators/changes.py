@@ -275,20 +275,26 @@ def set_notes(current: DataFrame, changes: DataFrame, as_of, seq=None) -> Applie
     return apply_changes(current, changes, "id", {"notes": S("chg_notes")}, [], as_of, seq=seq)
 
 
-def insert_returns(current: DataFrame, new: DataFrame, as_of) -> DataFrame:
+def insert_returns(current: DataFrame, new: DataFrame, as_of, batch_id: str | None = None) -> DataFrame:
     """New returns with the declared and route defaults.
 
     status pending, payment pending, price 169.00 and deadline 2024-01-31
-    when not given; created_at / updated_at = as_of; id generated if absent.
+    when not given; created_at / updated_at = as_of.  Rows without an id get
+    one from the batch and their place in it (:func:`_named`), so two rows of
+    one customer and tax year stay two returns.
     """
+    if "id" not in new.columns:
+        new = _named(new, "tax_returns", batch_id)
+    else:
+        given_ids = new.filter(S("id").isNotNull())
+        new = given_ids.unionByName(
+            _named(new.filter(S("id").isNull()).drop("id"), "tax_returns", batch_id)
+            .withColumn("id", S("id").cast(new.schema["id"].dataType)), allowMissingColumns=True)
+
     def given(name, default: Column):
         return F.coalesce(S(name), default) if name in new.columns else default
-    # one return per (customer, tax year) is the rule, so that pair (with the
-    # clock) names a new return reproducibly
-    new_id = stable_uuid(F.lit("tax_returns"), S("customer_id"), S("tax_year"),
-                         F.lit(str(as_of)))
     rows = new.select(
-        given("id", new_id).cast(current.schema["id"].dataType).alias("id"),
+        S("id").cast(current.schema["id"].dataType).alias("id"),
         S("customer_id").cast(current.schema["customer_id"].dataType).alias("customer_id"),
         S("tax_year"), S("situation_type"),
         given("submission_deadline", F.lit(SC.DEFAULT_DEADLINE).cast("date"))

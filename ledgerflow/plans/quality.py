@@ -1,15 +1,14 @@
 """Named queries: data-quality checks and request validation.
 
-The oracles state the declared limits and patterns again, as plain per-rule
-``SELECT ... WHERE`` statements, so a wrong limit in the jobs' own tables
-(``sources.schemas``) shows as a difference.
+The oracles state the declared limits, patterns and messages again, as plain
+per-rule ``SELECT ... WHERE`` statements that share nothing with the jobs, so a
+wrong limit in the jobs' own tables (``sources.schemas``) shows as a difference.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import TRIM_PATTERN
 from ..operators import quality as Q
 from ..sources import schemas as SC
 from ..sources.standins import STANDIN_COLUMNS, VIEW_OF, Domain
@@ -26,10 +25,11 @@ NO_ROWS = ("SELECT CAST(NULL AS VARCHAR) AS table_name, CAST(NULL AS VARCHAR) AS
 
 # The declared constraints and request rules, for the columns of
 # the stand-ins.
-REQUIRED = {"tax_returns": "id tax_year status", "customers": "id", "accountants": "id",
-            "users": "id email first_name last_name role", "income_sources": "source_type gross_income",
-            "expenses": "category amount expense_date", "documents": "id document_type",
-            "messages": "id message", "reviews": "id rating", "contact_inquiries": "id subject"}
+REQUIRED = {"tax_returns": ["id", "tax_year", "status"], "customers": ["id"], "accountants": ["id"],
+            "users": ["id", "email", "first_name", "last_name", "role"],
+            "income_sources": ["source_type", "gross_income"], "expenses": ["category", "amount", "expense_date"],
+            "documents": ["id", "document_type"], "messages": ["id", "message"], "reviews": ["id", "rating"],
+            "contact_inquiries": ["id", "subject"]}
 LISTED = [("users", "role", "'customer', 'accountant', 'admin'"),
           ("tax_returns", "status", "'pending', 'in_progress', 'review', 'completed', 'filed', 'cancelled'"),
           ("tax_returns", "payment_status", "'pending', 'paid', 'refunded', 'failed'"),
@@ -61,6 +61,37 @@ REFERENCES = [("accountants", "user_id", "users"), ("customers", "user_id", "use
 TAX_YEAR = "^[0-9]{4}-[0-9]{2}$"
 UK_MOBILE = r"^(\+?44|0)7[0-9]{9}$"
 UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+ISO_DATE = r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:?\d\d)?)?$"
+LOWER_EMAIL = r"^[a-z0-9_.!#$%&'*+/=?^`{|}~-]+@([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z0-9]([a-z0-9-]*[a-z0-9])?$"
+BLANKS_AROUND = r"^[\s\x0B]+|[\s\x0B]+$"
+SAID = {
+    "first_name": "First name must be between 2 and 50 characters",
+    "last_name": "Last name must be between 2 and 50 characters",
+    "email": "Please provide a valid email",
+    "phone": "Please provide a valid UK phone number",
+    "subject": "Subject must be between 5 and 255 characters",
+    "message": "Message must be between 10 and 2000 characters",
+    "role": "Role must be either customer or accountant",
+    "tax_year": "Tax year must be in format YYYY-YY (e.g., 2023-24)",
+    "situation_type": "Invalid situation type",
+    "submission_deadline": "Invalid submission deadline format",
+}
+
+# Rules that the stand-ins as they are meet everywhere or nowhere are asked over
+# a form of the column that has both: deadlines, of which some are written the
+# British way, and user ids, of which the verified users' are UUID text.
+DEADLINE_SQL = """(SELECT * REPLACE (CASE WHEN id % 37 = 0 THEN STRFTIME(submission_deadline, '%d/%m/%Y')
+  WHEN id % 37 = 1 THEN CAST(submission_deadline AS VARCHAR) || 'T09:30Z'
+  ELSE CAST(submission_deadline AS VARCHAR) END AS submission_deadline) FROM tax_returns)"""
+USER_ID_SQL = """(SELECT * REPLACE (CASE WHEN is_verified THEN REGEXP_REPLACE(MD5(id),
+  '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') ELSE id END AS id) FROM users)"""
+
+
+def _deadline_texts(returns):
+    iso = S("submission_deadline").cast("string")
+    return returns.withColumn("submission_deadline", F.when(
+        S("id") % 37 == 0, F.date_format("submission_deadline", "dd/MM/yyyy")).when(
+        S("id") % 37 == 1, F.concat(iso, F.lit("T09:30Z"))).otherwise(iso))
 
 
 def _cols(t):
@@ -77,13 +108,13 @@ def _sql_str(s: str) -> str:
 
 
 def _trim(x: str) -> str:
-    return f"REGEXP_REPLACE({x}, {_sql_str(TRIM_PATTERN)}, '', 'g')"
+    return f"REGEXP_REPLACE({x}, {_sql_str(BLANKS_AROUND)}, '', 'g')"
 
 
-def _row_sql(t, col, rule, bad) -> str:
+def _row_sql(t, col, rule, bad, source=None) -> str:
     return (f"SELECT '{t}' AS table_name, {_key(t)} AS row_key, '{col}' AS column_name, "
-            f"'{rule}' AS rule, CAST({col} AS VARCHAR) AS value FROM {VIEW_OF.get(t, t)} "
-            f"WHERE COALESCE({bad}, false)")
+            f"'{rule}' AS rule, CAST({col} AS VARCHAR) AS value "
+            f"FROM {source or VIEW_OF.get(t, t)} WHERE COALESCE({bad}, false)")
 
 
 def _union_sql(parts) -> str:
@@ -96,7 +127,7 @@ def _in_list(vals) -> str:
 
 
 NOT_NULL_SQL = _union_sql(_row_sql(t, c, "not_null", f"{c} IS NULL")
-                          for t, cols in REQUIRED.items() for c in cols.split())
+                          for t, cols in REQUIRED.items() for c in cols)
 ENUM_SQL = _union_sql(_row_sql(t, c, "enum", f"{c} IS NOT NULL AND {c} NOT IN ({v})") for t, c, v in LISTED)
 RATING_SQL = _row_sql("reviews", "rating", "range_1_5", "rating < 1 OR rating > 5")
 AMOUNT_SQL = _union_sql(_row_sql(t, c, "non_negative", f"{c} < 0") for t, c in (
@@ -107,9 +138,9 @@ LENGTH_SQL = _union_sql(
     + [_row_sql(t, c, f"varchar_{n}", f"LENGTH(CAST({c} AS VARCHAR)) > {n}") for t, c, n in BOUNDED])
 
 
-def _pattern_sql(t, c, rule, pattern, transform="{}"):
+def _pattern_sql(t, c, rule, pattern, transform="{}", source=None):
     v = transform.format(f"CAST({c} AS VARCHAR)")
-    return _row_sql(t, c, rule, f"NOT REGEXP_MATCHES({v}, {_sql_str(pattern)})")
+    return _row_sql(t, c, rule, f"NOT REGEXP_MATCHES({v}, {_sql_str(pattern)})", source)
 
 
 def _tables(d: Domain):
@@ -151,13 +182,14 @@ def dq_tax_year(d: Domain):
 
 @register("dq_iso_date", views=ALL_VIEWS,
           oracle=_pattern_sql("tax_returns", "submission_deadline", "iso_date",
-                              Q.ISO_DATE_PATTERN))
+                              ISO_DATE, source=DEADLINE_SQL))
 def dq_iso_date(d: Domain):
-    return Q.dq_iso_date(_tables(d))
+    """Deadlines that are not ISO dates, some being written dd/mm/yyyy."""
+    return Q.dq_iso_date({"tax_returns": _deadline_texts(d.tax_returns)})
 
 
 @register("dq_email", views=ALL_VIEWS,
-          oracle=_pattern_sql("users", "email", "email_format", Q.EMAIL_PATTERN,
+          oracle=_pattern_sql("users", "email", "email_format", LOWER_EMAIL,
                               "LOWER(" + _trim("{}") + ")"))
 def dq_email(d: Domain):
     """E-mails that are not well formed (the stand-in names carry a '#')."""
@@ -171,10 +203,11 @@ def dq_uk_phone(d: Domain):
 
 
 @register("dq_uuid", views=ALL_VIEWS,
-          oracle=_pattern_sql("users", "id", "uuid", UUID))
+          oracle=_pattern_sql("users", "id", "uuid", UUID, source=USER_ID_SQL))
 def dq_uuid(d: Domain):
-    """Ids that are not UUID text (every stand-in id, by construction)."""
-    return Q.dq_uuid(_tables(d))
+    """Ids that are not UUID text: those of the users not verified."""
+    dashed = F.regexp_replace(F.md5("id"), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return Q.dq_uuid({"users": d.users.withColumn("id", F.when(S("is_verified"), dashed).otherwise(S("id")))})
 
 
 def _unique_sql(t, key):
@@ -228,7 +261,7 @@ def _errors_text(df):
 
 
 def _msg_sql(field):
-    return _sql_str(Q.MESSAGES[field])
+    return _sql_str(SAID[field])
 
 
 def _errors_sql(rules) -> str:
@@ -241,7 +274,7 @@ def _len_sql(c, lo, hi):
     return f"LENGTH({_trim(c)}) BETWEEN {lo} AND {hi}"
 
 
-EMAIL_OK = f"REGEXP_MATCHES(LOWER({_trim('email')}), {_sql_str(Q.EMAIL_PATTERN)})"
+EMAIL_OK = f"REGEXP_MATCHES(LOWER({_trim('email')}), {_sql_str(LOWER_EMAIL)})"
 INQ_RULES = [("first_name", _len_sql("first_name", 2, 50)), ("last_name", _len_sql("last_name", 2, 50)),
              ("email", EMAIL_OK), ("subject", _len_sql("subject", 5, 255)),
              ("message", _len_sql("message", 10, 2000))]
@@ -252,7 +285,7 @@ REG_RULES = [("email", EMAIL_OK), ("first_name", _len_sql("first_name", 2, 50)),
 RET_RULES = [("tax_year", f"REGEXP_MATCHES(tax_year, {_sql_str(TAX_YEAR)})"),
              ("situation_type", f"situation_type IN ({LISTED[4][2]})"),
              ("submission_deadline", "submission_deadline IS NULL OR REGEXP_MATCHES("
-              f"CAST(submission_deadline AS VARCHAR), {_sql_str(Q.ISO_DATE_PATTERN)})")]
+              f"CAST(submission_deadline AS VARCHAR), {_sql_str(ISO_DATE)})")]
 
 
 def _valid_sql(errors):
@@ -282,7 +315,8 @@ def validate_registrations(d: Domain):
 
 
 @register("validate_returns", views=("tax_returns",), oracle=f"""
-WITH src AS (SELECT * FROM tax_returns)
+WITH src AS (SELECT * FROM {DEADLINE_SQL})
 {_valid_sql(_errors_sql(RET_RULES))}""")
 def validate_returns(d: Domain):
-    return _errors_text(Q.validate_returns(d.tax_returns))
+    """Every return re-read as a create request, some with a dd/mm/yyyy deadline."""
+    return _errors_text(Q.validate_returns(_deadline_texts(d.tax_returns)))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_folder
 from ..sources import schemas as SC
 from ..sources import sinks, tables
 from ..sources.uploads import upload_manifest as _manifest
@@ -23,8 +23,8 @@ def scan_table(d: Domain):
 
 
 def _scratch(d: Domain) -> str:
-    """A new folder beside the session's checkpoints, which all executors share."""
-    return f"{ensure_checkpoint_dir(d.spark)}/tables-{uuid.uuid4().hex}"
+    """A new folder beside the session's checkpoints, which all executors share; it goes with the driver."""
+    return f"{scratch_folder(d.spark)}/{uuid.uuid4().hex}"
 
 
 @register("write_table", views=("tax_returns",), oracle="""

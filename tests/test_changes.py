@@ -280,6 +280,15 @@ def test_generated_ids_are_stable_across_jobs(spark):
                                 "customer_id string, tax_year string, situation_type string")
     a = C.insert_returns(returns(spark), new, AS_OF).filter(F.col("tax_year") == "2030-31")
     assert a.collect()[0].id == a.collect()[0].id and len(a.collect()[0].id) == 36
+    twice = C.insert_returns(returns(spark), new.unionAll(new), AS_OF).filter(F.col("tax_year") == "2030-31")
+    assert len({r.id for r in twice.collect()}) == 2           # two rows of one pair are two returns
+    some = spark.createDataFrame([("n1", "c1", "2030-31", "other"), (None, "c1", "2030-31", "other")],
+                                 "id string, customer_id string, tax_year string, situation_type string")
+    ids = {r.id for r in C.insert_returns(returns(spark), some, AS_OF).filter("tax_year = '2030-31'").collect()}
+    assert "n1" in ids and None not in ids and len(ids) == 2
+    named = [C.insert_returns(returns(spark), some.withColumn("request_seq", F.lit(4)), AS_OF, "b7")
+             .filter("tax_year = '2030-31' and id <> 'n1'").collect()[0].id for _ in range(2)]
+    assert named[0] == named[1]                                # a named batch gives the same ids again
 
 
 def test_inserted_rows_get_ids(spark):
