@@ -24,6 +24,8 @@ def _compose(views: tuple[str, ...], body: str) -> str:
     if not views:
         return body
     head = with_views(*views)
+    if body[:14].upper() == "WITH RECURSIVE":
+        return "WITH RECURSIVE" + head.strip()[4:] + ",\n" + body[14:].lstrip()
     if body[:4].upper() == "WITH":
         return head.rstrip() + ",\n" + body[4:].lstrip()
     return head + body

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..sources.standins import Domain
+from ..streaming import anchored as AN
 from ..streaming import rates as RT
 from .registry import register
 
@@ -45,3 +46,48 @@ UNION ALL SELECT 'contact_inquiry', CONCAT('Inquiry: ', subject), created_at FRO
 def activity_stream(d: Domain):
     """The live union of the three activity sources, run over whole tables."""
     return RT.activity_stream(d.users, d.tax_returns, d.inquiries)
+
+
+def _anchored_sql(counted: str, limit: int) -> str:
+    """Windows by recursion: each starts at the first request after the one before."""
+    return f"""
+WITH RECURSIVE windows AS (
+  SELECT client, MIN(ts) AS start FROM request_log GROUP BY client
+  UNION ALL
+  SELECT w.client, MIN(r.ts) FROM windows w JOIN request_log r
+    ON r.client = w.client AND r.ts >= w.start + INTERVAL '15 minutes'
+  GROUP BY w.client)
+SELECT w.client, w.start AS window_start, w.start + INTERVAL '15 minutes' AS window_end,
+  COUNT(*) AS requests
+FROM windows w JOIN request_log r ON r.client = w.client AND r.ts >= w.start
+  AND r.ts < w.start + INTERVAL '15 minutes'
+WHERE {counted} GROUP BY w.client, w.start HAVING COUNT(*) > {limit}"""
+
+
+@register("request_rate_anchored", views=("request_log",), oracle=_anchored_sql("TRUE", 1))
+def request_rate_anchored(d: Domain):
+    """More than one request in 15 minutes that begin at a client's own request."""
+    return AN.anchored_breaches(d.request_log, max_requests=1)
+
+
+@register("auth_failure_anchored", views=("request_log",), oracle=_anchored_sql("r.status >= 400", 0))
+def auth_failure_anchored(d: Domain):
+    """Windows as the limiter opens them (by any request) that hold a failed one."""
+    return AN.anchored_auth_breaches(d.request_log, max_failures=0)
+
+
+@register("request_windows_36h", views=("request_log",), oracle="""
+WITH RECURSIVE windows AS (
+  SELECT client, MIN(ts) AS start FROM request_log GROUP BY client
+  UNION ALL
+  SELECT w.client, MIN(r.ts) FROM windows w JOIN request_log r
+    ON r.client = w.client AND r.ts >= w.start + INTERVAL '36 hours'
+  GROUP BY w.client)
+SELECT w.client, w.start AS window_start, w.start + INTERVAL '36 hours' AS window_end,
+  COUNT(*) AS requests
+FROM windows w JOIN request_log r ON r.client = w.client AND r.ts >= w.start
+  AND r.ts < w.start + INTERVAL '36 hours'
+GROUP BY w.client, w.start""")
+def request_windows_36h(d: Domain):
+    """Every window of 36 hours: long unbroken chains of windows, all clients."""
+    return AN.anchored_windows(d.request_log, seconds=36 * 3600)
