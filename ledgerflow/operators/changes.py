@@ -703,10 +703,15 @@ def cascade_users(tables: dict[str, DataFrame], user_ids: DataFrame
 
 # -- audit -------------------------------------------------------------------------
 
+def _named_col(name: str) -> Column:
+    """The column of just this name, whatever signs it holds."""
+    return S("`" + name.replace("`", "``") + "`")
+
+
 def _row_hash(cols: list[str]) -> Column:
     """96-bit fingerprint of a row's compared columns; NULLs are flagged, so
     (NULL, 1) and (1, NULL) differ."""
-    parts = [x for col in cols for x in (S(col), S(col).isNull())]
+    parts = [x for c in map(_named_col, cols) for x in (c, c.isNull())]
     return F.struct(F.xxhash64(*parts).alias("h64"), F.hash(*parts).alias("h32"))
 
 
@@ -718,7 +723,7 @@ def _padded(df: DataFrame, other: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def audit_diff(before: DataFrame, after: DataFrame, table: str, key: str = "id",
-               cols: list[str] | None = None) -> DataFrame:
+               cols: list[str] | None = None, typed: bool = False) -> DataFrame:
     """One audit row per inserted, updated or deleted row between snapshots.
 
     Only (key, row fingerprint) of each snapshot is joined (a full outer join
@@ -726,6 +731,9 @@ def audit_diff(before: DataFrame, after: DataFrame, table: str, key: str = "id",
     keys; the full rows are then fetched for those keys alone (the key set
     is checkpointed and broadcast when it measured small) and turned into JSON objects:
     the whole row for inserts and deletes, the changed columns for updates.
+
+    The objects are JSON text of text values, or with ``typed`` VARIANT values
+    that keep numbers, booleans, dates, times and nulls (:mod:`.audit` reads them).
     """
     # a column that one snapshot lacks counts as NULL there
     cols = cols or [x for x in dict.fromkeys(before.columns + after.columns) if x != key]
@@ -737,11 +745,11 @@ def audit_diff(before: DataFrame, after: DataFrame, table: str, key: str = "id",
             .select(F.coalesce(S("__ak"), S("__bk")).alias("__ck")))
     keys = cut_for_join(keys)
     b = (before.join(keys, S(key) == S("__ck"), "left_semi")
-         .select(S(key).alias("__bk"), *[S(x).alias("b_" + x) for x in cols]))
+         .select(S(key).alias("__bk"), *[_named_col(x).alias("b_" + x) for x in cols]))
     a = (after.join(keys, S(key) == S("__ck"), "left_semi")
-         .select(S(key).alias("__ak"), *[S(x).alias("a_" + x) for x in cols]))
+         .select(S(key).alias("__ak"), *[_named_col(x).alias("a_" + x) for x in cols]))
     j = b.join(a, S("__bk") == S("__ak"), "full_outer")
-    diff = [~S("b_" + x).eqNullSafe(S("a_" + x)) for x in cols]
+    diff = [~_named_col("b_" + x).eqNullSafe(_named_col("a_" + x)) for x in cols]
     changed = reduce(lambda p, q: p | q, diff)
     action = (F.when(S("__bk").isNull(), F.lit("INSERT"))
               .when(S("__ak").isNull(), F.lit("DELETE"))
@@ -750,18 +758,20 @@ def audit_diff(before: DataFrame, after: DataFrame, table: str, key: str = "id",
     def obj(prefix, only_changed):
         entries = []
         for x, d in zip(cols, diff):
-            val = S(prefix + x).cast("string")
+            val = _named_col(prefix + x).cast("variant" if typed else "string")
             keep = d if only_changed else F.lit(True)
             entries.append(F.when(keep, F.struct(F.lit(x).alias("k"), val.alias("v"))))
-        return F.to_json(F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+        named = F.map_from_entries(F.filter(F.array(*entries), lambda e: e.isNotNull()))
+        return F.to_variant_object(named) if typed else F.to_json(named)
 
+    none = F.lit(None).cast("variant" if typed else "string")
     upd = S("__bk").isNotNull() & S("__ak").isNotNull()
     return (j.withColumn("action", action).filter(S("action").isNotNull())
             .select(S("action"), F.lit(table).alias("table_name"),
                     F.coalesce(S("__ak"), S("__bk")).alias("record_id"),
-                    F.when(S("__bk").isNull(), F.lit(None).cast("string"))
+                    F.when(S("__bk").isNull(), none)
                     .when(upd, obj("b_", True)).otherwise(obj("b_", False)).alias("old_values"),
-                    F.when(S("__ak").isNull(), F.lit(None).cast("string"))
+                    F.when(S("__ak").isNull(), none)
                     .when(upd, obj("a_", True)).otherwise(obj("a_", False)).alias("new_values")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import access, analytics, changes, listings, maintained, quality, sources, streams  # noqa: F401
+from . import access, analytics, audit, changes, listings, maintained, quality, sources, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

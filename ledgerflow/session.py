@@ -157,7 +157,7 @@ def _row_bytes(df: DataFrame):
         col = F.col(f"`{f.name}`")
         if f.dataType.typeName() in ("string", "binary", "varchar", "char"):
             parts.append(F.coalesce(F.octet_length(col), F.lit(0)).cast("long"))
-        elif f.dataType.typeName() in ("array", "map", "struct"):
+        elif f.dataType.typeName() in ("array", "map", "struct", "variant"):
             parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(col))), F.lit(0)).cast("long"))
     return reduce(add, parts)
 
