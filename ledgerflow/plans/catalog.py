@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import access, analytics, audit, changes, listings, maintained, quality, sources, streams  # noqa: F401
+from . import (  # noqa: F401
+    access, analytics, audit, changes, listings, maintained, partitions, quality, sources, streams,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
