@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import full_name
-from ..session import cut_lineage
+from ..session import BROADCAST_BYTES, cut_and_measure, cut_lineage
 from .filters import SECRET_USER_COLUMNS, filter_eq, lookup
 from .util import left_join_split_nulls, pg_order, present, salted_join
 
@@ -148,20 +148,32 @@ def return_documents(docs: DataFrame, us: DataFrame, ids=None) -> DataFrame:
             .orderBy(pg_order(order, "desc"), S("id").asc()))
 
 
-def return_messages(msgs: DataFrame, us: DataFrame, ids=None) -> DataFrame:
+def return_messages(msgs: DataFrame, us: DataFrame, ids=None,
+                    max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
     """Messages with sender and recipient names; a missing party drops it."""
     if ids is not None:
         msgs = lookup(msgs, "tax_return_id", ids)
-    # names are joined to ids alone: the few senders hold many messages each,
+    order = "created_at" if "created_at" in msgs.columns else "seq"
+    in_order = [S("tax_return_id").asc(), pg_order(order, "asc"), S("id").asc()]
+    if ids is None:
+        # users written narrow and measured: while they are small the messages
+        # are read once and move for the final sort alone
+        people, size = cut_and_measure(_people(us, "", extra=()).select(
+            S("uid"), full_name("first_name", "last_name").alias("name")))
+        if size <= max_broadcast:
+            j = msgs
+            for party in ("sender", "recipient"):
+                side = people.select(S("uid").alias("__" + party), S("name").alias(party + "_name"))
+                j = j.join(F.broadcast(side), S(party + "_id") == S("__" + party), "inner").drop("__" + party)
+            return j.orderBy(*in_order)
+    # else names are joined to ids alone: the few senders hold many messages each,
     # and the texts should not be shuffled on them; the text comes in last
     names = (msgs.select(S("id").alias("__mid"), "sender_id", "recipient_id")
              .join(_people(us, "snd_", extra=()), S("sender_id") == S("snd_uid"), "inner")
              .join(_people(us, "rcp_", extra=()), S("recipient_id") == S("rcp_uid"), "inner")
              .select("__mid", full_name("snd_first_name", "snd_last_name").alias("sender_name"),
                      full_name("rcp_first_name", "rcp_last_name").alias("recipient_name")))
-    order = "created_at" if "created_at" in msgs.columns else "seq"
-    return (msgs.join(names, S("id") == S("__mid"), "inner").drop("__mid")
-            .orderBy(S("tax_return_id").asc(), pg_order(order, "asc"), S("id").asc()))
+    return msgs.join(names, S("id") == S("__mid"), "inner").drop("__mid").orderBy(*in_order)
 
 
 def document_owner(docs: DataFrame, tr: DataFrame) -> DataFrame:
@@ -238,7 +250,7 @@ def profile_ids(us: DataFrame, cu: DataFrame, ac: DataFrame) -> DataFrame:
 def return_listing_page(tr: DataFrame, cu: DataFrame, us: DataFrame, ac: DataFrame,
                         filters: dict | None = None, sort: str = "created_at",
                         direction: str = "DESC", page_no: int = 1, limit: int = 20,
-                        allowed=None) -> DataFrame:
+                        allowed=None, max_broadcast: int = BROADCAST_BYTES) -> DataFrame:
     """One page of the admin return list, names joined for that page only.
 
     Equal to ``page(return_listing(...))``:
@@ -246,8 +258,9 @@ def return_listing_page(tr: DataFrame, cu: DataFrame, us: DataFrame, ac: DataFra
     1. the first rows in page order are taken from a narrow projection (a
        per-task top-k), some more than the page needs, and cut to those that
        survive the inner join with their customer's user (semi joins on the
-       few customers they name); only if too many fell out is it done again
-       with more;
+       customers they name, broadcast while those rows measure small, so a deep
+       page shuffles instead); only if too many fell out is it done again, with
+       as many more as the share that survived asks for;
     2. the page's ids fetch the full rows (broadcast semi join: the returns
        are scanned, not shuffled), checkpointed once (at most ``limit``
        rows) so later steps do not re-run the sort;
@@ -261,20 +274,23 @@ def return_listing_page(tr: DataFrame, cu: DataFrame, us: DataFrame, ac: DataFra
     need = page_no * limit
     fetch = need + max(limit, 100)
     while True:
-        first = cut_lineage(page(f.select("id", sort, "customer_id"), sort, direction, 1, fetch, allowed))
+        first, size = cut_and_measure(page(f.select("id", sort, "customer_id"), sort, direction, 1, fetch,
+                                           allowed))
+        few = F.broadcast if size <= max_broadcast else (lambda df: df)
         named = (cu.select(S("id").alias("__ck"), S("user_id").alias("__cu"))
-                 .join(F.broadcast(first.select(S("customer_id").alias("__fc"))),
+                 .join(few(first.select(S("customer_id").alias("__fc"))),
                        S("__ck") == S("__fc"), "left_semi"))
         users = (us.select(S("id").alias("__uk"))
-                 .join(F.broadcast(named.select(S("__cu").alias("__nu"))),
+                 .join(few(named.select(S("__cu").alias("__nu"))),
                        S("__uk") == S("__nu"), "left_semi"))
-        known = named.join(F.broadcast(users), S("__cu") == S("__uk"), "left_semi").select("__ck")
-        narrow = cut_lineage(first.join(F.broadcast(known), S("customer_id") == S("__ck"), "left_semi")
+        known = named.join(few(users), S("__cu") == S("__uk"), "left_semi").select("__ck")
+        narrow = cut_lineage(first.join(few(known), S("customer_id") == S("__ck"), "left_semi")
                              .select("id", sort))
         # both frames hold at most ``fetch`` rows
-        if narrow.count() >= need or first.count() < fetch:
+        kept = narrow.count()
+        if kept >= need or first.count() < fetch:
             break
-        fetch *= 4
+        fetch = max(2 * fetch, min(64 * fetch, 2 * fetch * need // max(kept, 1)))
     top = page(narrow, sort, direction, page_no, limit, allowed).select(S("id").alias("__pid"))
     # the page (at most `limit` rows) is read by every later step: materialize
     # it once so the sort and the table scan are not re-run per reference

@@ -41,6 +41,26 @@ def test_messages_drop_missing_party(spark):
     assert [r.id for r in out] == ["m1"] and out[0].recipient_name == "Cat Ng"
 
 
+def test_messages_same_by_broadcast_and_by_shuffle(spark):
+    m = table(spark, "messages", [dict(id=f"m{i}", tax_return_id=f"r0{i % 3}", sender_id=f"u{i % 7}",
+                                       recipient_id=f"u{i % 4}", message="x" * i) for i in range(40)])
+    small, large = (J.return_messages(m, users(spark), max_broadcast=b).collect() for b in (1 << 20, -1))
+    assert small == large and small
+
+
+def test_deep_pages_same_by_broadcast_and_by_shuffle(spark):
+    tr = spark.range(400).select(F.concat(F.lit("r"), "id").alias("id"), F.lit("a1").alias("accountant_id"),
+                                 F.when(F.col("id") % 50 == 0, "c1").otherwise("gone").alias("customer_id"),
+                                 (F.col("id") % 11).alias("created_at"))
+    args = (tr, customers(spark), users(spark), accountants(spark), None, "created_at", "DESC")
+    whole = J.return_listing(*args[:4]).select("id", "created_at").collect()
+    want = [r.id for r in sorted(whole, key=lambda r: (-r.created_at, r.id))]
+    for page_no in (1, 2, 3):
+        small, large = (J.return_listing_page(*args, page_no, 3, ["created_at"], max_broadcast=b).collect()
+                        for b in (1 << 20, -1))
+        assert small == large and [r.id for r in small] == want[3 * page_no - 3:3 * page_no]
+
+
 def test_documents_need_known_uploader(spark):
     d = table(spark, "documents", [dict(id="d1", tax_return_id="r01", uploaded_by="u1"),
                                    dict(id="d2", tax_return_id="r01", uploaded_by="nobody")])
