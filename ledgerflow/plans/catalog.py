@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (  # noqa: F401
-    access, analytics, audit, changes, listings, maintained, partitions, quality, sources, streams,
+    access, analytics, audit, changes, indexed, listings, maintained, partitions, quality, sources, streams,
 )
 from .registry import ORACLES, QUERIES
 
