@@ -127,8 +127,9 @@ def holding(spark: SparkSession, base: str, partition: str, key: str, keys: Data
     partition values reach the driver.
     """
     ranges, blooms = _summaries(spark, base, partition, key)
-    words = _layout(spark, base)[0]
-    wanted = store(keys.select(S(key).alias("k")).filter(S("k").isNotNull()).distinct())
+    words, schema = _layout(spark, base)
+    # keys are hashed as the table holds them; what is no such value is nobody's key
+    wanted = store(keys.select(S(key).try_cast(schema[key].dataType).alias("k")).filter(S("k").isNotNull()).distinct())
     asked = wanted.select("k", _word(S("k"), words).alias("w"), _mask(S("k")).alias("m"))
     near = (blooms.join(asked, (S("word") == S("w")) & (S("bits").bitwiseAND(S("m")) == S("m")))
             .select("part", "k"))

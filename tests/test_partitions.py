@@ -99,6 +99,9 @@ def test_filters_have_no_false_negatives_and_few_candidates(spark):
     one = spark.createDataFrame([("k17",)], "id string")
     maybe, held = P.holding(spark, base, "p", "id", one)
     assert held == [17] and len(maybe) <= 8
+    base_of_numbers = _table(spark, ROWS)
+    typed = spark.createDataFrame([("0007",), ("x",)], "id string")  # 7 as a number; no number
+    assert sorted(P.holding(spark, base_of_numbers, "year", "id", typed)[1]) == ["2020", "2021"]
     absent = spark.createDataFrame([("zzz",), (None,)], "id string")
     assert P.holding(spark, base, "p", "id", absent) == ([], [])
 
