@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import ledgerflow
-from ledgerflow.session import cut_for_join, ensure_checkpoint_dir
+from ledgerflow.session import cut_for_join, ensure_checkpoint_dir, store
 
 # Texts are worked through in pieces of about this many characters, so the
 # memory of a Python worker follows the piece (or one very long text), not the
@@ -164,12 +164,9 @@ SUMMARY_HELD = 200_000
 SUMMARY_SENT = 4_096
 
 
-def frequent_words(df: DataFrame, text_col: str, split, size: int, sample_texts: int | None = None) -> list[str]:
+def frequent_words(df: DataFrame, text_col: str, split, size: int) -> list[str]:
     """The about ``size`` most frequent words of all texts, most frequent first.
 
-    With ``sample_texts``, of a random sample of about so many texts: enough
-    where the list only steers the speed.
-
     Every task counts the words of its own texts in a summary of bounded size
     (when full, the rarer half goes) and hands on its most frequent ones only,
     so what is exchanged follows the number of tasks, not of words.  The
@@ -189,15 +186,66 @@ def frequent_words(df: DataFrame, text_col: str, split, size: int, sample_texts:
             {"word": pa.array([w for w, _ in top], pa.string()),
              "n": pa.array([n for _, n in top], pa.int64())})
 
-    texts = df.select(F.col(f"`{text_col}`").alias("t"))
-    if sample_texts is not None and (n := df.count()) > sample_texts:
-        texts = texts.sample(False, sample_texts / n, seed=4)
-    got = (texts.mapInArrow(count, "word string, n bigint")
+    got = (df.select(F.col(f"`{text_col}`").alias("t")).mapInArrow(count, "word string, n bigint")
            .groupBy("word").agg(F.sum("n").alias("n"))
            .orderBy(F.desc("n"), "word").limit(size).collect())
     return [r["word"] for r in got]
 
 
+# ---- exact word counts ---------------------------------------------------
+
+# A task hands its counts on whenever it holds so many words, or has read so
+# many characters since.
+TALLY_WORDS = 100_000
+TALLY_CHARS = 16_000_000
+TABLE_CHARS = 64  # a longer word takes no place in a lookup table
+
+
+def tallies(batches, split, words: int = TALLY_WORDS, chars: int = TALLY_CHARS) -> Iterator[pa.RecordBatch]:
+    """Counts (word, n) of all words of the texts, in parts that add up to the whole.
+
+    Words of more than ``TABLE_CHARS`` characters are left out.
+    """
+    def part() -> pa.RecordBatch:
+        kept = {w: n for w, n in seen.items() if len(w) <= TABLE_CHARS}
+        return pa.RecordBatch.from_pydict({"word": pa.array(kept.keys(), pa.string()),
+                                           "n": pa.array(kept.values(), pa.int64())})
+
+    seen: Counter = Counter()
+    read = 0
+    for b in batches:
+        for t in b.column(0):
+            if text := t.as_py():
+                seen.update(split(text))
+                read += len(text)
+                if len(seen) >= words or read >= chars:
+                    yield part()
+                    seen, read = Counter(), 0
+    yield part()
+
+
+def top_words(df: DataFrame, text_col: str, split, size: int) -> list[str]:
+    """The ``size`` most frequent words of all texts, most frequent first (of equals the smaller one).
+
+    Exact: every text is read and every word of at most ``TABLE_CHARS``
+    characters is counted.  Counts are added up in the tasks, then by word, and
+    stored; how many words have which count gives the least count that a
+    chosen word can have, so few others are sorted with them.  ``split`` maps a
+    text to its words.
+    """
+    counts = store(df.select(F.col(f"`{text_col}`").alias("t"))
+                   .mapInArrow(lambda batches: tallies(batches, split), "word string, n bigint")
+                   .groupBy("word").agg(F.sum("n").alias("n")))
+    least, found = 0, 0
+    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(size).collect():
+        least, found = r["n"], found + r["words"]
+        if found >= size:
+            break
+    # toArrow selects in tasks; collect would bring each task's selection to the driver
+    return (counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(size)
+            .toArrow()["word"].to_pylist())
+
+
 # ---- words as numbers ----------------------------------------------------
 
 _N_POINTS = 0x110000

@@ -6,9 +6,10 @@ number, with which its token ids are found.  Its arrays go to every executor as
 one file, which the workers memory-map (one copy in the page cache of a
 machine).  Words that it does not accept are merged exactly by the tokenizer's
 own rules.  A worker numbers the words it meets, so it asks the automaton (or
-merges) once a word while its bounded table holds the word.  Which words are
-compiled is taken from a sample of about ``SAMPLE_TEXTS`` texts; it steers the
-speed, never the ids.
+merges) once a word while its bounded table holds the word.  The words that
+are compiled are the ``LEXICON_WORDS`` most frequent ones (of at most 64
+characters) by exact counts over all texts; they steer the speed, never the
+ids.
 
 A text is cut at special strings first (each is its own id, as the tokenizer
 does by default), then into words by the byte-level pattern.  Encoding gives
@@ -40,11 +41,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerflow.llm.shared import flat_index, frequent_words, local_file, send_file, ship
+from ledgerflow.llm.shared import flat_index, local_file, send_file, ship, top_words
 
 MODEL = "byte_bpe_50k.json"
 LEXICON_WORDS = 32_768
-SAMPLE_TEXTS = 10_000  # about so many texts are read for the lexicon
 HELD_WORDS = 400_000   # a worker forgets its words past so many, or past
 HELD_CHARS = 8_000_000  # so many characters of them
 ENCODE_BYTES = 1_000_000  # of texts encoded and handed on together
@@ -381,7 +381,7 @@ def _prepared(df: DataFrame, text_col: str, model_path: str | None, lexicon_word
     spark = df.sparkSession
     ship(spark)
     model = _model(model_path)
-    words = frequent_words(df, text_col, split, lexicon_words, SAMPLE_TEXTS)
+    words = top_words(df, text_col, split, lexicon_words)
     encoder = Encoder(model)
     name = send_file(spark, build_lexicon([w for w in words if w not in encoder.special], encoder), ".lexicon")
     return spark.sparkContext.broadcast(model), name

@@ -1,8 +1,10 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
@@ -11,6 +13,7 @@ from tokenizers import Tokenizer
 from cases import documents
 from ledgerflow.llm import queries as Q
 from ledgerflow.llm import token_counts as T
+from ledgerflow.llm import shared
 from ledgerflow.llm import transducer as X
 
 PIECES = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(T.MODEL))
@@ -71,6 +74,31 @@ def test_lexicon_file_round_trip(tmp_path):
     assert not {"the", " of"} & set(enc.cache) and " unseenword" in enc.cache
 
 
+def test_tallies_add_up_to_the_whole():
+    texts = ["a b a", None, "", "b c " * 50, "x" * 65 + " a", " ".join(f"w{i}" for i in range(40)), "c"]
+    batches = [pa.RecordBatch.from_pydict({"t": pa.array(texts[k:k + 3], pa.string())}) for k in (0, 3, 6)]
+    want = Counter(w for t in texts if t for w in X.split(t) if len(w) <= 64)
+    for words, chars in ((5, 10**6), (10**6, 20), (10**6, 10**6)):
+        got = Counter()
+        for b in shared.tallies(batches, X.split, words, chars):
+            for r in b.to_pylist():
+                got[r["word"]] += r["n"]
+        assert got == want
+
+
+def test_lexicon_counts_all_texts(spark, monkeypatch):
+    # 12,780 texts of 40 words whose counts differ by one each, and a few odd ones
+    names = [a + b for a in "abcdefgh" for b in "vwxyz"]
+    df = spark.createDataFrame([(w, 300 + k) for k, w in enumerate(names)], "t string, n int")
+    df = df.selectExpr("explode(array_repeat(t, n)) t").union(
+        spark.createDataFrame([("once",), ("x" * 65,), (None,), ("",)], "t string")).repartition(5)
+    asked = []
+    monkeypatch.setattr(X, "build_lexicon", lambda words, encoder: asked.append(words) or b"")
+    for size in (25, 1_000):
+        X.ids_column(df, "t", lexicon_words=size)
+    assert asked == [names[:14:-1], [*names[::-1], "once"]]
+
+
 def test_counts_of_odd_rows(spark):
     df = documents(spark)
     got = df.select("doc_id", "text", T.count_column(df, "text", table_words=50).alias("n")).collect()
