@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from cases import documents, LONG
 from ledgerflow.llm import decontaminate as D
-from ledgerflow.llm import pii, queries, simhash
+from ledgerflow.llm import pii, queries, simhash, transducer
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,6 +43,18 @@ def test_run_equals_the_stages_by_hand(spark):
     assert all(r.decodes and r.n_tokens == len(r.ids) for r in got)
 
 
+def test_last_stage_counts_the_words_of_all_texts(spark, monkeypatch):
+    # 12,780 texts, one word each; the counts differ by one
+    names = [a + b for a in "abcdefgh" for b in "vwxyz"]
+    docs = spark.createDataFrame([(w, 300 + k) for k, w in enumerate(names)], "text string, n int").selectExpr(
+        "explode(array_repeat(text, n)) text", "monotonically_increasing_id() doc_id")
+    asked = []
+    build = transducer.build_lexicon
+    monkeypatch.setattr(transducer, "build_lexicon", lambda words, enc: asked.append(words) or build(words, enc))
+    assert P.token_ids(spark, docs, SF).filter("decodes").count() == 12_780
+    assert asked == [names[::-1]]
+
+
 def test_repeated_ids_and_missing_labels_lose_no_rows(spark, tmp_path):
     rows = [(1, "one text of this id is here for good measure and stays"), (1, LONG[:3000]), (2, None), (None, "no id at all")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
