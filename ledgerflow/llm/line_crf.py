@@ -5,10 +5,12 @@ own features and those of the lines before and after it; a transition score
 links neighbouring labels.  Forward-backward gives each line's probability of
 being good, and a document's score is their mean weighted by line length.
 
-The field is fitted on the driver by gradient ascent on a bounded sample of
-labelled documents: at most ``TRAIN_DOCS`` documents (those first by a hash of
-their id) and ``TRAIN_LINES`` lines of each; a document's label is taken for
-all its lines.  Nothing but the text enters a score.  Scoring reads whole texts.
+The field is fitted by gradient ascent on every line of every labelled
+document; a document's label is taken for all its lines.  The lines' features
+are stored once.  In each of the ``STEPS`` steps every task adds up the
+gradient of its own documents, ``LINES`` lines at a time, and the driver gets
+one row of sums a task.  Nothing but the text enters a score.  Scoring reads
+whole texts.
 
 A null or empty text is one empty line.  Without any labelled document, or with
 labels of one kind only, every line is scored 0.5.  Rows whose label is null
@@ -23,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.shared import chunks, ship
+from ledgerflow.session import store
 
-TRAIN_DOCS = 3_000
-TRAIN_LINES = 100
+SHOWN_DOCS = 3_000
+LINES = 32_768
 STEPS = 150
 RATE = 0.1
 RIDGE = 1e-4
@@ -125,8 +128,8 @@ def _step(x: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.logaddexp(x + t[0], t[2]) - np.logaddexp(x + t[1], t[3])
 
 
-def marginals(unary: np.ndarray, per: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Probability of good for every line; all texts step together."""
+def messages(unary: np.ndarray, per: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of every line given those before it, and what those after it add; all texts step together."""
     end = np.cumsum(per)
     start = end - per
     order = np.argsort(-per, kind="stable")
@@ -142,7 +145,45 @@ def marginals(unary: np.ndarray, per: np.ndarray, t: np.ndarray) -> np.ndarray:
         forward[at] += _step(forward[at - 1], t)
         at = e[:m] - 1 - k
         backward[at] = _step(unary[at + 1] + backward[at + 1], back)
-    return 1 / (1 + np.exp(-np.clip(forward + backward, -50, 50)))
+    return forward, backward
+
+
+def _good(log_odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(log_odds, -50, 50)))
+
+
+def marginals(unary: np.ndarray, per: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Probability of good for every line."""
+    forward, backward = messages(unary, per, t)
+    return _good(forward + backward)
+
+
+def _pair_marginals(u, forward, backward, t, inner) -> np.ndarray:
+    i = np.flatnonzero(inner)
+    a, b = forward[i - 1], u[i] + backward[i]
+    s4 = np.stack([a + b + t[0], a + t[1], b + t[2], np.full(len(i), t[3])])
+    s4 -= s4.max(axis=0, initial=-np.inf) if len(i) else 0
+    z = np.exp(s4)
+    return z / z.sum(axis=0)
+
+
+def gradient(own: np.ndarray, per: np.ndarray, labels: np.ndarray, share: np.ndarray,
+             w: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Sum over whole texts of the gradient by ``w`` and ``t``; ``share`` is the weight of a text of either label."""
+    x = with_neighbours(own, per)
+    doc = np.repeat(np.arange(len(per)), per)
+    y = labels[doc].astype(np.float64)
+    weight = (share[labels] / per)[doc]
+    inner = np.ones(len(doc), dtype=bool)
+    inner[np.cumsum(per) - per] = False  # lines with one before them
+    u = x @ w
+    forward, backward = messages(u, per, t)
+    g_w = x.T @ (weight * (y - _good(forward + backward)))
+    # pair marginals: both lines of a pair share their text's label
+    pair = _pair_marginals(u, forward, backward, t, inner)
+    yy = y[inner]
+    seen = np.stack([yy, 0 * yy, 0 * yy, 1 - yy])
+    return np.r_[g_w, (seen - pair) @ weight[inner]]
 
 
 class Field:
@@ -157,59 +198,60 @@ class Field:
         return bool(self.w.any() or self.t.any())
 
     @classmethod
-    def fit(cls, own: list[np.ndarray], labels: np.ndarray) -> Field:
-        """Gradient ascent on the labels' conditional likelihood, classes weighing alike."""
+    def _ascend(cls, n: np.ndarray, total) -> Field:
+        """Gradient ascent on the labels' conditional likelihood, classes weighing alike.
+
+        ``n`` counts the texts labelled bad and good; ``total`` gives the
+        gradient over all of them from their shares and the weights.
+        """
         dim = 3 * OWN + 3
         w, t = np.zeros(dim), np.zeros(4)
-        if not len(labels) or labels.min() == labels.max():
+        if not n.all():
             return cls(w, t)
-        per = np.array([len(x) for x in own], dtype=np.int64)
-        x = with_neighbours(np.concatenate(own), per)
-        doc = np.repeat(np.arange(len(per)), per)
-        y = labels[doc].astype(np.float64)
-        # each class and each document of it weighs alike
-        share = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
-        weight = (share / per)[doc]
-        inner = np.ones(len(doc), dtype=bool)
-        inner[np.cumsum(per) - per] = False  # lines with one before them
+        share = 0.5 / n  # each class and each document of it weighs alike
         m1, m2 = np.zeros(dim + 4), np.zeros(dim + 4)
         for step in range(1, STEPS + 1):
-            u = x @ w
-            p = marginals(u, per, t)
-            g_w = x.T @ (weight * (y - p)) - RIDGE * w
-            # pair marginals: both lines of a pair share their text's label in the sample
-            pair = cls._pairs(u, per, t, inner)
-            yy = y[inner]
-            seen = np.stack([yy, 0 * yy, 0 * yy, 1 - yy])
-            g_t = (seen - pair) @ weight[inner] - RIDGE * t
-            g = np.r_[g_w, g_t]
+            # rounded: in what order texts were added up does not show in a sum that should be 0
+            g = np.round(total(share, w, t), 12) - RIDGE * np.r_[w, t]
             m1 = 0.9 * m1 + 0.1 * g
             m2 = 0.99 * m2 + 0.01 * g * g
             move = RATE * (m1 / (1 - 0.9 ** step)) / (np.sqrt(m2 / (1 - 0.99 ** step)) + 1e-12)
             w, t = w + move[:dim], np.clip(t + move[dim:], -3, 3)
         return cls(w, t)
 
+    @classmethod
+    def fit(cls, own: list[np.ndarray], labels: np.ndarray) -> Field:
+        """The field of a few texts held in memory."""
+        per = np.array([len(x) for x in own], dtype=np.int64)
+        return cls._ascend(np.bincount(labels, minlength=2), lambda share, w, t: gradient(
+            np.concatenate(own), per, labels, share, w, t))
+
+    @classmethod
+    def learn(cls, lines: DataFrame) -> Field:
+        """The field of all labelled texts, given by ``labelled_lines``."""
+        lines = store(lines.select("y", "f"))
+        n = np.zeros(2, dtype=np.int64)
+        for r in lines.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect():
+            n[r["y"]] = r["n"]
+
+        def total(share, w, t):
+            def part(batches):
+                g = np.zeros(len(w) + len(t))
+                for b in batches:
+                    f, y = b.column("f").to_pylist(), b.column("y").to_numpy()
+                    for lo, hi in chunks(f, LINES * 4 * OWN):
+                        own = np.frombuffer(b"".join(f[lo:hi]), dtype=np.float32).reshape(-1, OWN)
+                        per = np.array([len(x) for x in f[lo:hi]], dtype=np.int64) // (4 * OWN)
+                        g += gradient(own.astype(np.float64), per, y[lo:hi], share, w, t)
+                yield pa.RecordBatch.from_pydict({"g": pa.array([g], pa.list_(pa.float64()))})
+
+            return np.sum([r["g"] for r in lines.mapInArrow(part, "g array<double>").collect()], axis=0)
+
+        return cls._ascend(n, total)
+
     @staticmethod
     def _pairs(u, per, t, inner) -> np.ndarray:
-        end = np.cumsum(per)
-        start = end - per
-        fw, bw = np.array(u), np.zeros(len(u))
-        order = np.argsort(-per, kind="stable")
-        s, e, size = start[order], end[order], per[order]
-        live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right")
-        back = t[[0, 2, 1, 3]]
-        for k in range(1, int(size[0])):
-            m = live[k]
-            at = s[:m] + k
-            fw[at] += _step(fw[at - 1], t)
-            at = e[:m] - 1 - k
-            bw[at] = _step(u[at + 1] + bw[at + 1], back)
-        i = np.flatnonzero(inner)
-        a, b = fw[i - 1], u[i] + bw[i]
-        s4 = np.stack([a + b + t[0], a + t[1], b + t[2], np.full(len(i), t[3])])
-        s4 -= s4.max(axis=0, initial=-np.inf) if len(i) else 0
-        z = np.exp(s4)
-        return z / z.sum(axis=0)
+        return _pair_marginals(u, *messages(u, per, t), t, inner)
 
     def scores(self, texts: list) -> np.ndarray:
         """Length-weighted mean of the line marginals of each text."""
@@ -220,30 +262,35 @@ class Field:
         return np.add.reduceat(p * (n + 1), at) / np.add.reduceat(n + 1, at)
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, label_col: str,
-           size: int = TRAIN_DOCS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of the bounded training sample."""
+def labelled_lines(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str,
+                   label_col: str) -> DataFrame:
+    """(id, y, f): every labelled document's label (0 or 1) and the own features of all its lines.
+
+    Features are much shorter than texts, so they are what is joined.
+    """
     ship(docs.sparkSession)
+
+    @F.arrow_udf("binary")
+    def lines(texts: pa.Array) -> pa.Array:
+        t, out = texts.to_pylist(), []
+        for lo, hi in chunks(t):
+            own, _, per = features(t[lo:hi])
+            own, end = own.astype(np.float32), np.cumsum(per)
+            out += [own[a:z].tobytes() for a, z in zip(end - per, end)]
+        return pa.array(out, pa.binary())
+
     chosen = (labels.filter(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{label_id}`").isNotNull())
-              .select(F.col(f"`{label_id}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
-              .orderBy(F.xxhash64("id"), "id", "y").limit(size))
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
-    both = texts.join(F.broadcast(chosen), "id")  # ``size`` rows of two numbers
-
-    def lines(batches):
-        for b in batches:
-            t, out = b.column("t").to_pylist(), []
-            for lo, hi in chunks(t):
-                own, _, per = features(t[lo:hi])
-                at = np.cumsum(per) - per
-                out += [own[a:a + min(k, TRAIN_LINES)].astype(np.float32).tobytes() for a, k in zip(at, per)]
-            yield pa.RecordBatch.from_pydict({"id": pa.array(b.column("id").to_pylist(), pa.int64()), "y": b.column("y"), "f": pa.array(out, pa.binary())})
-
-    rows = (both.select(F.col("id").cast("bigint").alias("id"), "y", "t")
-            .mapInArrow(lines, "id bigint, y int, f binary")
+              .select(F.col(f"`{label_id}`").alias("id"), (F.col(f"`{label_col}`").cast("int") > 0).cast("int").alias("y")))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), lines(F.col(f"`{text_col}`")).alias("f")).join(chosen, "id")
+
+
+def sample(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_id: str, label_col: str,
+           size: int = SHOWN_DOCS) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and labels of a few documents for a look at them; no query is fitted on these."""
+    rows = (labelled_lines(docs, id_col, text_col, labels, label_id, label_col)
             .orderBy(F.xxhash64("id"), "id", "y", "f").limit(size).collect())
     own = [np.frombuffer(r["f"], dtype=np.float32).reshape(-1, OWN).astype(np.float64) for r in rows]
-    return own, np.array([int(r["y"] > 0) for r in rows], dtype=np.int64)
+    return own, np.array([r["y"] for r in rows], dtype=np.int64)
 
 
 def score_column(df: DataFrame, text_col: str, field: Field) -> F.Column:

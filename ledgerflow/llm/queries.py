@@ -39,9 +39,9 @@ def held_out(doc_id) -> F.Column:
 
 
 def quality_field(spark: SparkSession, docs: DataFrame, sf_dir: str) -> line_crf.Field:
-    """The field fitted on the labelled documents that are not held out."""
+    """The field fitted on all labelled documents that are not held out."""
     labels = table(spark, sf_dir, "labels", "doc_id", "quality").filter(~held_out(F.col("doc_id")))
-    return line_crf.Field.fit(*line_crf.sample(docs, "doc_id", "text", labels, "doc_id", "quality"))
+    return line_crf.Field.learn(line_crf.labelled_lines(docs, "doc_id", "text", labels, "doc_id", "quality"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,41 +157,6 @@ def flat_index(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lens), lens)
 
 
-# ---- heavy hitters -----------------------------------------------------
-
-# Entries a task keeps while counting, and hands on at its end.
-SUMMARY_HELD = 200_000
-SUMMARY_SENT = 4_096
-
-
-def frequent_words(df: DataFrame, text_col: str, split, size: int) -> list[str]:
-    """The about ``size`` most frequent words of all texts, most frequent first.
-
-    Every task counts the words of its own texts in a summary of bounded size
-    (when full, the rarer half goes) and hands on its most frequent ones only,
-    so what is exchanged follows the number of tasks, not of words.  The
-    result fills lookup tables; a word missed here is handled by their exact
-    second tier.  ``split`` maps a text to its words.
-    """
-    def count(batches):
-        seen: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    seen.update(split(t))
-                if len(seen) > SUMMARY_HELD:
-                    seen = Counter(dict(seen.most_common(SUMMARY_HELD // 2)))
-        top = [(w, n) for w, n in seen.most_common(SUMMARY_SENT) if n > 1 and len(w) <= 64]
-        yield pa.RecordBatch.from_pydict(
-            {"word": pa.array([w for w, _ in top], pa.string()),
-             "n": pa.array([n for _, n in top], pa.int64())})
-
-    got = (df.select(F.col(f"`{text_col}`").alias("t")).mapInArrow(count, "word string, n bigint")
-           .groupBy("word").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "word").limit(size).collect())
-    return [r["word"] for r in got]
-
-
 # ---- exact word counts ---------------------------------------------------
 
 # A task hands its counts on whenever it holds so many words, or has read so

@@ -6,8 +6,8 @@ count is the sum over its pre-tokens: a run of spaces and what follows up to
 the next.  Tier one is a table of the lengths of frequent pre-tokens, broadcast
 to all tasks (at most ``TABLE_WORDS`` entries of at most 64 characters).  What
 misses it is encoded once per worker and kept in a second, bounded tier.
-Pre-tokens are never exchanged; only the bounded summaries from which the
-table is chosen are.
+The table is chosen by exact counts of the pre-tokens of all texts, which are
+exchanged once, added up.
 
 A null text counts as empty (0 bytes, 0 tokens); repeated rows, nulls in other
 columns and clashing names change nothing, as one text is read and columns are
@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.shared import frequent_words, ship
+from ledgerflow.llm.shared import ship, top_words
 
 MODEL = "piece_bpe_32k.model"
 TABLE_WORDS = 32_768
@@ -102,7 +102,7 @@ def count_column(df: DataFrame, text_col: str, model_path: str | None = None,
     with open(model_path or public_tokenizers.path(MODEL), "rb") as f:
         model = f.read()
     sp = load(model)
-    table = {w: length(sp, w) for w in frequent_words(df, text_col, split, table_words)}
+    table = {w: length(sp, w) for w in top_words(df, text_col, split, table_words)}
     sent = _Sent(spark.sparkContext.broadcast({"table": table, "model": model}))
 
     @F.arrow_udf("bigint")

@@ -68,6 +68,23 @@ def test_odd_rows(spark):
     assert len(C.sample(df, "doc_id", "text", labels, "doc_id", "quality", size=2)[1]) <= 2
 
 
+def test_every_line_of_every_labelled_document_is_learnt_from(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "STEPS", 6)
+    monkeypatch.setattr(C, "LINES", 500)  # several parts a task
+    # 4,200 labelled texts, three quarters not held out; one has 130 lines, the last 30 unlike the others
+    texts = {i: f"Text {i} is good." if i % 3 else "|| ## 1 1 1\n" * (1 + i % 5) for i in range(4_200)}
+    texts[4] = "A plain line.\n" * 100 + "@@ @@ 77\n" * 29 + "@@ @@ 77"
+    spark.createDataFrame(sorted(texts.items()), "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in texts], "doc_id bigint, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    learnt = [i for i in texts if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(learnt) > 3_000 and 4 in learnt
+    own = [C.features([texts[i]])[0].astype(np.float32).astype(np.float64) for i in learnt]
+    want = C.Field.fit(own, np.array([int(i % 3 > 0) for i in learnt]))
+    got = Q.quality_field(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert got.fitted and np.allclose(got.w, want.w, atol=1e-8) and np.allclose(got.t, want.t, atol=1e-8)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = Q.op3_quality(spark, sf).collect()

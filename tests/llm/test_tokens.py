@@ -99,6 +99,17 @@ def test_lexicon_counts_all_texts(spark, monkeypatch):
     assert asked == [names[:14:-1], [*names[::-1], "once"]]
 
 
+def test_frequent_pre_tokens_of_all_texts(spark, monkeypatch):
+    # one text a partition, one word a text; each word has one text more than the word before it
+    words = [a + b for a in "abcd" for b in "vwxyz"]
+    rows = [(w,) for k, w in enumerate(words) for _ in range(k + 1)]
+    df = spark.createDataFrame(rows, "t string").repartition(len(rows))
+    asked = []
+    monkeypatch.setattr(T, "length", lambda sp, w: asked.append(w) or 1)
+    T.count_column(df, "t", table_words=15)
+    assert asked == [" " + w for w in words[:4:-1]]
+
+
 def test_counts_of_odd_rows(spark):
     df = documents(spark)
     got = df.select("doc_id", "text", T.count_column(df, "text", table_words=50).alias("n")).collect()
